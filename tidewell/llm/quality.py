@@ -94,14 +94,20 @@ def with_measures(docs: DataFrame, text_col: str, host_col: str, prefix: str = "
 def host_rates(measured: DataFrame, prefix: str = "_q_") -> DataFrame:
     """(host, n_docs, n_failed, rate): failures by host, shrunk by the fitted beta prior."""
     failed = F.col(f"{prefix}base_failed") | F.col(f"{prefix}soft_failed")
-    hosts = measured.groupBy(F.col(f"{prefix}host").alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed"))
+    counted = measured.groupBy(F.col(f"{prefix}host").alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed"))
+    hosts = store(counted, "hosts")
     k, n = F.col("n_failed"), F.col("n_docs")
-    prior = hosts.agg(F.count(F.lit(1)).alias("h"), F.sum(n).alias("n"), F.sum(k).alias("k"), F.sum(k * k / n).alias("s"))  # one row
-    mean = F.col("k") / F.col("n")
-    between = (F.col("s") - F.col("k") * mean) / F.col("n") - mean * (1 - mean) * F.col("h") / F.col("n")
-    strength = F.least(F.greatest(mean * (1 - mean) / F.greatest(between, F.lit(1e-9)) - 1, F.lit(1.0)), F.lit(1e6))
-    prior = prior.select((mean * strength).alias("a"), strength.alias("ab"))
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n_docs", "n_failed", ((k + F.col("a")) / (n + F.col("ab"))).alias("rate"))
+    sums = hosts.agg(F.count(F.lit(1)), F.sum(n), F.sum(k), F.sum(k * k / n)).first()
+    a, ab = beta_prior(*sums) if sums[0] else (0.0, 1.0)
+    return hosts.select("host", "n_docs", "n_failed", ((k + a) / (n + ab)).alias("rate"))
+
+
+def beta_prior(hosts: int, docs: int, failed: int, squares: float) -> tuple[float, float]:
+    """(a, a + b) of the beta by moments. squares: sum of failed * failed / docs over the hosts."""
+    mean = failed / docs
+    between = (squares - failed * mean) / docs - mean * (1 - mean) * hosts / docs
+    strength = min(max(mean * (1 - mean) / max(between, 1e-9) - 1, 1.0), 1e6)
+    return mean * strength, strength
 
 
 def _verdict(measured: DataFrame, hosts: DataFrame, max_rate: float, p: str) -> DataFrame:
@@ -127,5 +133,5 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     """
     p = "_q_"
     measured = with_measures(docs, text_col, host_col, p)
-    hosts = store(host_rates(measured, p), "hosts")
+    hosts = host_rates(measured, p)
     return _verdict(measured, hosts, max_rate, p).where(F.col(f"{p}kept")).select(*docs.columns)

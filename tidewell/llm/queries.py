@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import find_items
 from .html_extract import extract_pages
+from .lm_score import score_documents
 from .packing import pack_documents
 from .quality import quality_report
 from .sharding import shard_documents
@@ -30,6 +31,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = write_token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
     return read_token_files(spark, folder, manifest)
@@ -56,6 +61,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
+    "op3_lm_scoring": op3_lm_scoring,
     "op5_token_files": op5_token_files,
     "op6_quality_rules": op6_quality_rules,
     "op8_warc": op8_warc,
