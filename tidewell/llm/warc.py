@@ -200,13 +200,13 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     html = F.coalesce(F.col(html_col), F.lit(""))
     seconds = F.col(seconds_col).cast("long") if seconds_col else F.lit(FIRST_CAPTURE) + F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(10**9)), F.lit(0))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("about:blank")).alias("url"), html.alias("html"), seconds.alias("seconds"))
-    # verdicts on thin rows (digests); only then are the payloads dealt out, by page, so no hot digest gathers them
+    # verdicts on thin rows (digests); the payloads are dealt out once at most, by page, so no hot digest gathers them
     thin = rows.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("n")).distinct()
     winners = thin.where(F.col("n") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("winner"))
     again = thin.join(winners, "digest").where(F.col("page_id") < F.col("winner")).select("page_id", "digest", "winner")
     # a page id may repeat with other html, so the digest is part of the key; null ids are responses
     joined = rows.withColumn("digest", F.sha1("html")).join(again, ["page_id", "digest"], "left")
-    ready = joined.repartition(shuffle_partitions(spark), "page_id").select("page_id", "url", "html", "seconds", F.col("winner").alias("refers_to"), F.col("winner").isNotNull().alias("again"))
+    ready = joined.select("page_id", "url", "html", "seconds", F.col("winner").alias("refers_to"), F.col("winner").isNotNull().alias("again"))
     runs = Stored(ready.mapInArrow(_write(folder), f"{INDEX}, run int, seq long"), "warc-runs").df
     return folder, merge_runs(runs)
 
