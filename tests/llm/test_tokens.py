@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from tidewell.llm.packing import pack_documents, pack_lengths
 from tidewell.llm.token_files import TokenFile, decode_all, encode_levels, read_token_files, write_token_files
-from tidewell.llm.tokens import PieceEncoder
+from tidewell.llm.tokens import _PLAIN, _STABLE, TextEncoder, encoder, rank_table
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 HARD = [
@@ -17,6 +17,29 @@ HARD = [
 ]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_rank_tables_are_proven(path):
+    assert rank_table(path)
+
+
+def test_every_stable_character(spark):
+    chars = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and _STABLE.fullmatch(c)]
+    texts = [f"a{c}b {c} {c}{c}1 x {c}" for c in chars]
+    t = Tokenizer.from_file(BYTE)
+    t.encode_special_tokens = True
+    want = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert encoder(BYTE, True).encode(texts) == want
+    t = Tokenizer.from_file(WORD)
+    t.encode_special_tokens = True
+    texts = [f"A{c}b{c}1'S {c} {c}{c}É" for c in chars if _PLAIN.fullmatch(c)]
+    assert encoder(WORD, True).encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_unproven_files_go_through_the_library():
+    enc = TextEncoder(BYTE, None)
+    assert enc.encode(HARD) == encoder(BYTE, True).encode(HARD)
+
+
 def reference(path):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
@@ -24,10 +47,10 @@ def reference(path):
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
-def test_piece_ids_equal_whole_text_ids(path, spark):
+def test_ids_equal_the_library(path, spark):
     texts = HARD + [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     ids = reference(path)
-    enc = PieceEncoder(path)
+    enc = encoder(path, True)
     for text, raw in zip(texts, enc.encode(texts)):
         assert np.frombuffer(raw, "<u4").tolist() == ids(text), repr(text[:80])
 

@@ -21,20 +21,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Stored, id_text
-from .tokens import encoder, small_batches
+from .tokens import encoder, rank_table, small_batches
 
 CAPACITY = 2048
 END_ID = 0
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(path: str, by_ranks: bool, capacity: int, end_id: int):
     """Rows of (doc_id, piece, start, length, ids_crc32, part, rank) from (doc_id, text)."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, part = encoder(path), TaskContext.get().partitionId()
+        enc, part = encoder(path, by_ranks), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)
         for big in batches:
@@ -146,7 +146,7 @@ def _place(plan: tuple[np.ndarray, ...], capacity: int):
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row."""
-    made = id_text(docs, id_col, text_col).mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, part int")
+    made = id_text(docs, id_col, text_col).mapInArrow(_pieces(tokenizer, rank_table(tokenizer) is not None, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, part int")
     pieces = Stored(made, "pack-pieces").df
     counts = Stored(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "pack-counts").df
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most

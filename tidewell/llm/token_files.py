@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Stored, id_text, scratch, shuffle_partitions
-from .tokens import encoder, small_batches
+from .tokens import encoder, rank_table, small_batches
 
 MAGIC = b"DACTOK01"
 CHUNK = 8
@@ -125,12 +125,12 @@ class TokenFile:
         self.f.close()
 
 
-def _write(folder: str, tokenizer: str, end_id: int, chunk: int):
+def _write(folder: str, tokenizer: str, by_ranks: bool, end_id: int, chunk: int):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, by_ranks), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         doc_ids, ends, parts, n = [], [], [], 0
         for big in batches:
@@ -165,7 +165,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     folder = folder or scratch(spark, "tokens")
     n = partitions or shuffle_partitions(spark)
     rows = id_text(docs, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = Stored(rows.mapInArrow(_write(folder, tokenizer, end_id, chunk), "part int, file string, docs long, tokens long"), "token-manifest").df
+    manifest = Stored(rows.mapInArrow(_write(folder, tokenizer, rank_table(tokenizer) is not None, end_id, chunk), "part int, file string, docs long, tokens long"), "token-manifest").df
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return folder, manifest.withColumn("first", F.coalesce(F.sum("tokens").over(upto), F.lit(0)))
 
