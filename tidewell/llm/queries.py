@@ -13,6 +13,7 @@ from .lm_score import score_documents
 from .packing import pack_documents
 from .quality import quality_report
 from .sharding import shard_documents
+from .suffix_dedup import repeat_report
 from .token_files import read_token_files, write_token_files
 from .warc import read_archives, write_archives
 
@@ -35,6 +36,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"), length=400)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = write_token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
     return read_token_files(spark, folder, manifest)
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_files": op5_token_files,
     "op6_quality_rules": op6_quality_rules,
     "op8_warc": op8_warc,
