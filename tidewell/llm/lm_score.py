@@ -42,6 +42,7 @@ NOISE = 64
 BATCH = 8192
 RATE = 0.02
 SLICE = 8192
+FAN_IN = 256
 #: Start and other, behind the context words.
 _OTHER, _START = 0, 1
 
@@ -196,7 +197,8 @@ def _trainer(shared):
         from pyspark import TaskContext
 
         voc: Vocabulary = shared.value
-        model, rng, n = Model(voc), np.random.default_rng(TaskContext.get().partitionId()), 0
+        part = TaskContext.get().partitionId()
+        model, rng, n = Model(voc), np.random.default_rng(part), 0
         for big in batches:
             for batch in small_batches(big, most_bytes=2_000_000):
                 _, out, one, two, _ = voc.encode(*_split(batch.column(0).to_pylist()))
@@ -205,7 +207,7 @@ def _trainer(shared):
                 n += len(out)
         if n:
             parts = range(0, len(model.flat), SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array([model.flat[a : a + SLICE].tobytes() for a in parts], pa.binary())], ["slice", "n", "params"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array([model.flat[a : a + SLICE].tobytes() for a in parts], pa.binary()), pa.array([part % FAN_IN] * len(parts), pa.int32())], ["slice", "n", "params", "grp"])
 
     return run
 
@@ -216,12 +218,12 @@ def _average(batches):
 
     sums: dict[int, list] = {}
     for b in batches:
-        for k, n, raw in zip(*(c.to_pylist() for c in b.columns)):
+        for k, n, raw in zip(*(c.to_pylist() for c in b.columns[:3])):
             held = sums.setdefault(k, [0, 0.0])
             held[0] += n
             held[1] = held[1] + n * np.frombuffer(raw, np.float32).astype(np.float64)
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(v / n).astype(np.float32).tobytes() for n, v in sums.values()], pa.binary())], ["slice", "params"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([(v / n).astype(np.float32).tobytes() for n, v in sums.values()], pa.binary())], ["slice", "n", "params"])
 
 
 _MODELS: dict[int, Model] = {}
@@ -286,8 +288,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     head_words, head_counts = head.column(0).to_pylist(), head.column(1).to_pylist()
     voc = Vocabulary(head_words, head_counts, total, distinct, ends, masses, n_words, n_context)
     shared = spark.sparkContext.broadcast(voc)
-    trained = learn.mapInArrow(_trainer(shared), "slice int, n long, params binary")
-    averaged = trained.repartition("slice").mapInArrow(_average, "slice int, params binary").orderBy("slice").collect()  # one model
+    # averaged in two steps, so no task reads the slices of all tasks
+    trained = learn.mapInArrow(_trainer(shared), "slice int, n long, params binary, grp int")
+    some = trained.repartition("slice", "grp").mapInArrow(_average, "slice int, n long, params binary")
+    averaged = sorted(some.repartition("slice").mapInArrow(_average, "slice int, n long, params binary").select("slice", "params").collect())  # one model
     flat = np.frombuffer(b"".join(bytes(r["params"]) for r in averaged), np.float32).copy() if averaged else Model(voc).flat
     key = zlib.crc32(flat.tobytes()) ^ total
     scored = Stored(rows.mapInArrow(_scorer(shared, spark.sparkContext.broadcast(flat), key), "row long, doc_id long, n_tokens long, n_known long, base double, model double, tail array<string>"), "lm-scored").df
