@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import find_items
 from .html_extract import extract_pages
+from .jaccard_join import join_report
 from .lm_score import score_documents
 from .packing import pack_documents
 from .quality import quality_report
@@ -50,6 +51,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_report(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = write_archives(table(spark, sf_dir, "pages"), min_revisit=0)
     return read_archives(spark, folder, index)
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_files": op5_token_files,
     "op6_quality_rules": op6_quality_rules,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_warc": op8_warc,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
