@@ -67,6 +67,14 @@ def test_levels_merge_geometrically(spark, small):
     assert sizes == [[True], [False, True], [True, True], [False, False, True], [True, False, True], [False, True, True], [True, True, True]]
 
 
+def test_equal_beginnings_without_a_repeat(spark):
+    rng = random.Random(4)
+    middle = "".join(rng.choices("abcdef", k=24))
+    rows = [(i, "".join(rng.choices("abcdef", k=30)) + middle + "".join(rng.choices("abcdef", k=30))) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in repeat_report(docs, length=40, k=12).collect()) == brute(rows, 40)
+
+
 def test_edges_and_columns(edge_docs, no_docs):
     out = remove_repeats(edge_docs)
     assert out.columns == edge_docs.columns and out.count() == edge_docs.count()

@@ -272,7 +272,9 @@ def repeated_starts(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndar
 
 def _runs(of: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of consecutive starts: (string, first, last)."""
-    new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1)])) if len(of) else np.zeros(0, np.int64)
+    if not len(of):
+        return of, start, start
+    new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1)]))
     last = np.append(new[1:], len(of)) - 1
     return of[new], start[new], start[last]
 
