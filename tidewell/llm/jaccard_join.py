@@ -5,7 +5,7 @@
    (coordinate, value): two sets share each token with a probability equal to their similarity.
 2. Chosen paths. A run is a tree. At a node a coordinate is sampled, and with probability 1 / 0.8 - 1 another, by
    a hash of the node; the sets go to the children of their tokens there. A node with at most ``SMALL`` sets is a
-   bucket, and so is any node at depth ``DEPTH``. Runs repeat until the recall that the depths reached so far
+   bucket, and so is a node with over half of its parent's sets (they are alike) or at depth ``DEPTH``. Runs repeat until the recall that the depths reached so far
    guarantee for a pair at the threshold is at least ``RECALL``.
 3. Buckets. In a bucket all sets are compared by their tokens, with a wide margin (``NEAR``). What is near gives
    the edges of a spanning forest, never all pairs; their components are the candidate clusters.
@@ -136,7 +136,8 @@ def _roots(first: int, last: int):
         for b in batches:
             sid, tokens = b.column(0).to_numpy(), _matrix(b.column(1))
             nodes = [_children(np.full(len(sid), r, np.uint64), tokens, True)[1].view(np.int64) for r in range(first, last)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.tile(sid, last - first))], ["node", "sid"])
+            n = len(sid) * (last - first)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.tile(sid, last - first)), pa.array(np.full(n, 1 << 62))], ["node", "sid", "parent"])
 
     return run
 
@@ -145,8 +146,8 @@ def _split(batches):
     import pyarrow as pa
 
     for b in batches:
-        rows, child = _children(b.column(0).to_numpy().view(np.uint64), _matrix(b.column(2)), False)
-        yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(b.column(1).to_numpy()[rows])], ["node", "sid"])
+        rows, child = _children(b.column(0).to_numpy().view(np.uint64), _matrix(b.column(3)), False)
+        yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(b.column(1).to_numpy()[rows]), pa.array(b.column(2).to_numpy()[rows])], ["node", "sid", "parent"])
 
 
 def guaranteed(depths: list[int]) -> float:
@@ -165,17 +166,18 @@ def chosen_paths(sets: DataFrame) -> DataFrame:
     buckets, depths = [], []
     tokens = sets.select("sid", "tokens")
     while guaranteed(depths) < RECALL:
-        at = Stored(tokens.mapInArrow(_roots(len(depths), len(depths) + RUNS), "node long, sid long"), "paths")
+        at = Stored(tokens.mapInArrow(_roots(len(depths), len(depths) + RUNS), "node long, sid long, parent long"), "paths")
         for depth in range(1, DEPTH + 1):
-            sizes = at.df.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-            sized = Stored(at.df.join(sizes, "node"), "paths")
+            sizes = at.df.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("parent").alias("parent")).where("size > 1")
+            sized = Stored(at.df.select("node", "sid").join(sizes, "node"), "paths")
             at.drop()
-            small = F.col("size") <= (SMALL if depth < DEPTH else 1 << 62)
-            buckets.append(sized.df.where(small))
+            # small, as deep as runs go, or so alike that a split hardly parts them
+            small = (F.col("size") <= (SMALL if depth < DEPTH else 1 << 62)) | (2 * F.col("size") > F.col("parent"))
+            buckets.append(sized.df.where(small).select("node", "sid", "size"))
             large = sized.df.where(~small)
             if not large.limit(1).count():
                 break
-            at = Stored(large.select("node", "sid").join(tokens, "sid").select("node", "sid", "tokens").mapInArrow(_split, "node long, sid long"), "paths")
+            at = Stored(large.join(tokens, "sid").select("node", "sid", "size", "tokens").mapInArrow(_split, "node long, sid long, parent long"), "paths")
         depths += [depth] * RUNS
     out = buckets[0]
     for b in buckets[1:]:
