@@ -46,10 +46,16 @@ def _drop_all() -> None:
 
 
 class Stored:
-    """A DataFrame written as Parquet in the shared folder, so lost executors cost no recomputation."""
+    """A DataFrame written as Parquet in the shared folder, so lost executors cost no recomputation.
 
-    def __init__(self, df: DataFrame, name: str):
+    shrink: what comes out of a shuffle and is so many times smaller than the texts is written by as many
+    times fewer tasks (8 at least), for each writes a file.
+    """
+
+    def __init__(self, df: DataFrame, name: str, shrink: int = 1):
         self.spark = df.sparkSession
+        if shrink > 1:
+            df = df.coalesce(max(8, shuffle_partitions(self.spark) // shrink))
         self.path = scratch(self.spark, name)
         self.schema = df.schema
         df.write.parquet(self.path)
@@ -62,9 +68,9 @@ class Stored:
         drop(self.spark, self.path)
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, shrink: int = 1) -> DataFrame:
     """``df`` written to the shared folder and read again."""
-    return Stored(df, name).df
+    return Stored(df, name, shrink).df
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,16 +14,16 @@ def components(edges: DataFrame) -> DataFrame:
     Each step connects nodes to the smallest neighbour they know; steps are written tables, so lineage
     stays short. The neighbours of a node are never gathered: only their minimum is, before a join.
     """
-    now = Stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = Stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", 16)
     mark = _mark(now.df)
     while True:
         both = now.df.unionByName(now.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = Stored(both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        large = Stored(both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges", 16)
         now.drop()
         least = large.df.groupBy("a").agg(F.min("b").alias("m"))
         small = large.df.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b")
-        now = Stored(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        now = Stored(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", 16)
         large.drop()
         mark, before = _mark(now.df), mark
         if mark == before:

@@ -239,7 +239,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, path) for every row; path: what its host voted for."""
-    won = store(host_paths(pages, url_col, html_col), "host-paths")
+    won = store(host_paths(pages, url_col, html_col), "host-paths", 64)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host_of(F.col(url_col)).alias("host"))
     joined = rows.join(won, "host", "left").select("page_id", "url", "html", "path")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long, path string")

@@ -169,7 +169,7 @@ def chosen_paths(sets: DataFrame) -> DataFrame:
         at = Stored(tokens.mapInArrow(_roots(len(depths), len(depths) + RUNS), "node long, sid long, parent long"), "paths")
         for depth in range(1, DEPTH + 1):
             sizes = at.df.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("parent").alias("parent")).where("size > 1")
-            sized = Stored(at.df.select("node", "sid").join(sizes, "node"), "paths")
+            sized = Stored(at.df.select("node", "sid").join(sizes, "node"), "paths", 8)
             at.drop()
             # small, as deep as runs go, or so alike that a split hardly parts them
             small = (F.col("size") <= (SMALL if depth < DEPTH else 1 << 62)) | (2 * F.col("size") > F.col("parent"))
@@ -177,7 +177,7 @@ def chosen_paths(sets: DataFrame) -> DataFrame:
             large = sized.df.where(~small)
             if not large.limit(1).count():
                 break
-            at = Stored(large.join(tokens, "sid").select("node", "sid", "size", "tokens").mapInArrow(_split, "node long, sid long, parent long"), "paths")
+            at = Stored(large.join(tokens, "sid").select("node", "sid", "size", "tokens").mapInArrow(_split, "node long, sid long, parent long"), "paths", 8)
         depths += [depth] * RUNS
     out = buckets[0]
     for b in buckets[1:]:
@@ -327,24 +327,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), (F.crc32(text) - (1 << 31)).cast("int").alias("crc"), text.alias("text"))
     members = Stored(keyed.mapInArrow(_sets, "doc long, crc int, sid long, check long, tokens binary"), "join-members").df
     sets = Stored(
-        members.where("sid is not null").groupBy("sid", "check").agg(F.min(F.struct("doc", "crc")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens")), "join-sets"
+        members.where("sid is not null").groupBy("sid", "check").agg(F.min(F.struct("doc", "crc")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens")), "join-sets", 8
     ).df
     buckets = chosen_paths(sets)
     low = sets.select("sid", "tokens").mapInArrow(_low_halves, "sid long, low binary")
     tiles = _tiles(buckets.join(low, "sid"), "node").select("node", "i", "j", "sid", "low")
-    clusters = Stored(components(tiles.mapInArrow(_bucket_edges, "a long, b long")), "join-clusters").df
+    clusters = Stored(components(tiles.mapInArrow(_bucket_edges, "a long, b long")), "join-clusters", 16).df
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     wanted = clusters.join(sizes, "root").join(sets.select(F.col("sid").alias("node"), "at", "copies"), "node").select("root", F.col("node").alias("sid"), "copies", "size", "at.doc", "at.crc")
     fetched = keyed.join(wanted, ["doc", "crc"]).select("root", "sid", "copies", "size", "text").mapInArrow(_fetch, "root long, sid long, copies long, size long, shingles binary")
     exact = _tiles(fetched, "root").select("root", "i", "j", "sid", "blk", "copies", "shingles").mapInArrow(_exact, "sid long, links long, label long")
-    links = Stored(exact, "join-links").df
-    classes = Stored(components(links.select(F.col("sid").alias("a"), F.col("label").alias("b"))), "join-classes").df
+    links = Stored(exact, "join-links", 2).df
+    classes = Stored(components(links.select(F.col("sid").alias("a"), F.col("label").alias("b"))), "join-classes", 16).df
     # least member of each class, then what each set's rows get
     of = sets.select("sid", "at", "copies").join(classes.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = of.groupBy("root").agg(F.min("at").alias("least"))
     counts = links.groupBy("sid").agg(F.sum("links").alias("links"))
     verdict = of.join(least, "root").join(counts, "sid", "left").select("sid", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = members.select("doc", "crc", "sid").join(Stored(verdict, "join-verdict").df, "sid", "left")
+    out = members.select("doc", "crc", "sid").join(Stored(verdict, "join-verdict", 16).df, "sid", "left")
     return out.select("doc", "crc", F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), F.coalesce("least.doc", "doc").alias("class_doc"), F.coalesce("least.crc", "crc").alias("class_crc"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
@@ -360,7 +360,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     gone = verdict.where((F.col("doc") != F.col("class_doc")) | (F.col("crc") != F.col("class_crc"))).select(F.col("doc").alias("_doc"), F.col("crc").alias("_crc")).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "_crc": (F.crc32(text) - (1 << 31)).cast("int")})
-    kept = keyed.join(Stored(gone, "join-gone").df, ["_doc", "_crc"], "left_anti")
+    kept = keyed.join(Stored(gone, "join-gone", 16).df, ["_doc", "_crc"], "left_anti")
     # equal rows have one key: the first of them stays
     first = F.row_number().over(Window.partitionBy("_doc", "_crc").orderBy(F.lit(0)))
     has_words = text.rlike(r"[^\x20\x09-\x0D]")

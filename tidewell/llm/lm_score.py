@@ -277,7 +277,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
     learn = rows.where(~fold(F.col("doc_id"))).select("text")
-    counts = Stored(learn.mapInArrow(_count, "word string, n long, grp int").groupBy("word").agg(F.sum("n").alias("n"), F.first("grp").alias("grp")), "lm-counts").df
+    counts = Stored(learn.mapInArrow(_count, "word string, n long, grp int").groupBy("word").agg(F.sum("n").alias("n"), F.first("grp").alias("grp")), "lm-counts", 4).df
     ends = learn.count()
     head = counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD).select("word", "n").toArrow()
     by_group = counts.groupBy("grp").agg(F.sum(F.col("n") + 0.5).alias("mass"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()  # GROUPS rows

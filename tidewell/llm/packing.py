@@ -148,7 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row."""
     made = id_text(docs, id_col, text_col).mapInArrow(_pieces(tokenizer, rank_table(tokenizer) is not None, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, part int")
     pieces = Stored(made, "pack-pieces").df
-    counts = Stored(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "pack-counts").df
+    counts = Stored(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "pack-counts", 32).df
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     if not histogram:
         return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

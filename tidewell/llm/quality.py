@@ -95,7 +95,7 @@ def host_rates(measured: DataFrame, prefix: str = "_q_") -> DataFrame:
     """(host, n_docs, n_failed, rate): failures by host, shrunk by the fitted beta prior."""
     failed = F.col(f"{prefix}base_failed") | F.col(f"{prefix}soft_failed")
     counted = measured.groupBy(F.col(f"{prefix}host").alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed"))
-    hosts = store(counted, "hosts")
+    hosts = store(counted, "hosts", 64)
     k, n = F.col("n_failed"), F.col("n_docs")
     sums = hosts.agg(F.count(F.lit(1)), F.sum(n), F.sum(k), F.sum(k * k / n)).first()
     a, ab = beta_prior(*sums) if sums[0] else (0.0, 1.0)

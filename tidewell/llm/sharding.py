@@ -102,7 +102,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id",
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of ``docs``."""
     spark = docs.sparkSession
     features = Stored(_features(docs, id_col, text_col), "shard-features").df
-    groups = Stored(_prefix_sums(features, shuffle_partitions(spark)), "shard-groups").df
+    groups = Stored(_prefix_sums(features, shuffle_partitions(spark)), "shard-groups", 8).df
     _, cuts = smallest_capacity(groups, n_shards)
     shard = F.lit(0)
     for cut in cuts[:-1]:

@@ -44,7 +44,7 @@ K = 64
 #: Different regions of one suffix beginning that a task resolves in memory.
 WIDE = 20_000
 #: Bytes hashed at once; longer texts are taken in overlapping tiles.
-TILE = 1 << 21
+TILE = 1 << 20
 BATCHES = 4
 _NO_ID = -(1 << 63)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -194,20 +194,20 @@ class SuffixFamily:
     def add_batch(self, entries: DataFrame) -> None:
         """Array of a batch; merge-scan against every level; merges of equal levels."""
         where = F.struct("doc", "crc", "lo", "hi")
-        array = Stored(entries.groupBy("fp", "rh").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("at")).sortWithinPartitions("fp", "rh"), "suffix-array")
+        array = Stored(entries.groupBy("fp", "rh").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("at")).sortWithinPartitions("fp", "rh"), "suffix-array", 8)
         own = array.df.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp")
         for level in self.levels:
             if level is not None:
                 # both sides match: one row for each beginning that the batch and the level share
                 own = own.unionByName(array.df.select("fp").join(level.df.select("fp"), "fp", "left_semi"))
-        self.found.append(Stored(own.distinct(), "suffix-found"))
+        self.found.append(Stored(own.distinct(), "suffix-found", 32))
         for k in range(len(self.levels) + 1):
             if k == len(self.levels):
                 self.levels.append(None)
             if self.levels[k] is None:
                 self.levels[k] = array
                 return
-            merged = Stored(_merged([array.df, self.levels[k].df]), "suffix-array")
+            merged = Stored(_merged([array.df, self.levels[k].df]), "suffix-array", 8)
             array.drop()
             self.levels[k].drop()
             array, self.levels[k] = merged, None
@@ -333,7 +333,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, batches: i
     family = SuffixFamily(spark)
     for b in range(batches):
         family.add_batch(entries.df.where(F.col("batch") == b).drop("batch"))
-    regions = Stored(family.regions(), "suffix-regions")
+    regions = Stored(family.regions(), "suffix-regions", 8)
     family.drop()
     # beginnings with several different regions: their bytes decide
     kinds = regions.df.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
@@ -341,8 +341,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, batches: i
     wanted = several.select("at.doc", "at.crc", F.struct("fp", "rh", "n", "at.lo", "at.hi").alias("w")).groupBy("doc", "crc").agg(F.collect_list("w").alias("wanted"))
     # rows with equal id and text: one of them is enough
     fetched = keyed.join(wanted, ["doc", "crc"]).select("text", "wanted").mapInArrow(_fetch(length), "fp long, rh long, n long, raw binary").dropDuplicates(["fp", "rh"])
-    raws = Stored(fetched, "suffix-bytes")
-    wide = Stored(kinds.where(F.col("kinds") > WIDE).select("fp"), "suffix-wide")
+    raws = Stored(fetched, "suffix-bytes", 8)
+    wide = Stored(kinds.where(F.col("kinds") > WIDE).select("fp"), "suffix-wide", 1024)
     narrow = raws.df.join(wide.df, "fp", "left_anti").repartition(shuffle_partitions(spark), "fp").sortWithinPartitions("fp")
     parts = narrow.mapInArrow(_resolve(length), "fp long, rh long, a int, b int")
     if wide.df.limit(1).count():
@@ -352,12 +352,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, batches: i
         parts = parts.unionByName(hit.select("fp", "rh", F.col("start").alias("a"), F.col("start").alias("b")))
     # a region with copies repeats from its first start to its last
     copies = regions.df.where("n > 1").select("fp", "rh", F.lit(0).alias("a"), (F.col("at.hi") - F.col("at.lo")).alias("b"))
-    found = Stored(parts.unionByName(copies).groupBy("fp", "rh").agg(F.collect_list(F.struct("a", "b")).alias("parts")), "suffix-parts")
+    found = Stored(parts.unionByName(copies).groupBy("fp", "rh").agg(F.collect_list(F.struct("a", "b")).alias("parts")), "suffix-parts", 8)
     raws.drop()
     regions.drop()
     hits = entries.df.select("fp", "rh", "doc", "crc", "lo").join(found.df, ["fp", "rh"]).select("doc", "crc", "lo", F.explode("parts").alias("p"))
     spans = hits.groupBy("doc", "crc").agg(F.collect_set(F.struct((F.col("lo") + F.col("p.a")).alias("start"), (F.col("lo") + F.col("p.b") + length).alias("end"))).alias("spans"))
-    out = Stored(spans, "suffix-spans")
+    out = Stored(spans, "suffix-spans", 8)
     entries.drop()
     found.drop()
     return out.df
