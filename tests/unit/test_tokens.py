@@ -1,0 +1,34 @@
+from pyspark.sql import functions as F
+
+from tidewell.functions.tokens import fold, is_exact, normalise_query, search_terms, significant_words, tokenize
+
+TEXTS = {
+    "Hello World": ["hello", "world"],
+    "don't rock'n'roll": ["don't", "rock'n'roll"],
+    "camelCase iPhone parseHTML XMLParser": ["camel", "case", "phone", "parse", "html", "xmlparser"],
+    "mother-in-law": ["mother", "in", "law"],
+    "日本語 検索x": ["日本", "本語", "検索", "x"],
+    "2024 v2": ["2024", "v2"],
+    "a 🎉 b": ["a", "🎉", "b"],
+    "": [],
+    "...": [],
+}
+
+
+def test_tokens(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    assert {r[0]: r[1] for r in df.select("t", tokenize(F.col("t"))).collect()} == TEXTS
+
+
+def test_fold(spark):
+    df = spark.createDataFrame([("café",), ("naïve",), ("ピ",), ("ärger",), ("plain",), ("ø",)], "t string")
+    assert [r[0] for r in df.select(fold(F.col("t"))).collect()] == ["cafe", "naive", "ヒ", "arger", "plain", "ø"]
+
+
+def test_queries(spark):
+    df = spark.createDataFrame([('"exact phrase"', "C++ & Café,  now!"), ("plain", "x")], "a string, b string")
+    r = df.select(is_exact(F.col("a")), normalise_query(F.col("b"))).collect()
+    assert [tuple(x) for x in r] == [(True, "c++ cafe now"), (False, "x")]
+    one = spark.createDataFrame([("The art of the deal", "the of")], "a string, b string")
+    assert one.select(search_terms(F.col("a"), ["the", "of"]), search_terms(F.col("b"), ["the", "of"])).first() == (["art", "deal"], ["the", "of"])
+    assert one.select(significant_words(F.lit("A big, BIG dog"))).first()[0] == ["big", "dog"]
