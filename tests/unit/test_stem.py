@@ -15,10 +15,16 @@ def test_english(word):
     assert stem(word, "en") == PAIRS[word]
 
 
-@pytest.mark.parametrize("word,language,want", [("aufeinander", "de", "aufeinand"), ("kategorischen", "de", "kategor"), ("haeuser", "de", "haeus"), ("flickorna", "sv", "flick"), ("hello", "xx", "hello"), ("", "en", "")])
+@pytest.mark.parametrize("word,language,want", [("aufeinander", "de", "aufeinand"), ("kategorischen", "de", "kategor"), ("haeuser", "de", "haeus"), ("flickorna", "sv", "flick"), ("hello", "xx", "hello"), ("lichamelijke", "nl", "licham"), ("maan", "nl", "man"), ("красивыми", "ru", "красив"), ("talossa", "fi", "talo"), ("hablando", "es", "habl"), ("mange", "fr", "mang"), ("", "en", "")])
 def test_others(word, language, want):
     assert stem(word, language) == want
 
 
 def test_again_is_the_same():
     assert stem(stem("running", "en"), "en") == "run"
+
+
+@pytest.mark.parametrize("language", ["en", "de", "nl", "es", "fr", "it", "pt", "ro", "ca", "sv", "no", "da", "fi", "ru"])
+def test_every_language_is_total(language):
+    for word in ("a", "ab", "y", "aaa", "xyz", "über", "нн", "ёж", "123", "'s", "don't", "x" * 300):
+        assert isinstance(stem(word, language), str)

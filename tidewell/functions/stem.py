@@ -1,6 +1,7 @@
-"""Stemmers after the published Snowball descriptions: English (with the changes of version 3), German, Spanish,
-Swedish, Norwegian, Danish, French, Italian and Portuguese (suffix rules of the Romance family). Words of
-other languages are left as they are. Only the English one is held against published pairs.
+"""Stemmers of 14 languages after the published Snowball descriptions: English (with the changes of version 3),
+German, Dutch, Swedish, Norwegian, Danish and Russian by their steps; Spanish, French, Italian, Portuguese,
+Romanian, Catalan and Finnish by their suffix rules. Words of other languages are left as they are. Only the
+English one is held against published pairs.
 
 ``stem_column`` is an Arrow function; give it distinct words.
 """
@@ -246,7 +247,116 @@ _FRENCH = _romance(
     "s e ion ier",
 )
 
-STEMMERS = {"en": _english, "de": _german, "es": _SPANISH, "fr": _FRENCH, "it": _ITALIAN, "pt": _PORTUGUESE, "sv": _SWEDISH, "no": _NORWEGIAN, "nb": _NORWEGIAN, "da": _DANISH}
+_ROMANIAN = _romance(
+    "aeiouăâî",
+    "abila abile abili abilă ibila ibile ibili ibilă atoare atori ator atoarea atorul itate itati ități itatea icala icale icali icală iciva icive icivi ant anta ante anti antă ist ista iste isti istă iști "
+    "ism isme ic ica ice ici ică os oasa oase osi oși oasă iv iva ive ivi ivă area ari iune iuni țiune țiuni ment mente ut uta ute uti ută",
+    "are ere ire ez ezi eaza ează eam eai ea eau am ai au esc ește este ești ind and ând ase aseși aserăm usem use useși ise isem iseși it ita ite iti ită at ata ate ati ată ăm em im îm ați eți iți iră ară ură",
+    "ul ului urilor uri ilor iilor ile ii ei ea ie lor le a e i ă u",
+)
+_CATALAN = _romance(
+    "aeiouàèéíïòóúü",
+    "ament ments ment acions ació acio ancia ància encia ència ible ibles able ables isme ismes ista istes itat itats osa oses os osos iva ives iu ius ador adora adors adores logia logies eria eries ament",
+    "arien aria aries arem areu aran aré are eria eries erem ereu eran eré iria iries irem ireu iran iré ava aves aven avem aveu ant ent int at ada ats ades it ida its ides ut uda uts udes ar er ir re en es em eu im iu o",
+    "s a e o i à é í ó",
+)
+
+
+def _dutch(word: str) -> str:
+    v = "aeiouyè"
+    w = re.sub(rf"(?:^y|(?<=[{v}])y)", "Y", word)
+    w = re.sub(rf"(?<=[{v}])i(?=[{v}])", "I", w)
+    r1, r2 = _regions(w, v)
+    r1 = max(r1, 3)
+    undouble = lambda x: x[:-1] if x.endswith(("kk", "dd", "tt")) else x
+    s = _ends(w, ("heden", "ene", "en", "se", "s"))
+    if s and len(w) - len(s) >= r1:
+        base = w[: -len(s)]
+        if s == "heden":
+            w = base + "heid"
+        elif s in ("ene", "en"):
+            w = undouble(base) if base and base[-1] not in v and not base.endswith("gem") else w
+        elif base and base[-1] not in v + "j":
+            w = base
+    dropped_e = False
+    if w.endswith("e") and len(w) - 1 >= r1 and w[-2:-1] not in v:
+        w, dropped_e = undouble(w[:-1]), True
+    if w.endswith("heid") and len(w) - 4 >= r2 and w[-5:-4] != "c":
+        w = w[:-4]
+        if w.endswith("en") and len(w) - 2 >= r1 and w[-3:-2] not in v and not w.endswith("gemen"):
+            w = undouble(w[:-2])
+    s = _ends(w, ("end", "ing", "ig", "lijk", "baar", "bar"))
+    if s and len(w) - len(s) >= r2:
+        base = w[: -len(s)]
+        if s in ("end", "ing"):
+            w = base[:-2] if base.endswith("ig") and len(base) - 2 >= r2 and base[-3:-2] != "e" else undouble(base)
+        elif s == "ig":
+            w = base if base[-1:] != "e" else w
+        elif s == "lijk":
+            w = undouble(base[:-1]) if base.endswith("e") and len(base) - 1 >= r1 else base
+        elif s == "baar" or dropped_e:
+            w = base
+    m = re.search(rf"([^{v}I])(aa|ee|oo|uu)([^{v}I])$", w)
+    if m:
+        w = w[:-2] + w[-1]
+    return w.lower()
+
+
+# Suffixes of the Russian description; a folded й counts as и.
+_RU = {
+    "gerund": "вшись вши в",
+    "gerund_any": "ившись ившись ывшись ивши ывши ив ыв",
+    "adjective": "ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею",
+    "participle": "ивш ывш ующ ем нн вш ющ щ",
+    "verb": "ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно ю",
+    "noun": "а ев ов ие ье е иями ями ами еи ии и ией ей ой ий й иям ям ием ем ам ом о у ах иях ях ы ь ию ью ю ия ья я",
+}
+
+
+def _russian(word: str) -> str:
+    v = "аеиоуыэюя"
+    word = word.replace("ё", "е")
+    m = re.search(f"[{v}]", word)
+    if not m:
+        return word
+    head, w = word[: m.end()], word[m.end() :]
+    r2 = max(0, _regions(word, v)[1] - len(head))
+    both = lambda key: [x for s in _RU[key].split() for x in {s, s.replace("й", "и")}]
+    s = _ends(w, both("gerund_any")) or next((x for x in both("gerund") if w.endswith(x) and w[: -len(x)].endswith(("а", "я"))), None)
+    if s:
+        w = w[: -len(s)]
+    else:
+        w = re.sub("(ся|сь)$", "", w)
+        s = _ends(w, both("adjective"))
+        if s:
+            w = w[: -len(s)]
+            p = _ends(w, both("participle"))
+            w = w[: -len(p)] if p else w
+        else:
+            s = _ends(w, both("verb")) or _ends(w, both("noun"))
+            w = w[: -len(s)] if s else w
+    w = w[:-1] if w.endswith("и") else w
+    s = _ends(w, ("ост", "ость"))
+    w = w[: -len(s)] if s and len(w) - len(s) >= r2 else w
+    w = re.sub("(ейше|ейш|еише|еиш)$", "", w)
+    w = w[:-1] if w.endswith("нн") or w.endswith("ь") else w
+    return head + w
+
+
+def _finnish(word: str) -> str:
+    """Particles, possessives, cases, comparatives and plurals, each off the part behind the first syllable."""
+    r1 = max(_regions(word, "aeiouyäö")[0], 3)
+    w = word
+    for group in ("kin kaan kään ko kö han hän pa pä", "nsa nsä mme nne si ni", "issa issä ista istä illa illä ilta iltä ille ssa ssä sta stä lla llä lta ltä lle ksi na nä tta ttä ta tä seen hin hon hän hen den tten n a ä", "impi impa imma immi eja ejä mpi mpa mpä mmi mma mmä", "t i j"):
+        s = _ends(w[r1:], group.split())
+        w = w[: -len(s)] if s else w
+    return re.sub(r"(aa|ää|ee|oo|uu|ii)$", lambda m: m[0][0], w)
+
+
+STEMMERS = {
+    "en": _english, "de": _german, "nl": _dutch, "es": _SPANISH, "fr": _FRENCH, "it": _ITALIAN, "pt": _PORTUGUESE, "ro": _ROMANIAN, "ca": _CATALAN, "sv": _SWEDISH, "no": _NORWEGIAN, "nb": _NORWEGIAN,
+    "da": _DANISH, "fi": _finnish, "ru": _russian,
+}
 
 
 def supported_languages() -> list[str]:
