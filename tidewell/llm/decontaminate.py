@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .tokens import small_batches
 
 #: Positions of a window that a seed looks at (1) and ignores (0).
-MASKS = ("110100110101", "111001010011", "101011100101", "1110110111")
+MASKS = ("110100110101", "111001010011", "101011100101", "1110110111", "110010111", "11101101")
 MIN_ITEM = 8
 MIN_MATCH = 13
 MIN_SHARE = 0.75
