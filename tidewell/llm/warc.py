@@ -206,7 +206,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     again = thin.join(winners, "digest").where(F.col("page_id") < F.col("winner")).select("page_id", "digest", "winner")
     # a page id may repeat with other html, so the digest is part of the key; null ids are responses
     joined = rows.withColumn("digest", F.sha1("html")).join(again, ["page_id", "digest"], "left")
-    ready = joined.select("page_id", "url", "html", "seconds", F.col("winner").alias("refers_to"), F.col("winner").isNotNull().alias("again"))
+    # in a fixed order, so that a task that runs again leaves the same archive
+    ready = joined.sortWithinPartitions("page_id", "digest", "url").select("page_id", "url", "html", "seconds", F.col("winner").alias("refers_to"), F.col("winner").isNotNull().alias("again"))
     runs = Stored(ready.mapInArrow(_write(folder), f"{INDEX}, run int, seq long"), "warc-runs").df
     return folder, merge_runs(runs)
 
