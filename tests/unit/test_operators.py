@@ -249,3 +249,23 @@ def test_change_stream(spark, tmp_path):
         q = incremental.stream_changes(stream, table, str(tmp_path / "check"), lambda b: new).trigger(availableNow=True).start()
         q.awaitTermination()
     assert sorted(tuple(r) for r in incremental.read_table(spark, table).collect()) == [("a", 2), ("c", 1), ("d", 2)]
+
+
+def test_stored_index_prunes_by_term(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red apple"), (2, "green apple"), (3, "pear")], "k int, t string")
+    search.store_index(index.TextIndex.of(docs, "k", "t"), f"file://{tmp_path}", 2)
+    ix = search.stored_index(spark, f"file://{tmp_path}", "k")
+    hits = search.and_search(ix, ["apple", "red"])
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [apple,red])" in plan and "positions" not in plan.split("ReadSchema")[1]
+    assert [r["k"] for r in hits.collect()] == [1]
+
+
+def test_constant_dimension_and_clients(spark):
+    pages = spark.createDataFrame([(1,), (2,)], "page_no int")
+    none = spark.createDataFrame([], "page_no int, dim string, value string")
+    assert facets.total_counts(facets.with_constant(none, pages, "index", "docs")).first()["count"] == 2
+    ask = contracts.first_working(lambda p, t: 1 / 0, lambda p, t: t.upper())
+    assert ask("", "x") == "X"
+    with pytest.raises(ZeroDivisionError):
+        contracts.first_working(lambda p, t: 1 / 0)("", "x")

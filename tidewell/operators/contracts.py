@@ -148,3 +148,18 @@ def newest_of_family(models: DataFrame, family: Column, name: str = "name", part
     key = version_key(F.col(name))
     padded = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.coalesce(F.get(key, i), F.lit(0)))
     return models.groupBy(family.alias("family")).agg(F.max_by(name, padded).alias("name"))
+
+
+def first_working(*clients: Callable[[str, str], str]) -> Callable[[str, str], str]:
+    """A client that asks the given ones in turn and gives the first answer; the last error if there is none."""
+
+    def ask(prompt: str, text: str) -> str:
+        error: Exception = ValueError("no client")
+        for client in clients:
+            try:
+                return client(prompt, text)
+            except Exception as e:
+                error = e
+        raise error
+
+    return ask

@@ -15,6 +15,11 @@ def facet_counts(hits: DataFrame, facets: DataFrame, page_col: str = "page_no")
     return facets.join(hits.select(page_col).distinct(), page_col, "left_semi").groupBy("dim", "value").agg(F.countDistinct(page_col).alias("count"))
 
 
+def with_constant(facets: DataFrame, pages: DataFrame, dim: str, value: str, page_col: str = "page_no") -> DataFrame:
+    """Facets with one more dimension that has the same value on every page: marks an index in a merged search."""
+    return facets.unionByName(pages.select(page_col, F.lit(dim).alias("dim"), F.lit(value).alias("value")))
+
+
 def total_counts(facets: DataFrame, page_col: str = "page_no") -> DataFrame:
     return facets.groupBy("dim", "value").agg(F.countDistinct(page_col).alias("count"))
 
