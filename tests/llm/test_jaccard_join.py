@@ -74,6 +74,7 @@ def test_planted_groups_and_small_blocks(spark, monkeypatch):
     want = brute(rows)
     assert got(docs) == want
     monkeypatch.setattr(J, "BLOCK", 3)
+    monkeypatch.setattr(J, "BUCKET_BLOCK", 2)
     monkeypatch.setattr(J, "SMALL", 2)
     assert got(docs) == want
 

@@ -11,7 +11,7 @@
    the edges of a spanning forest, never all pairs; their components are the candidate clusters.
 4. Links. A cluster's exact shingle sets meet once and all its pairs are counted exactly by matrix products over
    shared shingles, so a link is found if its sets are in one cluster by any way. Buckets and clusters of
-   more than ``BLOCK`` sets are cut into blocks, and each pair of blocks is a task's work.
+   more than ``BUCKET_BLOCK`` or ``BLOCK`` sets are cut into blocks, and each pair of blocks is a task's work.
 
 Result: for each row its class (connected by links) and its number of links to other rows; copies count.
 
@@ -41,6 +41,8 @@ RECALL = 0.9999
 RUNS = 8
 NEAR = 0.58
 BLOCK = 2048
+#: Buckets hold tokens only (128 bytes a set), so their blocks are larger.
+BUCKET_BLOCK = 16_384
 _NO_ID = -(1 << 63)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -185,9 +187,9 @@ def chosen_paths(sets: DataFrame) -> DataFrame:
     return out
 
 
-def _tiles(rows: DataFrame, group: str) -> DataFrame:
-    """Rows once for each pair of blocks that their own is in; a group of up to BLOCK rows has one block."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+def _tiles(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """Rows once for each pair of blocks that their own is in; a group of up to ``block`` rows has one block."""
+    blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
     other = F.sequence(F.lit(0), blocks - 1)
     return (
@@ -331,12 +333,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).df
     buckets = chosen_paths(sets)
     low = sets.select("sid", "tokens").mapInArrow(_low_halves, "sid long, low binary")
-    tiles = _tiles(buckets.join(low, "sid"), "node").select("node", "i", "j", "sid", "low")
+    tiles = _tiles(buckets.join(low, "sid"), "node", BUCKET_BLOCK).select("node", "i", "j", "sid", "low")
     clusters = Stored(components(tiles.mapInArrow(_bucket_edges, "a long, b long")), "join-clusters", 16).df
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     wanted = clusters.join(sizes, "root").join(sets.select(F.col("sid").alias("node"), "at", "copies"), "node").select("root", F.col("node").alias("sid"), "copies", "size", "at.doc", "at.crc")
     fetched = keyed.join(wanted, ["doc", "crc"]).select("root", "sid", "copies", "size", "text").mapInArrow(_fetch, "root long, sid long, copies long, size long, shingles binary")
-    exact = _tiles(fetched, "root").select("root", "i", "j", "sid", "blk", "copies", "shingles").mapInArrow(_exact, "sid long, links long, label long")
+    exact = _tiles(fetched, "root", BLOCK).select("root", "i", "j", "sid", "blk", "copies", "shingles").mapInArrow(_exact, "sid long, links long, label long")
     links = Stored(exact, "join-links", 2).df
     classes = Stored(components(links.select(F.col("sid").alias("a"), F.col("label").alias("b"))), "join-classes", 16).df
     # least member of each class, then what each set's rows get
