@@ -22,7 +22,7 @@ def edge_docs(spark):
     df = spark.createDataFrame(EDGE, DOCS)
     from pyspark.sql import functions as F
 
-    return df.withColumns({"key": F.lit("k"), "size": F.lit(1), "fp": F.lit(2), "start": F.lit(3), "piece": F.lit("p"), "host": F.lit("h"), "_text": F.lit("t")})
+    return df.withColumns({"key": F.lit("k"), "size": F.lit(1), "fp": F.lit(2), "start": F.lit(3), "piece": F.lit("p"), "host": F.lit("h"), "_text": F.lit("t"), "_doc": F.lit(7), "_crc": F.lit(8), "_n": F.lit(9), "_spans": F.lit("s"), "_q_host": F.lit("q")})
 
 
 @pytest.fixture(scope="session")

@@ -84,6 +84,7 @@ def test_edges(edge_docs, no_docs):
     assert got(edge_docs) == brute(rows)
     kept = keep_one(edge_docs)
     assert kept.columns == edge_docs.columns
+    assert {tuple(r[c] for c in ("_doc", "_crc", "_n", "_spans", "_q_host", "host")) for r in kept.collect()} == {(7, 8, 9, "s", "q", "h")}
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(1, 11))
     assert got(no_docs) == [] and keep_one(no_docs).collect() == []
 

@@ -41,4 +41,5 @@ def test_a_bad_host_loses_its_soft_failures_only(spark):
 def test_keep_good_keeps_columns_and_repeated_rows(edge_docs):
     out = keep_good(edge_docs, max_rate=1.0)
     assert out.columns == edge_docs.columns
+    assert {tuple(r[c] for c in ("_doc", "_crc", "_n", "_spans", "_q_host", "host")) for r in out.collect()} == {(7, 8, 9, "s", "q", "h")}
     assert sorted(r["doc_id"] for r in out.collect()) == [6, 6, 8]

@@ -78,6 +78,7 @@ def test_equal_beginnings_without_a_repeat(spark):
 def test_edges_and_columns(edge_docs, no_docs):
     out = remove_repeats(edge_docs)
     assert out.columns == edge_docs.columns and out.count() == edge_docs.count()
+    assert {tuple(r[c] for c in ("_doc", "_crc", "_n", "_spans", "_q_host", "host")) for r in out.collect()} == {(7, 8, 9, "s", "q", "h")}
     text = {r["doc_id"]: r["text"] for r in out.collect()}
     assert text[1] is None and text[7] == "" and text[3] == "one two"
     assert remove_repeats(no_docs).collect() == [] and repeat_report(no_docs).collect() == []

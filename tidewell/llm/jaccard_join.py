@@ -359,11 +359,11 @@ def join_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, that with the least id, with its columns as they were; all rows without shingles."""
     verdict = near_duplicates(docs, id_col, text_col)
-    gone = verdict.where((F.col("doc") != F.col("class_doc")) | (F.col("crc") != F.col("class_crc"))).select(F.col("doc").alias("_doc"), F.col("crc").alias("_crc")).distinct()
+    gone = verdict.where((F.col("doc") != F.col("class_doc")) | (F.col("crc") != F.col("class_crc"))).select(F.col("doc").alias("__tidewell_doc"), F.col("crc").alias("__tidewell_crc")).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "_crc": (F.crc32(text) - (1 << 31)).cast("int")})
-    kept = keyed.join(Stored(gone, "join-gone", 16).df, ["_doc", "_crc"], "left_anti")
+    keyed = docs.withColumns({"__tidewell_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "__tidewell_crc": (F.crc32(text) - (1 << 31)).cast("int")})
+    kept = keyed.join(Stored(gone, "join-gone", 16).df, ["__tidewell_doc", "__tidewell_crc"], "left_anti")
     # equal rows have one key: the first of them stays
-    first = F.row_number().over(Window.partitionBy("_doc", "_crc").orderBy(F.lit(0)))
+    first = F.row_number().over(Window.partitionBy("__tidewell_doc", "__tidewell_crc").orderBy(F.lit(0)))
     has_words = text.rlike(r"[^\x20\x09-\x0D]")
-    return kept.withColumn("_n", first).where((F.col("_n") == 1) | ~has_words).select(*docs.columns)
+    return kept.withColumn("__tidewell_n", first).where((F.col("__tidewell_n") == 1) | ~has_words).select(*docs.columns)

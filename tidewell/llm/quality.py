@@ -80,7 +80,7 @@ def measures(text: Column) -> dict[str, Column]:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def with_measures(docs: DataFrame, text_col: str, host_col: str, prefix: str = "_q_") -> DataFrame:
+def with_measures(docs: DataFrame, text_col: str, host_col: str, prefix: str = "__tidewell_") -> DataFrame:
     """``docs`` with prefixed counts, host, base_failed and soft_failed."""
     p = prefix
     df = docs.withColumns({f"{p}{k}": v for k, v in measures(F.col(text_col)).items()})
@@ -91,7 +91,7 @@ def with_measures(docs: DataFrame, text_col: str, host_col: str, prefix: str = "
     return df.withColumns({f"{p}host": F.coalesce(F.col(host_col).cast("string"), F.lit("")), f"{p}base_failed": base, f"{p}soft_failed": soft})
 
 
-def host_rates(measured: DataFrame, prefix: str = "_q_") -> DataFrame:
+def host_rates(measured: DataFrame, prefix: str = "__tidewell_") -> DataFrame:
     """(host, n_docs, n_failed, rate): failures by host, shrunk by the fitted beta prior."""
     failed = F.col(f"{prefix}base_failed") | F.col(f"{prefix}soft_failed")
     counted = measured.groupBy(F.col(f"{prefix}host").alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed"))
@@ -119,7 +119,7 @@ def _verdict(measured: DataFrame, hosts: DataFrame, max_rate: float, p: str) ->
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
     """A row for each document: its counts, base_failed, soft_failed, its host's shrunk rate, and kept."""
-    p = "_q_"
+    p = "__tidewell_"
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), F.col(host_col).alias("_host"))
     measured = store(with_measures(thin, "_text", "_host", p).drop("_text", "_host"), "quality")
     out = _verdict(measured, host_rates(measured, p), max_rate, p)
@@ -131,7 +131,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
 
     The counts are made twice, once for the hosts and once beside the rows: texts are never shuffled.
     """
-    p = "_q_"
+    p = "__tidewell_"
     measured = with_measures(docs, text_col, host_col, p)
     hosts = host_rates(measured, p)
     return _verdict(measured, hosts, max_rate, p).where(F.col(f"{p}kept")).select(*docs.columns)

@@ -400,10 +400,10 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, k: int = K, batches: in
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The rows of ``docs`` with repeats cut out of their texts; ``chars_col`` follows the new text."""
-    spans = repeated_spans(docs, length, k, batches, id_col, text_col).select(F.col("doc").alias("_doc"), F.col("crc").alias("_crc"), F.col("spans").alias("_spans"))
+    spans = repeated_spans(docs, length, k, batches, id_col, text_col).select(F.col("doc").alias("__tidewell_doc"), F.col("crc").alias("__tidewell_crc"), F.col("spans").alias("__tidewell_spans"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"_key_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "_key_crc": (F.crc32(text) - (1 << 31)).cast("int")})
-    joined = keyed.join(spans, (F.col("_key_doc") == F.col("_doc")) & (F.col("_key_crc") == F.col("_crc")), "left").select(*docs.columns, "_spans")
+    keyed = docs.withColumns({"__tidewell_key_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "__tidewell_key_crc": (F.crc32(text) - (1 << 31)).cast("int")})
+    joined = keyed.join(spans, (F.col("__tidewell_key_doc") == F.col("__tidewell_doc")) & (F.col("__tidewell_key_crc") == F.col("__tidewell_crc")), "left").select(*docs.columns, "__tidewell_spans")
     out = joined.mapInArrow(_cutter(docs.columns.index(text_col), text_col, len(docs.columns)), docs.schema)
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
 
