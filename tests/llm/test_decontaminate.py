@@ -1,6 +1,9 @@
+import itertools
 import random
 
-from tidewell.llm.decontaminate import drop_contaminated, find_items
+import pytest
+
+from tidewell.llm.decontaminate import Block, drop_contaminated, find_items, word_hashes
 
 ITEMS = "item_id long, text string, doc_id int"
 
@@ -67,6 +70,26 @@ def test_substitutions_are_found_and_clean_documents_stay(spark):
     assert kept == {d for d, _, _ in docs} - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("n, changed", [(n, k) for n in (8, 9, 12, 15, 16, 17, 18) for k in range(2, n // 4 + 1)])
+def test_every_placement_of_substitutions_is_found(n, changed):
+    """All placements in a short item; equal words are counted on their own, without segments or seeds."""
+    item = [f"w{i}" for i in range(n)]
+    block = Block([1], [" ".join(item)])
+    texts = []
+    for at in itertools.combinations(range(n), changed):
+        texts.append(" ".join(["before", *(f"new{i}" if i in at else w for i, w in enumerate(item)), "after"]))
+    want = {i for i, t in enumerate(texts) if sum(a == b for a, b in zip(t.split()[1:], item)) >= 0.75 * n}
+    got = block.find(*word_hashes(texts))
+    assert want == set(range(len(texts))) == {d for d, *_ in got}
+    assert {m for *_, m in got} == {n - changed}
+
+
+def test_more_substitutions_are_not_found():
+    item = [f"w{i}" for i in range(16)]
+    block = Block([1], [" ".join(item)])
+    assert block.find(*word_hashes([" ".join("new" if i in (2, 5, 8, 11, 14) else w for i, w in enumerate(item))])) == []
+
+
 def test_edges(spark, edge_docs, no_docs):
     bench = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "a b c", 0), (4, "w0 w1 w2 w3 w4 w5 w6 w7", 0), (4, "w0 w1 w2 w3 w4 w5 w6 w7", 0), (5, " ".join("x" for _ in range(40)), 0)], ITEMS)
     got = sorted((r["doc_id"], r["item_id"]) for r in find_items(edge_docs, bench).collect())

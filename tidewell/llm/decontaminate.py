@@ -3,9 +3,14 @@
 A seed looks at some of the positions of a window of words and ignores the others (``MASKS``), so a
 window hashes alike after substitutions at ignored positions. Seed hashes of the documents are joined
 with those of the benchmark; each hit fixes an item and a diagonal (document position minus item
-position). Along it the words are compared and the best segment is found (a match counts 1, a
-substitution costs ``COST``). The item is in the document if the segment matches ``MIN_MATCH`` words, or
-``MIN_SHARE`` of a shorter item, and ``MIN_SHARE`` of the segment's own positions.
+position). Along it the words are compared. The item is in the document if the diagonal matches
+``MIN_SHARE`` of the item's words, wherever the substitutions are. For partial copies the best segment is found
+too (a match counts 1, a substitution costs ``COST``): it has to match ``MIN_MATCH`` words, or ``MIN_SHARE`` of a
+shorter item, and ``MIN_SHARE`` of its own positions.
+
+No such diagonal is without a hit. m matches with at most m / 3 substitutions between them are at most
+m / 3 + 1 runs, so one of them has over 2 words if m > 6: the mask of three words finds it. Items of ``MIN_ITEM``
+words can have 6 matches, in runs of two, and have a seed of two words for themselves.
 
 The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words (one item at least), a pass over the
 documents each: a task has one block in memory, whatever the number of items. Documents are never
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 from .tokens import small_batches
 
 #: Positions of a window that a seed looks at (1) and ignores (0).
-MASKS = ("110100110101", "111001010011", "101011100101", "1110110111", "110010111", "11101101")
+MASKS = ("110100110101", "111001010011", "101011100101", "1110110111", "110010111", "11101101", "111")
 MIN_ITEM = 8
 MIN_MATCH = 13
 MIN_SHARE = 0.75
@@ -37,6 +42,8 @@ BLOCK_WORDS = 500_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
+#: Words compared at once.
+_AT_ONCE = 2_000_000
 
 
 @lru_cache(maxsize=400_000)
@@ -89,12 +96,9 @@ class Block:
             at = np.arange(len(h))
             inside = item_of[: len(h)] == item_of[places[-1] : places[-1] + len(h)] if len(h) else np.zeros(0, bool)
             self._add(places, k, h[inside], at[inside])
-        # items shorter than every mask: their own length is the window
-        lengths = self.ends - self.starts
-        for n in sorted({int(x) for x in lengths if MIN_ITEM <= x < min(map(len, MASKS))}):
-            at = self.starts[lengths == n]
-            places = list(range(n))
-            self._add(places, 100 + n, _seed(self.words, places, 100 + n)[at], at)
+        # the shortest items: two words
+        at = (self.starts[self.ends - self.starts == MIN_ITEM][:, None] + np.arange(MIN_ITEM - 1)).ravel()
+        self._add([0, 1], 100, _seed(self.words, [0, 1], 100)[at], at)
         self.item_of = item_of
 
     def _add(self, places: list[int], salt: int, h: np.ndarray, at: np.ndarray) -> None:
@@ -117,15 +121,21 @@ class Block:
             p = p[doc_of[p] == doc_of[p + places[-1]]]
             lo, hi = np.searchsorted(hashes, h[p], "left"), np.searchsorted(hashes, h[p], "right")
             p, lo, n = p[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            if len(p):
-                q = at[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                p = np.repeat(p, n)
-                found.append(np.unique(np.stack([doc_of[p], self.item_of[q], p - q]), axis=1))
+            total = np.cumsum(n)
+            a = 0
+            while a < len(p):  # a slice of all hits at a time
+                b = max(a + 1, int(np.searchsorted(total, total[a] - n[a] + _AT_ONCE, "right")))
+                m = n[a:b]
+                q = at[np.repeat(lo[a:b], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+                at_word = np.repeat(p[a:b], m)
+                found.append(np.unique(np.stack([doc_of[at_word], self.item_of[q], at_word - q]), axis=1))
+                a = b
         if not found:
             return []
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         starts = np.concatenate([[0], ends[:-1]])
-        for d, i, shift in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist():
+        diagonals = np.unique(np.concatenate(found, axis=1), axis=1)
+        for d, i, shift in diagonals[:, self._enough(words, starts, ends, *diagonals)].T.tolist():
             a = max(self.starts[i], starts[d] - shift)
             b = min(self.ends[i], ends[d] - shift)
             hit = self._segment(words[a + shift : b + shift] == self.words[a:b], int(self.ends[i] - self.starts[i]))
@@ -134,16 +144,37 @@ class Block:
                 best[d, i] = (first + hit[0], first + hit[1], hit[2])
         return [(d, i, *v) for (d, i), v in best.items()]
 
+    def _enough(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, d: np.ndarray, i: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """Which diagonals match as many words in all as a hit has to have at least."""
+        a = np.maximum(self.starts[i], starts[d] - shift)
+        n = np.minimum(self.ends[i], ends[d] - shift) - a
+        total = np.cumsum(n)
+        same = np.zeros(len(n), np.int64)
+        k = 0
+        while k < len(n):
+            j = max(k + 1, int(np.searchsorted(total, total[k] - n[k] + _AT_ONCE, "right")))
+            m = n[k:j]
+            q = np.repeat(a[k:j], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            equal = words[q + np.repeat(shift[k:j], m)] == self.words[q]
+            same[k:j] = np.add.reduceat(equal, np.cumsum(m) - m, dtype=np.int64)
+            k = j
+        return same >= np.minimum(MIN_MATCH, MIN_SHARE * (self.ends - self.starts)[i])
+
     @staticmethod
     def _segment(same: np.ndarray, length: int) -> tuple[int, int, int] | None:
-        """(start, end, matches) of the best segment, if it says that the item is there."""
+        """(start, end, matches) of the whole overlap or else of the best segment, if it says that the item is there."""
+        if length < MIN_ITEM:
+            return None
+        n = int(same.sum())
+        if n >= MIN_SHARE * length:
+            return int(same.argmax()), len(same) - int(same[::-1].argmax()), n
         total = np.concatenate([[0], np.cumsum(np.where(same, 1, -COST))])
         lowest = np.minimum.accumulate(total)
         end = int(np.argmax(total - lowest))
         start = int(np.argmax(total[: end + 1] == lowest[end]))
         n = int(same[start:end].sum())
         enough = n >= min(MIN_MATCH, MIN_SHARE * length)
-        return (start, end, n) if length >= MIN_ITEM and enough and n >= MIN_SHARE * (end - start) else None
+        return (start, end, n) if enough and n >= MIN_SHARE * (end - start) else None
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Block]:
