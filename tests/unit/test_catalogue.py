@@ -40,3 +40,12 @@ def test_query(spark, duck, name):
     assert sorted(names) == cols
     want = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in found.fetchall()), key=repr)
     assert sorted((tuple(plain(r[c]) for c in cols) for r in rows), key=repr) == want
+
+
+def test_postings_of_frequent_words_are_kept_with_their_first_positions(spark, tmp_path):
+    text = " ".join(["often"] * 250 + ["once"])
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["term"]: (r["tf"], r["places"].split(",")) for r in QUERIES["postings_first_200"](spark, str(tmp_path)).collect()}
+    assert {k: (tf, len(places)) for k, (tf, places) in rows.items()} == {"often": (250, 200), "once": (1, 1)}
+    first = [int(x) for x in rows["often"][1]]
+    assert first == list(range(first[0], first[0] + 200)) and int(rows["once"][1][0]) == first[0] + 250

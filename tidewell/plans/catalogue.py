@@ -168,6 +168,13 @@ def postings(spark, sf_dir):
     return docs_index(spark, sf_dir).postings.where(F.col("tf") <= index.MAX_POSITIONS).select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("places"))
 
 
+@query(f"""WITH {TOK}, n AS (SELECT term, doc_id, position, row_number() OVER (PARTITION BY term, doc_id ORDER BY position) AS n FROM tok)
+ SELECT term, doc_id, count(*) AS tf, string_agg(CAST(position AS VARCHAR), ',' ORDER BY position) FILTER (WHERE n <= 200) AS places FROM n GROUP BY term, doc_id""")
+def postings_first_200(spark, sf_dir):
+    """All postings, the frequent words of long texts too, each with its first 200 positions."""
+    return docs_index(spark, sf_dir).postings.select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("places"))
+
+
 @query(f"WITH {TOK} SELECT term, doc_id, least(count(*), 200) AS kept, count(*) AS tf FROM tok GROUP BY term, doc_id")
 def postings_capped(spark, sf_dir):
     return docs_index(spark, sf_dir).postings.select("term", "doc_id", F.size("positions").cast("long").alias("kept"), "tf")
