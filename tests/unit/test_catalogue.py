@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from tidewell.functions.stem import stem
 from tidewell.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +50,10 @@ def test_postings_of_frequent_words_are_kept_with_their_first_positions(spark, t
     assert {k: (tf, len(places)) for k, (tf, places) in rows.items()} == {"often": (250, 200), "once": (1, 1)}
     first = [int(x) for x in rows["often"][1]]
     assert first == list(range(first[0], first[0] + 200)) and int(rows["once"][1][0]) == first[0] + 250
+
+
+def test_stemmed_df_keeps_all_languages(spark, tmp_path):
+    rows = [(1, "running dogs", "en"), (2, "running dogs", None), (3, "running dogs", "xx"), (4, "hundarna", "sv"), (5, "running", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["lang"], r["stem"]): r["df"] for r in QUERIES["stemmed_df"](spark, str(tmp_path)).collect()}
+    assert got == {("en", "run"): 1, ("en", "dog"): 1, (None, "running"): 2, (None, "dogs"): 1, ("xx", "running"): 1, ("xx", "dogs"): 1, ("sv", stem("hundarna", "sv")): 1}

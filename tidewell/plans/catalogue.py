@@ -210,10 +210,10 @@ def term_chunk_directory(spark, sf_dir):
 
 @query()
 def stemmed_df(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents").where("lang in ('en', 'de', 'es', 'fr')")
+    docs = t(spark, sf_dir, "documents")
     toks = index.text_tokens(docs, "doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id")
-    forms = toks.select("lang", "term").distinct().withColumn("stem", stem_column(F.col("term"), F.col("lang")))
-    return toks.join(forms, ["lang", "term"]).groupBy("lang", "stem").agg(F.countDistinct("doc_id").alias("df"))
+    forms = toks.select(F.col("lang").alias("of"), F.col("term").alias("form")).distinct().withColumn("stem", stem_column(F.col("form"), F.col("of")))
+    return toks.join(forms, F.col("lang").eqNullSafe(F.col("of")) & (F.col("term") == F.col("form"))).groupBy("lang", "stem").agg(F.countDistinct("doc_id").alias("df"))
 
 
 @query()
