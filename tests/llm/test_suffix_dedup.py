@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -82,3 +83,79 @@ def test_edges_and_columns(edge_docs, no_docs):
     text = {r["doc_id"]: r["text"] for r in out.collect()}
     assert text[1] is None and text[7] == "" and text[3] == "one two"
     assert remove_repeats(no_docs).collect() == [] and repeat_report(no_docs).collect() == []
+
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def brute_words(rows, length):
+    """By id: what is left of each text without passages of ``length`` words that start anywhere else, and their words."""
+    raws = [(i, (t or "").encode()) for i, t in rows]
+    places = [[m.span() for m in WORD.finditer(r)] for _, r in raws]
+    grams = [[tuple(r[a:b] for a, b in p[k : k + length]) for k in range(len(p) - length + 1)] for (_, r), p in zip(raws, places)]
+    seen = Counter(g for own in grams for g in own)
+    out = []
+    for (i, r), p, own in zip(raws, places, grams):
+        gone = bytearray(len(p))
+        for k, g in enumerate(own):
+            if seen[g] > 1:
+                gone[k : k + length] = b"\1" * length
+        kept = bytearray(r)
+        for k in reversed(range(len(p))):
+            if gone[k]:
+                del kept[p[k][0] : p[k + 1][0] if k + 1 < len(p) and gone[k + 1] else p[k][1]]
+        out.append((i, bytes(kept).decode(), sum(gone)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("wide", [2_000, 1])
+def test_passages_in_words_equal_brute_force(spark, monkeypatch, wide):
+    monkeypatch.setattr(S, "WIDE", wide)
+    rng = random.Random(8 + wide)
+    passages = [rng.choices(["a", "bé", "c", "d", "日本"], k=rng.randrange(10, 40)) for _ in range(12)]
+    rows = []
+    for i in range(150):
+        w = [w for _ in range(rng.randrange(0, 6)) for w in rng.choice(passages)[: rng.randrange(5, 41)] + rng.choices("abcd", k=rng.randrange(0, 4))]
+        rows.append((i, "".join(x + rng.choice([" ", "  ", "\n", "\t "]) for x in w)))
+    rows += [(3, rows[3][1]), (None, rows[5][1]), (None, None), (200, "x " * 200), (201, " "), (202, "y " * 15)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_chars int")
+    want = brute_words(rows, 15)
+    got = remove_repeats(docs, length=15, k=4, batches=3, unit="words").collect()
+    assert sorted(((r["doc_id"], r["text"] or "") for r in got), key=repr) == sorted(((i, t) for i, t, _ in want), key=repr)
+    report = repeat_report(docs, length=40, k=12, batches=2, passage_words=15).collect()
+    assert sorted(((r["doc_id"], r["n_passage_words"]) for r in report), key=repr) == sorted(((i, n) for i, _, n in want), key=repr)
+
+
+def test_passages_of_51_words_are_cut_and_50_stay(spark, small):
+    """Short words, so the passages have under 400 bytes; the rest of the documents is new in each."""
+    rng = random.Random(51)
+    rows = []
+    for p in range(20):
+        passage = " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 7))) for _ in range(50 + p % 2))
+        for c in range(2 + p % 3):
+            own = [" ".join("".join(rng.choices("ijklmnop", k=6)) for _ in range(80)) for _ in range(2)]
+            rows.append((10 * p + c, f"{own[0]} {passage}\n{own[1]}", passage, p % 2 == 1, own))
+    assert all(len(passage.encode()) < 400 for _, _, passage, _, _ in rows)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"] for r in remove_repeats(docs, length=51, unit="words").collect()}
+    for i, text, _, gone, own in rows:
+        assert kept[i] == (f"{own[0]} \n{own[1]}" if gone else text)
+
+
+def test_null_ids_with_equal_crc_are_told_apart(spark):
+    """Two texts with one crc32 and no id, only one of which has a repeat."""
+    import zlib
+
+    rng = random.Random(2)
+    seen: dict[int, str] = {}
+    tail = "".join(rng.choices("abcdef", k=60))
+    while True:
+        t = "".join(rng.choices("ghijkl", k=12)) + tail
+        c = zlib.crc32(t.encode())
+        other = seen.setdefault(c, t)
+        if other != t:
+            break
+    rows = [(None, t), (None, other), (None, "zz" + other[12:]), (None, "".join(rng.choices("mnop", k=90)))]
+    rows += [(None, "".join(rng.choices("qrstuv", k=45))) for _ in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in repeat_report(docs, length=40, k=12).collect()), key=repr) == brute(rows, 40)

@@ -38,7 +38,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeat_report(table(spark, sf_dir, "documents"), length=400)
+    return repeat_report(table(spark, sf_dir, "documents"), length=400, passage_words=51)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
