@@ -1,3 +1,9 @@
+import random
+import time
+from html.parser import HTMLParser
+
+import pytest
+
 from tidewell.llm.html_extract import Page, extract_pages
 
 PAGES = "page_id long, url string, html string, path string, host int"
@@ -47,3 +53,87 @@ def test_given_pages_keep_their_articles(spark):
 
 def test_no_rows(spark):
     assert extract_pages(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_quotes_that_never_close_leave_no_markup():
+    for html, text in [
+        ('<p>one <a href="x>two</a> three</p>', "one two three"),
+        ("<p>one <a href='x>two</a> three</p>", "one two three"),
+        ('<p title=it"s>one</p><p>two</p>', "one two"),
+        ('<p>5 o"clock <b>is</b> it\'s</p>', "5 o\"clock is it's"),
+        ('<a title="a > b">in</a>', "in"),
+        ("one <b", "one"),
+        ("&#" + "9" * 5000 + "; &#" + "0" * 5000 + "65;", "� A"),
+    ]:
+        page = Page(html)
+        assert page.text(page.best()) == text, html[:60]
+
+
+@pytest.mark.parametrize("part", ['<a href="', "<a b='", "<div>", "<nav>", '<div class="abc">', "<", "<a", "<!--", '<a ="', "<script>", "<p>", "</b>", "&#1", "<title>x</title", '<p><span class="ad">x</p>', "<a href= "])
+def test_hostile_pages_take_linear_time(part):
+    def seconds(n):
+        html = part * (n // len(part)) + "x"
+        start = time.process_time()
+        page = Page(html)
+        page.text(page.best())
+        return time.process_time() - start
+
+    assert seconds(800_000) < 16 * max(seconds(100_000), 0.05)
+
+
+class Tree(HTMLParser):
+    """Independent reading of a page: text of the article, by a stack of its own."""
+
+    GONE = {"nav", "footer", "aside", "form", "script", "style", "head"}
+    APART = {"p", "li", "ul", "h1", "h2", "div", "article", "br", "td", "tr", "table", "blockquote"} | GONE
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.stack = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.APART:
+            self.out.append(" ")
+        if tag != "br":
+            self.stack.append((tag, tag in self.GONE or dict(attrs).get("class") in ("share", "ad", "comments")))
+
+    def handle_endtag(self, tag):
+        if tag in self.APART:
+            self.out.append(" ")
+        assert self.stack.pop()[0] == tag
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.stack) and not any(gone for _, gone in self.stack):
+            self.out.append(data)
+
+
+def test_pages_equal_an_independent_parser():
+    rng = random.Random(6)
+
+    def words():
+        return " ".join(rng.choice(["one", "tw&amp;o", "thr&eacute;e", "&#233;", "a &lt; b", "4&nbsp;5", "x\n y", "&copy;"]) for _ in range(rng.randrange(1, 12)))
+
+    def inside(depth):
+        kind = rng.randrange(11)
+        if depth > 3 or kind < 4:
+            return f"<p class='t{rng.randrange(5)}'>{words()} <b>{words()}</b>{words()}<br>{words()}</p>"
+        if kind < 6:
+            return "<ul>" + "".join(f"<li>{words()}</li>" for _ in range(3)) + "</ul>"
+        if kind == 6:
+            return f"<nav><a href='/'>{words()}</a></nav><form><p>{words()}</p></form><script>var x = '<p>no</p>'; if (1 < 2) {{}}</script>"
+        if kind == 7:
+            return f"<div class='share'>{words()}<div>{words()}</div></div><!-- <p>{words()}</p> -->"
+        return "<div>" + "".join(inside(depth + 1) for _ in range(rng.randrange(1, 4))) + "</div>"
+
+    for _ in range(200):
+        html = f"<html><head><title>{words()}</title></head><body><nav>{words()}</nav><article><h1>{words()}</h1>{''.join(inside(0) for _ in range(5))}</article><div class='comments'>{words()}</div><footer>{words()}</footer></body></html>"
+        tree = Tree()
+        tree.feed(html)
+        page = Page(html)
+        assert page.text(page.best()) == " ".join("".join(tree.out).split())
+
+
+def test_clashing_columns_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "http://h/a", "<p>one</p>", "x", "y", "z", 1), (None, "http://h/a", "<p>one</p>", "x", "y", "z", 1), (None, None, None, "x", "y", "z", 1), (5, "http://h/b", "<p>two</p>", "x", "y", "z", 1)], "page_id long, url string, html string, host string, path string, text string, votes int")
+    got = sorted(((r["page_id"], r["text"], r["n_chars"]) for r in extract_pages(docs).collect()), key=repr)
+    assert got == sorted([(None, "one", 3), (None, "one", 3), (None, "", 0), (5, "two", 3)], key=repr)

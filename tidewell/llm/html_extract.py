@@ -11,13 +11,17 @@ sidebar, notice, advert, form, script, style or reader comment. Blocks are decod
 becomes one space, and they are joined in page order.
 
 Defined results: null or empty html gives an empty text; html without tags is one block; elements left
-open end with their parent or the page; a null URL is the host ''. Repeated rows give repeated results.
+open end with their parent or the page; a null URL is the host ''. A quote in a tag that never closes ends with the tag,
+at the next '>'; a tag that never ends takes the rest of the page. Repeated rows give repeated results. The scan is
+linear in the page, whatever its markup: every search goes on where the last one ended.
 Host votes are joined by the host; how (broadcast or shuffle) follows from the size of the voted table.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from hashlib import sha1
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import store
+from .tokens import small_batches
 
 #: Element names of HTML by what they mean for text.
 RAW = frozenset("script style title textarea noscript template iframe svg math object canvas audio video select".split())
@@ -43,15 +48,60 @@ COMMENTS = frozenset("comment comments commentlist discussion disqus replies rep
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NOT_MARKED = frozenset("with has no without is".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+#: What ends a tag, or opens an attribute's quoted value.
+STOP = re.compile(r">|=\s*([\"'])")
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Paths longer than this go on from their hash, so nesting costs no more than its depth.
+LONG_PATH = 2000
+_ZEROS, _HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
+
+
+def decode(text: str) -> str:
+    """Character references of HTML5; numbers of any length."""
+    if "&#" in text:
+        text = _HUGE.sub("\ufffd", _ZEROS.sub("&#", text))
+    return unescape(text)
+
+
+def tags(html: str):
+    """(start, end, name, attributes) of all tags, comments and declarations in order; the name of the last two is ''.
+
+    An end tag's name begins with '/'. ``send`` a place to go on from there.
+    """
+    at = 0
+    while (start := html.find("<", at)) >= 0:
+        m = NAME.match(html, start + 1)
+        if m:
+            end = m.end()
+            while stop := STOP.search(html, end):
+                end = stop.end()
+                if not stop[1]:
+                    break
+                close = html.find(stop[1], end)
+                if close < 0:  # it never closes: the tag ends at the next '>'
+                    stop = end = html.find(">", end) + 1
+                    break
+                end = close + 1
+            end = end if stop else len(html)
+            found = (start, end, m[0].lower(), html[m.end() : end - 1])
+        elif html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            found = (start, end + 3 if end >= 0 else len(html), "", "")
+        elif html[start + 1 : start + 2] in ("!", "?", "/"):
+            end = html.find(">", start)
+            found = (start, end + 1 if end >= 0 else len(html), "", "")
+        else:
+            at = start + 1
+            continue
+        at = (yield found) or found[1]
 
 
 def _attributes(raw: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, a, b, c in ATTR.findall(raw):
-        out.setdefault(name.lower(), unescape(a or b or c))
+        out.setdefault(name.lower(), decode(a or b or c))
     return out
 
 
@@ -84,25 +134,29 @@ class Page:
         self._length = self._linked = 0
         # open elements that matter: (tag, container before, is container, dropped)
         self._open: list[tuple[str, int, bool, bool]] = []
+        self._count: Counter = Counter()  # of open elements by tag
         self._at, self._dropped, self._articles, self._links = 0, 0, 0, 0
-        lower, place = "", 0
-        for m in iter(lambda: TAG.search(html, place), None):
-            self._chars(html[place : m.start()])
-            place = m.end()
-            tag = m[2]
-            if not tag:
-                continue
-            tag = tag.lower()
-            if m[1]:
-                self._end(tag)
+        place = 0
+        scan = tags(html)
+        found = next(scan, None)
+        while found:
+            start, end, tag, raw = found
+            self._chars(html[place:start])
+            place = end
+            if tag[:1] == "/":
+                self._end(tag[1:])
             elif tag in RAW:
-                if m[3][-1:] != "/":
-                    lower = lower or html.lower()
-                    end = lower.find("</" + tag, place)
-                    place = len(html) if end < 0 else max(html.find(">", end) + 1, end + 2)
+                if raw[-1:] != "/":
+                    close = re.compile("</" + tag, re.I).search(html, end)
+                    place = html.find(">", close.end()) + 1 if close else 0
+                    place = place or len(html)
                 self._text.append(" ")
-            else:
-                self._start(tag, m[3])
+            elif tag:
+                self._start(tag, raw)
+            try:
+                found = scan.send(place)
+            except StopIteration:
+                found = None
         self._chars(html[place:])
         self._flush()
 
@@ -115,7 +169,7 @@ class Page:
 
     def _flush(self) -> None:
         if self._text:
-            text = " ".join(unescape("".join(self._text)).split())
+            text = " ".join(decode("".join(self._text)).split())
             if text:
                 self.blocks.append((self._at, text))
                 score = len(text) * max(0.0, 1 - 1.5 * self._linked / max(1, self._length))
@@ -148,11 +202,14 @@ class Page:
         if tag in VOID or not (container or dropped or tag == "p" or tag in DROPPED or (self._dropped and tag in CONTAINERS)):
             return
         self._open.append((tag, self._at, container, dropped))
+        self._count[tag] += 1
         self._dropped += dropped
         if container:
             self._articles += tag in ("article", "main")
             names = ".".join(sorted({re.sub(r"\d+", "", c) for c in attrs.get("class", "").split()} - {""}))
-            path = f"{self.containers[self._at][0]}>{tag}{'.' + names if names else ''}"
+            above = self.containers[self._at][0]
+            above = above if len(above) <= LONG_PATH else "#" + sha1(above.encode("utf-8", "surrogatepass")).hexdigest()
+            path = f"{above}>{tag}{'.' + names if names else ''}"
             self.containers.append([path, self._at, 0.0])
             self._at = len(self.containers) - 1
 
@@ -162,17 +219,20 @@ class Page:
             self._links = 0
         elif tag == "a":
             self._links = max(0, self._links - 1)
+        if not self._count[tag]:
+            return
         for i in range(len(self._open) - 1, -1, -1):
             if self._open[i][0] == tag:
                 while len(self._open) > i:
                     self._pop()
                 return
-            if tag == "p" and self._open[i][2]:
+            if tag == "p" and self._open[i][0] in BLOCKS:
                 return
 
     def _pop(self) -> None:
         self._flush()
         tag, before, container, dropped = self._open.pop()
+        self._count[tag] -= 1
         self._dropped -= dropped
         if container:
             self._articles -= tag in ("article", "main")
@@ -199,10 +259,10 @@ class Page:
 
 
 def _votes(batches):
-    """(host, path, votes): a page's vote weighs as much as its best container's share of its text."""
+    """(host, path, votes): a page with text has one vote, for its best container's path."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in (b for big in batches for b in small_batches(big, "html")):
         hosts, paths, votes = [], [], []
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             page = Page(html)
@@ -216,7 +276,7 @@ def _votes(batches):
 def _extract(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in (b for big in batches for b in small_batches(big, "html")):
         texts = []
         for html, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             page = Page(html)
