@@ -51,3 +51,26 @@ def test_markdown():
     assert markdown("- a\n- **b**\n\ntext *i* <x>") == "<ul><li>a</li><li><strong>b</strong></li></ul><p>text <em>i</em> &lt;x&gt;</p>"
     assert markdown("see [label](https://x.org/long") == "<p>see <strong>label</strong></p>"
     assert '<a href="https://x.org"' in markdown("[l](https://x.org)")
+
+
+@pytest.mark.parametrize(
+    "text,html",
+    [
+        ("***a***", "<p><strong><em>a</em></strong></p>"),
+        ("**a *b* c**", "<p><strong>a <em>b</em> c</strong></p>"),
+        ("2 * 3", "<p>2 * 3</p>"),
+        ("[label] only", "<p><strong>label</strong> only</p>"),
+        ("[x](javascript:alert)", "<p>[x](javascript:alert)</p>"),
+        ("- [a](/b?c=1&d=2)", '<ul><li><a href="/b?c=1&amp;d=2" target="_blank" rel="noopener">a</a></li></ul>'),
+        ('[" onx=](https://x/"y) it\'s', '<p><a href="https://x/&quot;y" target="_blank" rel="noopener">&quot; onx=</a> it&#039;s</p>'),
+    ],
+)
+def test_markdown_spans(text, html):
+    assert markdown(text) == html
+
+
+def test_references_of_any_length(spark):
+    from tidewell.functions.clean import decode_entities
+
+    df = spark.createDataFrame([("&#" + "9" * 5000 + ";", "&#" + "0" * 5000 + "65; &lt;")], "a string, b string")
+    assert tuple(df.select(decode_entities("a"), decode_entities("b")).first()) == ("\ufffd", "A <")
