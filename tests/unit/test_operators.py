@@ -1,4 +1,5 @@
 import datetime
+import os
 import json
 
 import pytest
@@ -251,6 +252,61 @@ def test_change_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in incremental.read_table(spark, table).collect()) == [("a", 2), ("c", 1), ("d", 2)]
 
 
+def test_changes_between_reading_and_acknowledging_are_left(spark, tmp_path):
+    schema = "content_id string, content_type string, action string, changed_at timestamp"
+    day = lambda d: datetime.datetime(2024, 1, d)
+    log = str(tmp_path / "log")
+    spark.createDataFrame([("a", "p", "index", day(1))], schema).write.mode("append").parquet(log)
+    items = spark.createDataFrame([("a",), ("b",)], "id string")
+    source = TableSource(items, spark.read.schema(schema).parquet(log))
+    assert [r["id"] for r in source.changed().collect()] == ["a"]
+    spark.createDataFrame([("b", "p", "index", day(2))], schema).write.mode("append").parquet(log)
+    source.tracker = spark.read.schema(schema).parquet(log)
+    assert source.counts() == (2, 1)
+    source.acknowledge()
+    assert source.since == day(1) and [r["id"] for r in source.changed().collect()] == ["b"]
+    source.acknowledge()
+    assert source.counts() == (2, 0)
+
+
+def test_change_stream_survives_crashes_and_new_checkpoints(spark, tmp_path, monkeypatch):
+    table, changes = str(tmp_path / "table"), str(tmp_path / "changes")
+    schema = "content_id string, content_type string, action string, changed_at timestamp"
+    incremental.create_table(spark.createDataFrame([(str(i), 0) for i in range(40)], "id string, v int"), table, buckets=8)
+
+    latest = {}
+
+    def run(rows, value, check):
+        latest.update({i: value for i, _ in rows})
+        spark.createDataFrame([(i, "p", a, datetime.datetime(2024, 1, value)) for i, a in rows], schema).coalesce(1).write.mode("append").parquet(changes)
+        new = spark.createDataFrame(list(latest.items()), "id string, v int")
+        stream = spark.readStream.schema(schema).parquet(changes)
+        q = incremental.stream_changes(stream, table, str(tmp_path / check), lambda b: new).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    def rows():
+        return dict(tuple(r) for r in incremental.read_table(spark, table).collect())
+
+    run([("1", "index"), ("2", "delete")], 1, "one")
+    assert rows() == {str(i): int(i == 1) for i in range(40) if i != 2}
+    files = {x: sorted(os.listdir(f"{table}/data/{x}")) for x in os.listdir(f"{table}/data")}
+    assert len(next(v for k, v in files.items() if k != "start")) < 8  # only the touched buckets
+    publish = incremental._publish
+    monkeypatch.setattr(incremental, "_publish", lambda *a: 1 / 0)
+    with pytest.raises(Exception):
+        run([("3", "index")], 2, "one")
+    assert rows()["3"] == 0 and len(rows()) == 39  # the version before is whole
+    monkeypatch.setattr(incremental, "_publish", publish)
+    run([("4", "index"), ("3", "index")], 3, "one")
+    assert (rows()["3"], rows()["4"]) == (3, 3)
+    run([(str(i), "delete") for i in range(5, 40)], 4, "two")  # a new checkpoint: its epochs count from 0 again
+    assert set(rows()) == {"0", "1", "3", "4"}
+    version = incremental.current_version(spark, table)
+    with pytest.raises(RuntimeError):
+        publish(spark, table, incremental._manifest(spark, table))
+    assert incremental.current_version(spark, table) == version
+
+
 def test_stored_index_prunes_by_term(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red apple"), (2, "green apple"), (3, "pear")], "k int, t string")
     search.store_index(index.TextIndex.of(docs, "k", "t"), f"file://{tmp_path}", 2)

@@ -23,14 +23,23 @@ class ContentSource(Protocol):
 
 
 class TableSource:
-    """Items and a change log as tables; ``since`` moves on when a build acknowledges what it read."""
+    """Items and a change log as tables; ``since`` moves on when a build acknowledges what it read.
+
+    The first reading after an acknowledgement fixes the newest change that this build sees; ``changed``, ``deleted_ids``
+    and ``counts`` all read up to it, and ``acknowledge`` moves ``since`` there and no further, so changes that arrive
+    meanwhile are left for the next build. Changes at the very time of the bound that are logged later need a log whose
+    times only grow, as a commit log's do.
+    """
 
     def __init__(self, items: DataFrame, tracker: DataFrame, since=None):
         self.items, self.tracker, self.since = items, tracker, since
         self._read_to = None
 
     def _pending(self) -> DataFrame:
-        return self.tracker.where(F.col("changed_at") > F.lit(self.since)) if self.since is not None else self.tracker
+        if self._read_to is None:
+            self._read_to = self.tracker.agg(F.max("changed_at")).first()[0]
+        upto = F.col("changed_at") <= F.lit(self._read_to)
+        return self.tracker.where(upto if self.since is None else upto & (F.col("changed_at") > F.lit(self.since)))
 
     def latest(self) -> DataFrame:
         """The last action of each content id."""
@@ -51,7 +60,9 @@ class TableSource:
         return self.items.count(), self.latest().count()
 
     def acknowledge(self) -> None:
-        self.since = self.tracker.agg(F.max("changed_at")).first()[0] or self.since
+        """All that was read since the last acknowledgement is done; without a reading nothing changes."""
+        self.since = self._read_to or self.since
+        self._read_to = None
 
 
 def html_files(spark: SparkSession, path: str, language: str = "en") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 
@@ -48,37 +51,96 @@ def apply_changes(table: DataFrame, changes: DataFrame, items: DataFrame, key: s
 
 
 def stream_changes(stream: DataFrame, table_path: str, checkpoint: str, items: Callable[[DataFrame], DataFrame], watermark: str | None = None):
-    """Apply a change stream to a versioned table: each batch writes the next version, then names it current.
-
-    A batch that runs again writes the same version, so a restart repeats nothing. A watermark, if given, is
-    an extension: changes later than it are dropped.
+    """Apply a change stream to a bucketed, versioned table (``create_table``).
+
+    A micro-batch rewrites only the buckets that its ids fall into, in a new folder, and then publishes a manifest that
+    names each bucket's folder. Manifests are new files put in place by one rename, so a reader or a restart
+    sees the version before or the version after, never none. A manifest has the last epoch applied of each
+    stream, by the query's id that its checkpoint keeps: a batch that runs again after its manifest is skipped, one that
+    died before it is done again, and a query with a new checkpoint is a stream of its own whose epochs all count.
+    A watermark, if given, is an extension: changes later than it are dropped.
     """
     if watermark:
         stream = stream.withWatermark("changed_at", watermark)
 
     def one(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        now = current_version(spark, table_path)
-        table = spark.read.parquet(f"{table_path}/v{now}")
-        if now > epoch:  # this epoch is applied already
+        own = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        now = _manifest(spark, table_path)
+        if now["applied"].get(own, -1) >= epoch:
             return
-        apply_changes(table, batch, items(batch)).write.mode("overwrite").parquet(f"{table_path}/v{epoch + 1}")
-        spark.range(1).select(F.lit(epoch + 1).cast("long").alias("version")).write.mode("overwrite").parquet(f"{table_path}/current")
+        bucket = _bucket(F.col("content_id"), now["buckets"])
+        touched = sorted(r[0] for r in batch.select(bucket.alias("b")).distinct().collect())  # a row for each bucket
+        folder = f"{own.rsplit('/', 1)[-1]}-{epoch}"
+        if touched:
+            rows = apply_changes(_read_buckets(spark, table_path, now, touched), batch, items(batch), now["key"])
+            _write_buckets(rows, f"{table_path}/data/{folder}", now["key"], now["buckets"])
+        parts = now["parts"] | {str(b): folder for b in touched}
+        _publish(spark, table_path, now | {"version": now["version"] + 1, "parts": parts, "applied": now["applied"] | {own: epoch}})
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
 
 
+def create_table(rows: DataFrame, table_path: str, key: str = "id", buckets: int = 64) -> None:
+    """Version 0 of a table in ``buckets`` buckets by the hash of its key."""
+    _write_buckets(rows, f"{table_path}/data/start", key, buckets)
+    parts = {str(b): "start" for b in range(buckets)}
+    _publish(rows.sparkSession, table_path, {"version": 0, "key": key, "buckets": buckets, "schema": rows.schema.json(), "parts": parts, "applied": {}})
+
+
+def read_table(spark: SparkSession, table_path: str) -> DataFrame:
+    return _read_buckets(spark, table_path, _manifest(spark, table_path))
+
+
 def current_version(spark: SparkSession, table_path: str) -> int:
-    return spark.read.parquet(f"{table_path}/current").first()["version"]
+    return _manifest(spark, table_path)["version"]
 
 
-def create_table(rows: DataFrame, table_path: str) -> None:
-    rows.write.mode("overwrite").parquet(f"{table_path}/v0")
-    rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("version")).write.mode("overwrite").parquet(f"{table_path}/current")
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets)).cast("int")
 
 
-def read_table(spark: SparkSession, table_path: str) -> DataFrame:
-    return spark.read.parquet(f"{table_path}/v{current_version(spark, table_path)}")
+def _write_buckets(rows: DataFrame, folder: str, key: str, buckets: int) -> None:
+    rows.withColumn("_bucket", _bucket(F.col(key), buckets)).repartition(buckets, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(folder)
+
+
+def _read_buckets(spark: SparkSession, table_path: str, manifest: dict, wanted: list[int] | None = None) -> DataFrame:
+    """Rows of the wanted buckets, or all: a scan for each folder that still holds some of them, pruned to those."""
+    schema = StructType.fromJson(json.loads(manifest["schema"]))
+    folders: dict[str, list[int]] = {}
+    for b, folder in manifest["parts"].items():
+        if wanted is None or int(b) in wanted:
+            folders.setdefault(folder, []).append(int(b))
+    out = spark.createDataFrame([], schema)
+    for folder, own in sorted(folders.items()):
+        part = spark.read.schema(StructType([*schema.fields, StructField("_bucket", IntegerType())])).parquet(f"{table_path}/data/{folder}")
+        out = out.unionByName(part.where(F.col("_bucket").isin(own)).drop("_bucket"))
+    return out
+
+
+def _files(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _manifest(spark: SparkSession, table_path: str) -> dict:
+    """The newest manifest; names that begin with a dot were never published."""
+    fs, folder = _files(spark, f"{table_path}/manifests")
+    names = [x.getPath().getName() for x in fs.listStatus(folder)]
+    last = max(n for n in names if n.endswith(".json") and not n.startswith("."))
+    return json.loads(spark.read.text(f"{table_path}/manifests/{last}", wholetext=True).first()[0])
+
+
+def _publish(spark: SparkSession, table_path: str, manifest: dict) -> None:
+    name = f"{manifest['version']:012d}.json"
+    fs, own = _files(spark, f"{table_path}/manifests/.{name}.{uuid.uuid4().hex}")
+    out = fs.create(own, True)
+    out.write(json.dumps(manifest).encode())
+    out.close()
+    final = _files(spark, f"{table_path}/manifests/{name}")[1]
+    if fs.exists(final) or not fs.rename(own, final):
+        fs.delete(own, False)
+        raise RuntimeError(f"version {manifest['version']} of {table_path} is there already: another writer was first")
 
 
 def progress(written: int, total: int, chunk: int) -> float:
