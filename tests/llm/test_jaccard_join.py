@@ -126,3 +126,19 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     assert sorted(tuple(r) for r in components(df).collect()) == want
     assert components(df.limit(0)).collect() == []
+
+
+def test_null_ids_with_equal_crc_are_told_apart(spark):
+    import zlib
+
+    rng = random.Random(4)
+    seen: dict[int, str] = {}
+    while True:
+        t = " ".join(f"w{rng.randrange(100_000)}" for _ in range(12))
+        other = seen.setdefault(zlib.crc32(t.encode()), t)
+        if other != t:
+            break
+    rows = [(None, t), (None, other), (None, t)] + [(None, f"x{i} " * 3) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["text"] for r in keep_one(docs).collect())
+    assert kept == sorted({t for _, t in rows})

@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MADE: list[tuple[SparkSession, str]] = []
 
 
+@lru_cache(maxsize=1)
+def _own_root() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one is set only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset, as in tests, local mode has a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='tidewell-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: build the session with a folder that the driver and all executors share")
+        return _own_root()
     return root if ":" in root else f"file://{root}" if root.startswith("/") else root
 
 
@@ -78,6 +86,13 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def row_keys(id_col: str, text_col: str) -> dict[str, Column]:
+    """doc and alt: 128 bits that know a row by its id, whether that is null, and its text."""
+    own = F.col(id_col).cast("long")
+    parts = [own.isNull(), F.coalesce(own, F.lit(0)), F.coalesce(F.col(text_col), F.lit(""))]
+    return {"doc": F.xxhash64(*parts), "alt": F.xxhash64(F.lit("alt"), *parts)}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,7 +16,7 @@
 Result: for each row its class (connected by links) and its number of links to other rows; copies count.
 
 Defined results: null and empty texts have no shingles and no links; each is a class of its own. Equal rows
-are copies. Words are `[^\\x20\\x09-\\x0D]+`, as they are. A null id stays null; its class is that of the others.
+are copies. A row is known by a 128-bit hash of its id, whether that is null, and its text. Words are `[^\\x20\\x09-\\x0D]+`, as they are. A null id stays null; its class is that of the others.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Stored, shuffle_partitions
+from .common import Stored, row_keys, shuffle_partitions
 from .components import components
 from .tokens import small_batches
 
@@ -43,7 +43,6 @@ NEAR = 0.58
 BLOCK = 2048
 #: Buckets hold tokens only (128 bytes a set), so their blocks are larger.
 BUCKET_BLOCK = 16_384
-_NO_ID = -(1 << 63)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,7 +91,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches):
-    """Rows (doc, crc, text) to (doc, crc, sid, check, tokens); sid is null if there is no shingle."""
+    """Rows (doc, alt, text, id) to (doc, alt, id, sid, check, tokens); sid is null if there is no shingle."""
     import pyarrow as pa
 
     for big in batches:
@@ -108,7 +107,7 @@ def _sets(batches):
                     sids.append(None)
                     checks.append(None)
                     tokens.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(checks, pa.int64()), pa.array(tokens, pa.binary())], ["doc", "crc", "sid", "check", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(sids, pa.int64()), pa.array(checks, pa.int64()), pa.array(tokens, pa.binary())], ["doc", "alt", "id", "sid", "check", "tokens"])
 
 
 def _matrix(column, kind=np.uint32) -> np.ndarray:
@@ -324,20 +323,19 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, crc, doc_id, class_doc, class_crc, n_links): class_doc and class_crc are the least of the class."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), (F.crc32(text) - (1 << 31)).cast("int").alias("crc"), text.alias("text"))
-    members = Stored(keyed.mapInArrow(_sets, "doc long, crc int, sid long, check long, tokens binary"), "join-members").df
-    sets = Stored(
-        members.where("sid is not null").groupBy("sid", "check").agg(F.min(F.struct("doc", "crc")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens")), "join-sets", 8
-    ).df
+    """(doc, alt, doc_id, class_id, stays, n_links): stays: the row has the least id of its class; null is less than all."""
+    keys = row_keys(id_col, text_col)
+    keyed = docs.select(keys["doc"].alias("doc"), keys["alt"].alias("alt"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("id"))
+    members = Stored(keyed.mapInArrow(_sets, "doc long, alt long, id long, sid long, check long, tokens binary"), "join-members").df
+    at = F.struct(F.col("id").isNotNull().alias("known"), "id", "doc", "alt")
+    sets = Stored(members.where("sid is not null").groupBy("sid", "check").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens")), "join-sets", 8).df
     buckets = chosen_paths(sets)
     low = sets.select("sid", "tokens").mapInArrow(_low_halves, "sid long, low binary")
     tiles = _tiles(buckets.join(low, "sid"), "node", BUCKET_BLOCK).select("node", "i", "j", "sid", "low")
     clusters = Stored(components(tiles.mapInArrow(_bucket_edges, "a long, b long")), "join-clusters", 16).df
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    wanted = clusters.join(sizes, "root").join(sets.select(F.col("sid").alias("node"), "at", "copies"), "node").select("root", F.col("node").alias("sid"), "copies", "size", "at.doc", "at.crc")
-    fetched = keyed.join(wanted, ["doc", "crc"]).select("root", "sid", "copies", "size", "text").mapInArrow(_fetch, "root long, sid long, copies long, size long, shingles binary")
+    wanted = clusters.join(sizes, "root").join(sets.select(F.col("sid").alias("node"), "at", "copies"), "node").select("root", F.col("node").alias("sid"), "copies", "size", "at.doc", "at.alt")
+    fetched = keyed.join(wanted, ["doc", "alt"]).select("root", "sid", "copies", "size", "text").mapInArrow(_fetch, "root long, sid long, copies long, size long, shingles binary")
     exact = _tiles(fetched, "root", BLOCK).select("root", "i", "j", "sid", "blk", "copies", "shingles").mapInArrow(_exact, "sid long, links long, label long")
     links = Stored(exact, "join-links", 2).df
     classes = Stored(components(links.select(F.col("sid").alias("a"), F.col("label").alias("b"))), "join-classes", 16).df
@@ -346,24 +344,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = of.groupBy("root").agg(F.min("at").alias("least"))
     counts = links.groupBy("sid").agg(F.sum("links").alias("links"))
     verdict = of.join(least, "root").join(counts, "sid", "left").select("sid", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = members.select("doc", "crc", "sid").join(Stored(verdict, "join-verdict", 16).df, "sid", "left")
-    return out.select("doc", "crc", F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), F.coalesce("least.doc", "doc").alias("class_doc"), F.coalesce("least.crc", "crc").alias("class_crc"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = members.select("doc", "alt", "id", "sid").join(Stored(verdict, "join-verdict", 16).df, "sid", "left")
+    alone = F.col("least").isNull()
+    first = alone | ((F.col("least.doc") == F.col("doc")) & (F.col("least.alt") == F.col("alt")))
+    return out.select("doc", "alt", F.col("id").alias("doc_id"), F.when(alone, F.col("id")).otherwise(F.col("least.id")).alias("class_id"), first.alias("stays"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def join_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links) for every row; class_id: the smallest doc_id of its class."""
-    out = near_duplicates(docs, id_col, text_col)
-    return out.select("doc_id", F.when(F.col("class_doc") != _NO_ID, F.col("class_doc")).alias("class_id"), "n_links")
+    """(doc_id, class_id, n_links) for every row; class_id: the smallest doc_id of its class, null if one is null."""
+    return near_duplicates(docs, id_col, text_col).select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, that with the least id, with its columns as they were; all rows without shingles."""
+    """One row of each class, that with the least id, with its columns as they were; all rows without shingles.
+
+    Rows whose id and text are equal have one key. Which keys are repeated is known from thin rows, so only the few rows
+    with such keys are numbered; all others need no order.
+    """
+    p = "__tidewell_"
     verdict = near_duplicates(docs, id_col, text_col)
-    gone = verdict.where((F.col("doc") != F.col("class_doc")) | (F.col("crc") != F.col("class_crc"))).select(F.col("doc").alias("__tidewell_doc"), F.col("crc").alias("__tidewell_crc")).distinct()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"__tidewell_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "__tidewell_crc": (F.crc32(text) - (1 << 31)).cast("int")})
-    kept = keyed.join(Stored(gone, "join-gone", 16).df, ["__tidewell_doc", "__tidewell_crc"], "left_anti")
-    # equal rows have one key: the first of them stays
-    first = F.row_number().over(Window.partitionBy("__tidewell_doc", "__tidewell_crc").orderBy(F.lit(0)))
-    has_words = text.rlike(r"[^\x20\x09-\x0D]")
-    return kept.withColumn("__tidewell_n", first).where((F.col("__tidewell_n") == 1) | ~has_words).select(*docs.columns)
+    has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    marks = verdict.groupBy("doc", "alt").agg(F.min("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1")
+    marks = Stored(marks.select(F.col("doc").alias(f"{p}doc"), F.col("alt").alias(f"{p}alt"), F.col("stays").alias(f"{p}stays")), "join-marks", 16).df
+    keyed = docs.withColumns({p + c: v for c, v in row_keys(id_col, text_col).items()})
+    marked = keyed.join(marks, [f"{p}doc", f"{p}alt"], "left").where(F.coalesce(f"{p}stays", F.lit(True)))
+    several = F.col(f"{p}stays").isNotNull() & has_words
+    first = F.row_number().over(Window.partitionBy(f"{p}doc", f"{p}alt").orderBy(F.lit(0)))
+    repeated = marked.where(several).withColumn(f"{p}n", first).where(F.col(f"{p}n") == 1)
+    return marked.where(~several).select(*docs.columns).unionByName(repeated.select(*docs.columns))

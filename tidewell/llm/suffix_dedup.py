@@ -42,7 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, shuffle_partitions
+from .common import Stored, row_keys, shuffle_partitions
 from .tokens import small_batches
 
 LENGTH = 400
@@ -243,15 +243,8 @@ def _entries(length: int, k: int, unit: str = "bytes"):
     return run
 
 
-def _row_keys(id_col: str, text_col: str) -> dict:
-    """128 bits that know a row by its id, whether that is null, and its text."""
-    own = F.col(id_col).cast("long")
-    parts = [own.isNull(), F.coalesce(own, F.lit(0)), F.coalesce(F.col(text_col), F.lit(""))]
-    return {"doc": F.xxhash64(*parts), "alt": F.xxhash64(F.lit("alt"), *parts)}
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    keys = _row_keys(id_col, text_col)
+    keys = row_keys(id_col, text_col)
     return docs.select(keys["doc"].alias("doc"), keys["alt"].alias("alt"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("id"))
 
 
@@ -558,7 +551,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int | None = None,
     """The rows of ``docs`` with repeats cut out of their texts; ``chars_col`` follows the new text."""
     p = "__tidewell_"
     spans = repeated_spans(docs, length, k, batches, id_col, text_col, unit).select(*(F.col(c).alias(p + c) for c in ("doc", "alt", "spans")))
-    keyed = docs.withColumns({f"{p}own_{c}": v for c, v in _row_keys(id_col, text_col).items()})
+    keyed = docs.withColumns({f"{p}own_{c}": v for c, v in row_keys(id_col, text_col).items()})
     same = (F.col(f"{p}own_doc") == F.col(f"{p}doc")) & (F.col(f"{p}own_alt") == F.col(f"{p}alt"))
     joined = keyed.join(spans, same, "left").select(*docs.columns, f"{p}spans")
     out = joined.mapInArrow(_cutter(docs.columns.index(text_col), text_col, len(docs.columns), unit), docs.schema)
