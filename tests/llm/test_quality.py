@@ -43,3 +43,16 @@ def test_keep_good_keeps_columns_and_repeated_rows(edge_docs):
     assert out.columns == edge_docs.columns
     assert {tuple(r[c] for c in ("_doc", "_crc", "_n", "_spans", "_q_host", "host")) for r in out.collect()} == {(7, 8, 9, "s", "q", "h")}
     assert sorted(r["doc_id"] for r in out.collect()) == [6, 6, 8]
+
+
+def test_a_host_far_from_the_others_is_bad_at_a_realistic_rate(spark):
+    """Hosts fail in 2 to 8 documents of a hundred, one in 25; far below half, but an outlier of the fitted prior."""
+    clean = " ".join(f"word{i}" for i in range(30))
+    noisy = " ".join(f"word{i}##" for i in range(30))
+    rows = [(1000 * h + i, noisy if i < 2 + h % 7 else clean, f"host{h}") for h in range(40) for i in range(100)]
+    rows += [(90_000 + i, noisy if i < 25 else clean, "outlier") for i in range(100)]
+    rows += [(95_000, noisy, "one page")]
+    report = {r["doc_id"]: r for r in quality_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    gone = {i for i, r in report.items() if not r["kept"]}
+    assert gone == {90_000 + i for i in range(25)}
+    assert 0.1 < report[90_000]["host_rate"] < 0.5

@@ -2,8 +2,8 @@
 
 Each document gets its word, symbol, line and repetition counts and the rules that it fails. Failures are
 summed by host (``host_col``); host rates are shrunk towards the corpus by a beta prior fitted to the
-hosts by moments, so a host with few documents isn't judged by chance. A host whose shrunk rate is
-above ``max_rate`` is bad. The verdict comes back to the documents: a document that fails the base rules
+hosts by moments, so a host with few documents isn't judged by chance. A host is bad if its shrunk rate is
+``SPREAD`` standard deviations of the prior above the prior's mean, or above ``max_rate`` where that is less. The verdict comes back to the documents: a document that fails the base rules
 always goes; one that fails only soft rules goes if its host is bad; one that fails no rule stays
 wherever it comes from.
 
@@ -29,6 +29,8 @@ MAX_SYMBOLS_PER_WORD = 0.3
 MAX_DUP_LINES = 0.3
 MEAN_WORD = (2.0, 12.0)
 MAX_RATE = 0.5
+#: Standard deviations of the fitted prior.
+SPREAD = 2.0
 
 
 def _let(value: Column, body) -> Column:
@@ -91,15 +93,16 @@ def with_measures(docs: DataFrame, text_col: str, host_col: str, prefix: str = "
     return df.withColumns({f"{p}host": F.coalesce(F.col(host_col).cast("string"), F.lit("")), f"{p}base_failed": base, f"{p}soft_failed": soft})
 
 
-def host_rates(measured: DataFrame, prefix: str = "__tidewell_") -> DataFrame:
-    """(host, n_docs, n_failed, rate): failures by host, shrunk by the fitted beta prior."""
+def host_rates(measured: DataFrame, prefix: str = "__tidewell_", max_rate: float = MAX_RATE) -> DataFrame:
+    """(host, n_docs, n_failed, rate, bad): failures by host, shrunk by the fitted beta prior."""
     failed = F.col(f"{prefix}base_failed") | F.col(f"{prefix}soft_failed")
     counted = measured.groupBy(F.col(f"{prefix}host").alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed"))
     hosts = store(counted, "hosts", 64)
     k, n = F.col("n_failed"), F.col("n_docs")
     sums = hosts.agg(F.count(F.lit(1)), F.sum(n), F.sum(k), F.sum(k * k / n)).first()
     a, ab = beta_prior(*sums) if sums[0] else (0.0, 1.0)
-    return hosts.select("host", "n_docs", "n_failed", ((k + a) / (n + ab)).alias("rate"))
+    rate = (k + a) / (n + ab)
+    return hosts.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate > rate_limit(a, ab, max_rate)).alias("bad"))
 
 
 def beta_prior(hosts: int, docs: int, failed: int, squares: float) -> tuple[float, float]:
@@ -110,11 +113,17 @@ def beta_prior(hosts: int, docs: int, failed: int, squares: float) -> tuple[floa
     return mean * strength, strength
 
 
-def _verdict(measured: DataFrame, hosts: DataFrame, max_rate: float, p: str) -> DataFrame:
-    bad = hosts.select(F.col("host").alias(f"{p}host"), F.col("rate").alias(f"{p}rate"))
+def rate_limit(a: float, ab: float, max_rate: float) -> float:
+    """The rate from which a host is bad: an outlier of the fitted prior, or over ``max_rate``."""
+    mean = a / ab
+    return min(max_rate, mean + SPREAD * (mean * (1 - mean) / (ab + 1)) ** 0.5)
+
+
+def _verdict(measured: DataFrame, hosts: DataFrame, p: str) -> DataFrame:
+    bad = hosts.select(F.col("host").alias(f"{p}host"), F.col("rate").alias(f"{p}rate"), F.col("bad").alias(f"{p}bad"))
     # the size of the host table decides how Spark joins it
     joined = measured.join(bad, f"{p}host", "left")
-    return joined.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & ~(F.col(f"{p}soft_failed") & (F.coalesce(F.col(f"{p}rate"), F.lit(0.0)) > max_rate)))
+    return joined.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & ~(F.col(f"{p}soft_failed") & F.coalesce(f"{p}bad", F.lit(False))))
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
@@ -122,16 +131,16 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     p = "__tidewell_"
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), F.col(host_col).alias("_host"))
     measured = store(with_measures(thin, "_text", "_host", p).drop("_text", "_host"), "quality")
-    out = _verdict(measured, host_rates(measured, p), max_rate, p)
+    out = _verdict(measured, host_rates(measured, p, max_rate), p)
     return out.select("doc_id", *[F.col(p + c).alias(c) for c in COUNTS], F.col(p + "base_failed").alias("base_failed"), F.col(p + "kept").alias("kept"), F.col(p + "soft_failed").alias("soft_failed"), F.col(p + "host").alias("host"), F.col(p + "rate").alias("host_rate"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns as they were.
 
-    The counts are made twice, once for the hosts and once beside the rows: texts are never shuffled.
+    The rows are written once with their flags and host, so the counts are made once and texts are never shuffled.
     """
     p = "__tidewell_"
-    measured = with_measures(docs, text_col, host_col, p)
-    hosts = host_rates(measured, p)
-    return _verdict(measured, hosts, max_rate, p).where(F.col(f"{p}kept")).select(*docs.columns)
+    flags = [f"{p}host", f"{p}base_failed", f"{p}soft_failed"]
+    measured = store(with_measures(docs, text_col, host_col, p).select(*docs.columns, *flags), "quality-rows")
+    return _verdict(measured, host_rates(measured, p, max_rate), p).where(F.col(f"{p}kept")).select(*docs.columns)

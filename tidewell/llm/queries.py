@@ -98,8 +98,9 @@ _OP6 = r"""WITH w AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text
  f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols > 0.3 * n_words OR n_dup_lines > 0.3 * n_lines OR NOT word_chars BETWEEN 2.0 * n_words AND 12.0 * n_words AS soft_failed FROM m),
  h AS (SELECT host, count(*) AS n, sum(CASE WHEN base_failed OR soft_failed THEN 1.0 ELSE 0 END) AS k FROM f GROUP BY host),
  p AS (SELECT count(*) AS h, sum(n) AS n, sum(k) AS k, sum(k * k / n) AS s FROM h), q AS (SELECT k / n AS mean, (s - k * k / n) / n - k / n * (1 - k / n) * h / n AS between_hosts FROM p),
- z AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(between_hosts, 1e-9) - 1, 1.0), 1e6) AS ab FROM q), v AS (SELECT host, (k + mean * ab) / (n + ab) AS rate FROM h, z)
- SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (soft_failed AND rate > 0.5) AS kept FROM f JOIN v USING (host)"""
+ z AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(between_hosts, 1e-9) - 1, 1.0), 1e6) AS ab FROM q),
+ v AS (SELECT host, (k + mean * ab) / (n + ab) > least(0.5, mean + 2 * sqrt(mean * (1 - mean) / (ab + 1))) AS bad FROM h, z)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (soft_failed AND bad) AS kept FROM f JOIN v USING (host)"""
 
 #: The others are suffix arrays, codes, archives, models and searches that SQL doesn't express; tests hold them
 #: against brute force, exact round trips or held-out texts.
