@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages, each an operator of ``tidewell.llm`` over all that the one before kept.
 
 1. quality rules: rejected documents go. 2. n-gram Jaccard join: of each class of near copies the document
-with the least id stays. 3. suffix-array dedup: long repeated byte strings are cut out of the texts; a document
-stays even if nothing is left of it. 4. decontamination: documents that hold a benchmark item go.
+with the least id stays. 3. suffix-array dedup: passages of over 50 words that start anywhere else too are cut out of the
+texts; a document stays even if nothing is left of it. 4. decontamination: documents that hold a benchmark item go.
 5. packing: what is left becomes sequences.
 
 ``ORACLE_SQL`` is None: suffix arrays, spaced seeds and best-fit packing can't be put in SQL; tests compare
@@ -33,7 +33,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return remove_repeats(docs, length=400)
+    return remove_repeats(docs, length=51, unit="words")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
