@@ -37,6 +37,15 @@ def dense_numbers(df: DataFrame, key: str, name: str = "page_no", first: int = 0
     return ranged.withColumn("_rank", inner).join(F.broadcast(offsets), "_part").select(key, (F.col("_before") + F.col("_rank") - 1 + first).cast("long").alias(name))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by its key if it is in fewer partitions than there are cores, as a small table in one file is.
+
+    A table that is already in many partitions isn't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def prepare_pages(items: DataFrame, exact_entities: bool = True) -> DataFrame:
     """Cleaned items that are long enough, with content, field texts, merged filters, sort keys and meta."""
     title = clean.clean_title(F.coalesce("title", F.lit(""))) if exact_entities else F.coalesce("title", F.lit(""))
@@ -72,6 +81,23 @@ def word_forms(page_tokens: DataFrame, stem: bool = True) -> DataFrame:
     return forms.withColumn("term", stem_column(F.col("norm"), F.col("language")) if stem else F.col("norm"))
 
 
+def with_forms(toks: DataFrame, stem: bool = True) -> DataFrame:
+    """``toks`` with norm and term, beside the rows: no table of forms, no join. Stems are kept by word in a worker."""
+    named = toks.withColumn("norm", tokens.fold(F.col("original"))).where("norm <> ''")
+    return named.withColumn("term", stem_column(F.col("norm"), F.col("language")) if stem else F.col("norm"))
+
+
+def page_postings(pages: DataFrame, page_col: str = "page_no", stem: bool = True, emoji: bool = True) -> DataFrame:
+    """``postings`` of prepared pages. The forms of a page are found once each: its tokens meet by form before they get terms."""
+    toks = page_tokens(pages, page_col, emoji)
+    place = F.collect_list(F.when(F.col("field") != "title", F.col("position")))
+    title = F.collect_list(F.when(F.col("field") == "title", F.col("position")))
+    by_form = toks.groupBy(page_col, "language", "original").agg(place.alias("places"), title.alias("titles"))
+    whole = lambda c: F.sort_array(F.flatten(F.collect_list(c)))
+    by_term = with_forms(by_form, stem).groupBy(page_col, "term").agg(whole("places").alias("places"), whole("titles").alias("titles"))
+    return by_term.select("term", page_col, F.slice("places", 1, MAX_POSITIONS).alias("positions"), F.col("titles").alias("title_positions"), (F.size("places") + F.size("titles")).cast("long").alias("tf"))
+
+
 def postings(toks: DataFrame, forms: DataFrame, page_col: str = "page_no") -> DataFrame:
     """(term, page, positions, title_positions, tf): positions in body and path are cut to MAX_POSITIONS."""
     named = toks.join(forms, ["language", "original"])
@@ -101,12 +127,25 @@ def facet_rows(pages: DataFrame, page_col: str = "page_no", filters: str = "all_
 
 
 def sort_ranks(pages: DataFrame, page_col: str = "page_no", sortable: str = "all_sortable") -> DataFrame:
-    """(field, page, rank, is_numeric): numeric order if all values of a field are numbers, else by text; ties by page."""
+    """(field, page, rank, is_numeric): numeric order if all values of a field are numbers, else by text; ties by page.
+
+    Ranges of (field, value, page) are numbered on their own and offset by the counts of the ranges before, so a
+    field's pages never meet in one task.
+    """
     rows = pages.select(page_col, F.explode(sortable).alias("field", "value"))
     kinds = rows.groupBy("field").agg(F.bool_and(is_numeric(F.col("value"))).alias("is_numeric"))
-    number = F.when(F.col("is_numeric"), F.trim("value").try_cast("double"))
-    order = Window.partitionBy("field").orderBy(number, F.when(~F.col("is_numeric"), F.col("value")), page_col)
-    return rows.join(kinds, "field").select("field", page_col, (F.row_number().over(order) - 1).alias("rank"), "is_numeric")
+    number = F.when(F.col("is_numeric"), F.trim("value").try_cast("double")).alias("number")
+    # only the columns of the order, so that both uses below read one and the same exchange
+    keyed = rows.join(kinds, "field").select("field", number, F.when(~F.col("is_numeric"), F.col("value")).alias("word"), page_col)
+    order = ["field", "number", "word", page_col]
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keyed.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    counts = ranged.groupBy("field", "_part").agg(F.count(F.lit(1)).alias("n"))  # a row for each field and range
+    upto = Window.partitionBy("field").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("field", "_part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_part", "field").orderBy(*order[1:]))
+    placed = ranged.withColumn("_rank", inner).join(offsets, ["field", "_part"]).join(kinds, "field")
+    return placed.select("field", page_col, (F.col("_before") + F.col("_rank") - 1).cast("int").alias("rank"), "is_numeric")
 
 
 def is_numeric(value: Column) -> Column:
@@ -160,13 +199,16 @@ class TextIndex:
     page_col: str = "page_no"
 
     @classmethod
-    def of(cls, docs: DataFrame, key: str, text: str, stem_language: str | None = None) -> TextIndex:
-        """Index of one text column: words, lower case, fold; stems if a language is given."""
-        toks = text_tokens(docs, key, text)
+    def of(cls, docs: DataFrame, key: str, text: str, stem_language: str | None = None, max_positions: int | None = MAX_POSITIONS) -> TextIndex:
+        """Index of one text column: words, lower case, fold; stems if a language is given.
+
+        max_positions: positions kept for a term and page; None keeps all, which phrases need to be exact.
+        """
+        toks = text_tokens(spread(docs, key), key, text)
         if stem_language:
             forms = toks.select("term").distinct().withColumn("stem", stem_column(F.col("term"), F.lit(stem_language)))
             toks = toks.join(forms, "term").select(key, "position", F.col("stem").alias("term"))
-        return cls(toks.groupBy(key).agg(F.count(F.lit(1)).alias("length")), term_postings(toks, key), key)
+        return cls(toks.groupBy(key).agg(F.count(F.lit(1)).alias("length")), term_postings(toks, key, max_positions), key)
 
     def stats(self) -> DataFrame:
         """One row: pages, mean length."""
@@ -182,5 +224,6 @@ def text_tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(found).alias("position", "original")).select(key, "position", tokens.fold_latin(F.col("original")).alias("term"))
 
 
-def term_postings(toks: DataFrame, key: str) -> DataFrame:
-    return toks.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.slice(F.sort_array(F.collect_list("position")), 1, MAX_POSITIONS).alias("positions"))
+def term_postings(toks: DataFrame, key: str, max_positions: int | None = MAX_POSITIONS) -> DataFrame:
+    places = F.sort_array(F.collect_list("position"))
+    return toks.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), (places if max_positions is None else F.slice(places, 1, max_positions)).alias("positions")).select("term", key, "tf", "positions")

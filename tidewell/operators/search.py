@@ -67,7 +67,7 @@ def filtered(hits: DataFrame, facets: DataFrame, wanted: dict, page_col: str = "
     return hits.join(filter_pages(facets, wanted, page_col), page_col, "left_semi") if wanted else hits
 
 
-def sort_hits(hits: DataFrame, ranks: DataFrame, sort: dict[str, str], page_col: str = "page_no") -> DataFrame:
+def sort_hits(hits: DataFrame, ranks: DataFrame, sort: dict[str, str], page_col: str = "page_no", keep_rank: bool = False) -> DataFrame:
     """By the first named field; pages without it come last. An unknown direction is an error."""
     if not sort:
         return hits
@@ -75,7 +75,8 @@ def sort_hits(hits: DataFrame, ranks: DataFrame, sort: dict[str, str], page_col:
     if direction not in ("asc", "desc"):
         raise ValueError(f"sort direction {direction!r} is neither asc nor desc")
     order = F.col("rank").asc_nulls_last() if direction == "asc" else F.col("rank").desc_nulls_last()
-    return hits.join(ranks.where(F.col("field") == field).select(page_col, "rank"), page_col, "left").orderBy(order, page_col).drop("rank")
+    ordered = hits.join(ranks.where(F.col("field") == field).select(page_col, "rank"), page_col, "left").orderBy(order, page_col)
+    return ordered if keep_rank else ordered.drop("rank")
 
 
 def bm25(index: TextIndex, terms: list[str], ranking: Ranking = Ranking(), verbose: bool = False) -> DataFrame:
@@ -146,7 +147,7 @@ def stored_index(spark: SparkSession, path: str, page_col: str = "page_no") -> T
 def store_index(index: TextIndex, path: str, partitions: int) -> None:
     """Postings ordered by term over files, so that a query's literals prune row groups."""
     index.postings.repartitionByRange(partitions, "term", index.page_col).sortWithinPartitions("term", index.page_col).write.mode("overwrite").parquet(f"{path}/postings")
-    index.pages.write.mode("overwrite").parquet(f"{path}/pages")
+    index.pages.write.mode("overwrite").parquet(f"{path}/pages")  # the last one: its commit says that the store is whole
 
 
 def per_query_top_k(hits: DataFrame, k: int, query_id: str, page_col: str, score: str = "score") -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions.stem import stem_column
 from ..operators import contracts, expansion, facets, index, merge, scoring, search, snippets
 from ..sources import sink
 from ..streaming import incremental
+from .session import is_stored, shared_folder, source_version
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,8 +33,17 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def docs_index(spark: SparkSession, sf_dir: str) -> index.TextIndex:
-    return index.TextIndex.of(t(spark, sf_dir, "documents"), "doc_id", "text")
+def docs_index(spark: SparkSession, sf_dir: str, max_positions: int | None = index.MAX_POSITIONS) -> index.TextIndex:
+    return index.TextIndex.of(t(spark, sf_dir, "documents"), "doc_id", "text", max_positions=max_positions)
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> index.TextIndex:
+    """The stored index of the documents with all positions: built when it is first asked for, or their files have changed."""
+    docs = t(spark, sf_dir, "documents")
+    path = f"{shared_folder(spark).rstrip('/')}/search-index/{source_version(docs)}"
+    if not is_stored(spark, path):
+        search.store_index(docs_index(spark, sf_dir, None), path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return search.stored_index(spark, path, "doc_id")
 
 
 # SQL pieces that several oracles share
@@ -51,19 +61,29 @@ PORTABLE = r"""CASE WHEN contains(url, '://') THEN CASE WHEN regexp_replace(url,
  ELSE regexp_replace(url, '^[a-zA-Z][^:]*://[^/?#]*', '') END ELSE url END"""
 TRIMMED = rf"regexp_replace(regexp_replace({PORTABLE}, '[?#].*$', ''), '^/+|/+$', '', 'g')"
 EXPORT = rf"CASE WHEN {TRIMMED} = '' THEN 'index.html' WHEN regexp_matches({TRIMMED}, '(^|/)index\.html$') THEN {TRIMMED} ELSE {TRIMMED} || '/index.html' END"
-CLEAN = r"""c0 AS (SELECT page_id, url, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+
+
+def _without(sql: str, pattern: str) -> str:
+    return f"regexp_replace({sql}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g')"
+
+
+def _regions(sql: str) -> str:
+    for pattern in clean.REGIONS:
+        sql = _without(sql, pattern)
+    return sql
+
+
+CLEAN = rf"""c0 AS (SELECT page_id, url, {_without('html', clean.COMMENT)} AS h FROM pages),
  c1 AS (SELECT page_id, url, CASE WHEN regexp_matches(h, '(?is)<body[^>]*>.*?</body>') THEN regexp_extract(h, '(?is)<body[^>]*>(.*?)</body>', 1) ELSE h END AS h FROM c0),
- c2 AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(h, '(?is)<footer\b[^>]*>.*?</footer\s*>', '', 'g'),
-  '(?is)<[^>]*\sid\s*=\s*["''][^"'']*footer[^"'']*["''][^>]*>.*?</[^>]*>', '', 'g'), '(?is)<[^>]*\sclass\s*=\s*["''][^"'']*footer[^"'']*["''][^>]*>.*?</[^>]*>', '', 'g') AS h FROM c1),
- c3 AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(h, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?is)<nav\b[^>]*>.*?</nav\s*>', '', 'g') AS h FROM c2),
- c4 AS (SELECT page_id, url, regexp_replace(h, '(?s)<[^\s>][^>]*(?:>|$)|<>', '', 'g') AS h FROM c3),
+ c2 AS (SELECT page_id, url, {_regions('h')} AS h FROM c1),
+ c4 AS (SELECT page_id, url, regexp_replace(h, '(?s)<[^\s>][^>]*(?:>|$)|<>', '', 'g') AS h FROM c2),
  c5 AS (SELECT page_id, url, replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS h FROM c4),
  cleaned AS (SELECT page_id, url, trim(regexp_replace(h, '[\t\n\f\r \x0b]+', ' ', 'g'), ' ') AS text FROM c5)"""
 TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "pages").select("page_id", "url", clean.html_clean(F.col("html"), exact_entities=False).alias("text"))
+    return index.spread(t(spark, sf_dir, "pages"), "page_id").select("page_id", "url", clean.html_clean(F.col("html")).alias("text"))
 
 
 def doc_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,9 +183,10 @@ def document_frequency(spark, sf_dir):
     return index.lexicon(docs_index(spark, sf_dir).postings)
 
 
-@query(f"WITH {TOK} SELECT term, doc_id, count(*) AS tf, string_agg(CAST(position AS VARCHAR), ',' ORDER BY position) AS places FROM tok GROUP BY term, doc_id HAVING count(*) <= 200")
+@query(f"WITH {TOK} SELECT term, doc_id, count(*) AS tf, string_agg(CAST(position AS VARCHAR), ',' ORDER BY position) AS places FROM tok GROUP BY term, doc_id")
 def postings(spark, sf_dir):
-    return docs_index(spark, sf_dir).postings.where(F.col("tf") <= index.MAX_POSITIONS).select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("places"))
+    """All postings with all positions, those of frequent words in long texts too."""
+    return docs_index(spark, sf_dir, None).postings.select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("places"))
 
 
 @query(f"""WITH {TOK}, n AS (SELECT term, doc_id, position, row_number() OVER (PARTITION BY term, doc_id ORDER BY position) AS n FROM tok)
@@ -183,14 +204,20 @@ def postings_capped(spark, sf_dir):
 @query(r"""WITH w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}]+(?:''\p{L}+)*'))) AS form FROM documents)
  SELECT DISTINCT strip_accents(form) AS term, form, doc_id FROM w WHERE strip_accents(form) <> form""")
 def variants(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents")
-    form = docs.select("doc_id", F.explode(F.transform(tokens.words(F.col("text"), emoji=False), F.lower)).alias("form"))
-    return form.withColumn("term", tokens.fold_latin(F.col("form"))).where("term <> form").select("term", "form", "doc_id").distinct()
+    toks = _doc_fields(spark, sf_dir)
+    return index.variants(toks, index.word_forms(toks, stem=False), "doc_id")
 
 
 @query(f"WITH {TOK} SELECT doc_id, count(*) AS word_count FROM tok GROUP BY doc_id")
 def word_counts(spark, sf_dir):
-    return docs_index(spark, sf_dir).pages.select("doc_id", F.col("length").alias("word_count"))
+    return index.word_counts(_doc_fields(spark, sf_dir), "doc_id")
+
+
+def _doc_fields(spark, sf_dir):
+    """Tokens of the documents as the builder's page tokens: one body field."""
+    docs = index.spread(t(spark, sf_dir, "documents"), "doc_id")
+    places = F.posexplode(F.transform(tokens.words(F.coalesce("text", F.lit("")), emoji=False), F.lower)).alias("position", "original")
+    return docs.select("doc_id", F.col("lang").alias("language"), F.lit("body").alias("field"), places)
 
 
 @query(f"""WITH {POST}, d AS (SELECT term, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), 0) AS step, doc_id FROM post WHERE term IN {IN3})
@@ -211,18 +238,20 @@ def term_chunk_directory(spark, sf_dir):
 @query()
 def stemmed_df(spark, sf_dir):
     docs = t(spark, sf_dir, "documents")
-    toks = index.text_tokens(docs, "doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id")
-    forms = toks.select(F.col("lang").alias("of"), F.col("term").alias("form")).distinct().withColumn("stem", stem_column(F.col("form"), F.col("of")))
-    return toks.join(forms, F.col("lang").eqNullSafe(F.col("of")) & (F.col("term") == F.col("form"))).groupBy("lang", "stem").agg(F.countDistinct("doc_id").alias("df"))
+    places = F.explode(F.array_distinct(F.transform(tokens.words(F.coalesce("text", F.lit("")), emoji=False), lambda w: tokens.fold_latin(F.lower(w))))).alias("term")
+    terms = index.spread(docs, "doc_id").select("doc_id", "lang", places)
+    return terms.withColumn("stem", stem_column(F.col("term"), F.col("lang"))).groupBy("lang", "stem").agg(F.countDistinct("doc_id").alias("df"))
 
 
-@query()
+@query(f"WITH {CLEAN} SELECT page_id, text FROM cleaned")
 def html_unescape(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", clean.html_clean(F.col("html")).alias("text"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM conversations)
+ SELECT conv_id, turn, coalesce(array_to_string(list_transform(l, lambda x: '<p>' || replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#039;') || '</p>'), ''), '') AS html FROM l""")
 def markdown_render(spark, sf_dir):
+    """The given turns have paragraphs only; lists, stars and links are held by unit tests."""
     return t(spark, sf_dir, "conversations").select("conv_id", "turn", clean.render_markdown(F.col("text")).alias("html"))
 
 
@@ -231,9 +260,8 @@ def page_index(spark, sf_dir):
     """The whole build over pages: items, cleaning, tokens, folds, stems, postings."""
     from ..sources.content import site_pages
 
-    pages = index.prepare_pages(site_pages(t(spark, sf_dir, "pages"))).withColumn("page_no", F.col("id").cast("long"))
-    toks = index.page_tokens(pages)
-    return index.postings(toks, index.word_forms(toks)).select("term", "page_no", "tf", F.size("positions").alias("body"), F.size("title_positions").alias("in_title"))
+    pages = index.prepare_pages(site_pages(index.spread(t(spark, sf_dir, "pages"), "page_id"))).withColumn("page_no", F.col("id").cast("long"))
+    return index.page_postings(pages).select("term", "page_no", "tf", F.size("positions").alias("body"), F.size("title_positions").alias("in_title"))
 
 
 # -- facets and sort orders ------------------------------------------------------------------------------------
@@ -269,45 +297,46 @@ def sort_index_string(spark, sf_dir):
 
 @query(f"WITH {POST} SELECT doc_id, CAST(sum(tf) AS BIGINT) AS tf FROM post WHERE term IN {IN3} GROUP BY doc_id HAVING count(*) = 3")
 def and_search(spark, sf_dir):
-    return search.and_search(docs_index(spark, sf_dir), TERMS)
+    return search.and_search(search_index(spark, sf_dir), TERMS)
 
 
 @query(f"WITH {POST} SELECT doc_id, count(*) AS matched, CAST(sum(tf) AS BIGINT) AS tf FROM post WHERE term IN {IN3} GROUP BY doc_id")
 def or_search(spark, sf_dir):
-    return search.or_search(docs_index(spark, sf_dir), TERMS)
+    return search.or_search(search_index(spark, sf_dir), TERMS)
 
 
-@query(f"""WITH {TOK}, p AS (SELECT doc_id, position, row_number() OVER (PARTITION BY doc_id, term ORDER BY position) AS n, term FROM tok WHERE term IN ('of', 'the'))
- SELECT a.doc_id, count(*) AS phrases FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.position = a.position + 1 WHERE a.term = 'of' AND b.term = 'the' AND a.n <= 200 AND b.n <= 200 GROUP BY a.doc_id""")
+@query(f"""WITH {TOK}, p AS (SELECT doc_id, position, term FROM tok WHERE term IN ('of', 'the'))
+ SELECT a.doc_id, count(*) AS phrases FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.position = a.position + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc_id""")
 def phrase_search(spark, sf_dir):
-    return search.phrase_search(docs_index(spark, sf_dir), ["of", "the"])
+    return search.phrase_search(search_index(spark, sf_dir), ["of", "the"])
 
 
 @query(f"WITH {POST}, {FACETS} SELECT doc_id, tf FROM post WHERE term = 'the' AND doc_id IN (SELECT doc_id FROM facet WHERE dim = 'source' AND value IN ('src1', 'src2')) AND doc_id IN (SELECT doc_id FROM facet WHERE dim = 'language' AND value = 'en')")
 def filter_search(spark, sf_dir):
-    hits = search.and_search(docs_index(spark, sf_dir), ["the"])
+    hits = search.and_search(search_index(spark, sf_dir), ["the"])
     return search.filtered(hits, doc_facets(spark, sf_dir), {"source": ["src1", "src2"], "language": "en"}, "doc_id")
 
 
 @query(f"WITH {POST} SELECT doc_id, tf, row_number() OVER (ORDER BY n_chars DESC, doc_id DESC) AS place FROM post JOIN documents USING (doc_id) WHERE term = 'the'")
 def sorted_search(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     ranks = index.sort_ranks(_sortable(spark, sf_dir), "doc_id").where("field = 'n_chars'")
-    hits = search.and_search(docs_index(spark, sf_dir), ["the"])
-    return hits.join(ranks, "doc_id").select("doc_id", "tf", F.row_number().over(Window.orderBy(F.desc("rank"), "doc_id")).cast("long").alias("place"))
+    ordered = search.sort_hits(search.and_search(search_index(spark, sf_dir), ["the"]), ranks, {"n_chars": "desc"}, "doc_id", keep_rank=True)
+    place = index.dense_numbers(ordered.select((-F.col("rank")).alias("down")), "down", "place", 1)
+    return ordered.join(place, -F.col("rank") == F.col("down")).select("doc_id", "tf", "place")
 
 
 @query(f"WITH {BM25} SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 50")
 def bm25_topk(spark, sf_dir):
-    return search.top_k(search.bm25(docs_index(spark, sf_dir), TERMS), 50, "doc_id")
+    return search.top_k(search.bm25(search_index(spark, sf_dir), TERMS), 50, "doc_id")
 
 
-@query(f"""WITH {BM25}, a AS (SELECT doc_id, score FROM scored WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, score * 0.5 FROM scored WHERE doc_id % 3 = 0)
+@query(f"""WITH {BM25}, l AS (SELECT doc_id, score, lang FROM scored JOIN documents USING (doc_id)), a AS (SELECT doc_id, score FROM l WHERE lang IS DISTINCT FROM 'fr' UNION ALL SELECT doc_id, score * 0.5 FROM l WHERE lang IS DISTINCT FROM 'en')
  SELECT doc_id, round(max(score), 6) AS score FROM a GROUP BY doc_id""")
 def federated_search(spark, sf_dir):
-    hits = search.bm25(docs_index(spark, sf_dir), TERMS)
-    return search.federate((hits.where("doc_id % 2 = 0"), 1.0), (hits.where("doc_id % 3 = 0"), 0.5), key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    """Two indexes by language that share some; every document is in one of them at least."""
+    hits = search.bm25(search_index(spark, sf_dir), TERMS).join(t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    parts = [hits.where(f"not lang <=> '{lang}'") for lang in ("fr", "en")]
+    return search.federate((parts[0], 1.0), (parts[1], 0.5), key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT lang AS language, count(*) AS page_count FROM documents GROUP BY lang ORDER BY CASE WHEN lang = 'de-at' THEN 0 WHEN lang = 'de' THEN 1 ELSE 2 END, count(*) DESC, lang LIMIT 1")
@@ -356,15 +385,16 @@ def recency_decay(spark, sf_dir):
 
 # -- merging ---------------------------------------------------------------------------------------------------
 
-_LISTED = f"""listed AS (SELECT url, {TITLE} AS title, (page_id % 97) / 97.0 AS score, 0 AS list FROM pages WHERE page_id % 2 = 0
- UNION ALL SELECT url, {TITLE}, (page_id % 89) / 89.0 * 0.8, 1 FROM pages WHERE page_id % 3 = 0)"""
+_LISTED = f"""listed AS (SELECT url, {TITLE} AS title, (page_id % 97) / 97.0 AS score, 0 AS list FROM pages WHERE NOT contains(url, '/fr/')
+ UNION ALL SELECT url, {TITLE}, (page_id % 89) / 89.0 * 0.8, 1 FROM pages WHERE NOT contains(url, '/en/'))"""
 _KEY = r"regexp_replace(regexp_replace(lower(url), '\.html$', ''), '/+$', '')"
 
 
 def _lists(spark, sf_dir):
     pages = t(spark, sf_dir, "pages").select("page_id", "url", clean.page_title(F.col("html")).alias("title"))
-    a = pages.where("page_id % 2 = 0").select("url", "title", (F.pmod("page_id", F.lit(97)) / 97.0).alias("score"))
-    b = pages.where("page_id % 3 = 0").select("url", "title", (F.pmod("page_id", F.lit(89)) / 89.0).alias("score"))
+    # lists by language that share some; every page is in one of them at least
+    a = pages.where(~F.col("url").contains("/fr/")).select("url", "title", (F.pmod("page_id", F.lit(97)) / 97.0).alias("score"))
+    b = pages.where(~F.col("url").contains("/en/")).select("url", "title", (F.pmod("page_id", F.lit(89)) / 89.0).alias("score"))
     return [(a, 1.0), (b, 0.8)]
 
 
@@ -409,13 +439,13 @@ def summary_round_robin(spark, sf_dir):
  SELECT phrase, word, coalesce(df, 0) AS df, coalesce(df, 0) / CAST(n AS DOUBLE) < 0.3 OR word IN ('the') AND word NOT IN ('of') AS admitted
  FROM (VALUES ('of the', 'of'), ('of the', 'the'), ('edst and zzz', 'edst'), ('edst and zzz', 'and'), ('edst and zzz', 'zzz')) v(phrase, word) LEFT JOIN lex ON term = word, n""")
 def subword_guard(spark, sf_dir):
-    ix = docs_index(spark, sf_dir)
+    ix = search_index(spark, sf_dir)
     return expansion.subword_guard(ix.lexicon(), ["of the", "edst and zzz", "single"], ix.stats().first()[0], 0.3, typed=["the", "of"], denied=["of"])
 
 
 @query(f"WITH {POST}, n AS (SELECT CAST(count(DISTINCT doc_id) AS DOUBLE) AS n FROM post) SELECT term, round(greatest(0.15, ln(n / df) / ln(n)), 6) AS specificity FROM (SELECT term, count(*) AS df FROM post GROUP BY term), n")
 def specificity(spark, sf_dir):
-    ix = docs_index(spark, sf_dir)
+    ix = search_index(spark, sf_dir)
     total = ix.stats().first()[0]
     return ix.lexicon().select("term", F.round(expansion.specificity(F.col("df"), F.lit(float(total))), 6).alias("specificity"))
 
@@ -423,7 +453,7 @@ def specificity(spark, sf_dir):
 @query(f"""WITH {BM25}, sp(term, specificity) AS (VALUES ('with', 0.6), ('from', 0.5)), ag AS (SELECT post.doc_id, specificity, row_number() OVER (PARTITION BY post.doc_id ORDER BY specificity DESC, sp.term) - 1 AS k FROM post JOIN sp ON post.term = sp.term JOIN scored ON scored.doc_id = post.doc_id),
  b AS (SELECT doc_id, sum(0.2 * pow(0.5, k) * specificity) AS bonus FROM ag GROUP BY doc_id) SELECT doc_id, round(score + coalesce(bonus, 0), 6) AS score FROM scored LEFT JOIN b USING (doc_id)""")
 def agreement_bonus(spark, sf_dir):
-    ix = docs_index(spark, sf_dir)
+    ix = search_index(spark, sf_dir)
     agree = search.term_hits(ix, ["with", "from"]).select("doc_id", "term", F.when(F.col("term") == "with", 0.6).otherwise(0.5).alias("specificity"))
     return expansion.agreement_bonus(search.bm25(ix, TERMS), agree, page_col="doc_id").select("doc_id", "score")
 
@@ -433,19 +463,19 @@ def agreement_bonus(spark, sf_dir):
 
 @query(f"WITH {POST}, {FACETS} SELECT dim, value, count(DISTINCT doc_id) AS count FROM facet WHERE doc_id IN (SELECT doc_id FROM post WHERE term = 'the') AND doc_id IN (SELECT doc_id FROM facet WHERE dim = 'language' AND value = 'en') GROUP BY dim, value")
 def facet_structural(spark, sf_dir):
-    hits = search.and_search(docs_index(spark, sf_dir), ["the"])
+    hits = search.and_search(search_index(spark, sf_dir), ["the"])
     return facets.structural_counts(hits, doc_facets(spark, sf_dir), {"language": ["en"], "source": ["src1"]}, "doc_id")
 
 
 @query(f"WITH {POST}, {FACETS} SELECT dim, value, count(DISTINCT doc_id) AS count FROM facet WHERE doc_id IN (SELECT doc_id FROM post WHERE term IN ('der', 'les')) GROUP BY dim, value")
 def facet_or_union(spark, sf_dir):
-    ix = docs_index(spark, sf_dir)
+    ix = search_index(spark, sf_dir)
     return facets.or_union_counts([search.and_search(ix, ["der"]), search.and_search(ix, ["les"])], doc_facets(spark, sf_dir), "doc_id")
 
 
 @query(f"WITH {POST}, {FACETS} SELECT dim, value, count(DISTINCT doc_id) AS count FROM facet WHERE doc_id IN (SELECT doc_id FROM post WHERE term IN ('with', 'from')) GROUP BY dim, value")
 def facet_expansion_delta(spark, sf_dir):
-    ix = docs_index(spark, sf_dir)
+    ix = search_index(spark, sf_dir)
     return facets.expansion_counts(search.and_search(ix, ["with"]), search.and_search(ix, ["from"]), doc_facets(spark, sf_dir), "doc_id").withColumn("count", F.col("count").cast("long"))
 
 
@@ -464,7 +494,7 @@ def subject_filter_match(spark, sf_dir):
 @query(f"""WITH {POST}, {FACETS}, u AS (SELECT DISTINCT doc_id FROM post WHERE term IN {IN3}), c AS (SELECT value AS source, count(*) AS filtered FROM facet WHERE dim = 'source' AND doc_id IN (SELECT doc_id FROM u) GROUP BY value)
  SELECT source, filtered, filtered >= 5 AND filtered >= 0.1 * (SELECT count(*) FROM u) AS kept FROM c""")
 def filter_recall_guard(spark, sf_dir):
-    hits = search.or_search(docs_index(spark, sf_dir), TERMS)
+    hits = search.or_search(search_index(spark, sf_dir), TERMS)
     union = hits.count()
     counts = facets.facet_counts(hits, doc_facets(spark, sf_dir), "doc_id").where("dim = 'source'")
     return counts.select(F.col("value").alias("source"), F.col("count").alias("filtered"), ((F.col("count") >= 5) & (F.col("count") >= 0.1 * union)).alias("kept"))
@@ -541,3 +571,6 @@ def incremental_reuse(spark, sf_dir):
 def cache_prune(spark, sf_dir):
     cache = t(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("content_key"))
     return incremental.prune(cache, cache.where("source in ('src1', 'src2')"), "content_key").agg(F.count(F.lit(1)).alias("kept"))
+
+
+from . import catalogue_parts  # noqa: E402, F401  adds its queries

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import hashlib
+import re
+import tempfile
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tidewell", master: str | None = None, **conf: str) -> SparkSession:
@@ -21,3 +26,40 @@ def build_session(app: str = "tidewell", master: str | None = None, **conf: str)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where that is unset, as in tests, local mode has one of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: build the session with a folder that the driver and all executors share")
+        return _own_folder()
+    return root if ":" in root else f"file://{root}"
+
+
+def _status(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, target
+
+
+def source_version(df: DataFrame) -> str:
+    """A hash of the names, sizes and times of the files that a DataFrame reads."""
+    parts = []
+    for name in sorted(df.inputFiles()):
+        fs, path = _status(df.sparkSession, name)
+        status = fs.getFileStatus(path)
+        parts.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:24]
+
+
+def is_stored(spark: SparkSession, path: str) -> bool:
+    """Whether a store of several tables is whole: its last table has been committed."""
+    fs, target = _status(spark, f"{path}/pages/_SUCCESS")
+    return fs.exists(target)
