@@ -50,3 +50,22 @@ def test_smallest_capacity_and_whole_groups(request, name, n):
 
 def test_no_rows(no_docs):
     assert shard_documents(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("reach", [200_000, 3])
+def test_passes_and_the_end_on_the_driver_agree(spark, monkeypatch, reach):
+    import random
+
+    import tidewell.llm.sharding as S
+
+    monkeypatch.setattr(S, "IN_REACH", reach)
+    monkeypatch.setattr(S, "CANDIDATES", 5)
+    rng = random.Random(9)
+    rows = [(i if rng.random() < 0.5 else None, "x" * rng.randrange(0, 400) + str(rng.randrange(150))) for i in range(600)] + [(None, "same")] * 300
+    out = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 7).collect()
+    loads, slots = {}, {}
+    for r in out:
+        loads[r["shard"]] = loads.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(out) == 900 and max(loads.values()) == brute(rows, 7)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())

@@ -4,8 +4,13 @@ Documents with equal texts form one group that stays together. Groups are ordere
 their text, so the order doesn't depend on files or partitions. The smallest shard capacity for which
 greedy filling needs no more than ``n_shards`` shards is searched for, and the order is cut there.
 
-Only DataFrame functions run on the executors. The driver sees sums, maxima and cut positions: at most
-``CANDIDATES`` numbers for each shard and round, whatever the input.
+Cut k of a capacity lies within one largest group below k times the capacity. Where the group ends in all these
+windows are at most ``IN_REACH``, one pass brings them to the driver and the search ends there; where they are more, as with
+one huge group, passes that try ``CANDIDATES`` capacities at once narrow the range first.
+
+Only DataFrame functions run on the executors. The driver sees sums, maxima, cut positions and group ends: at most
+``CANDIDATES`` numbers for each shard and round, and ``IN_REACH`` in all, whatever the input. Rows without an id
+are dealt over the salts by their place, written down with the rows so that it stays, and numbered in any order.
 
 Defined results: a null text counts as empty (size 1). A repeated row is a row of its own with its own
 slot. With an empty table the result is empty. Shards stay empty if there are fewer groups than shards.
@@ -13,7 +18,9 @@ slot. With an empty table the result is empty. Shards stay empty if there are fe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from bisect import bisect_right
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,10 +28,17 @@ from .common import Stored, shuffle_partitions
 
 #: Capacities that one pass over the prefix sums tries at once: the search is 64-ary, not binary.
 CANDIDATES = 64
+#: Group ends that the driver may hold, 16 bytes each.
+IN_REACH = 200_000
 #: Sub-groups in which the rows of a group are numbered, so that no task gets a whole large group.
 SALTS = 64
 
 
+def _salt(own: Column) -> Column:
+    """By the id; rows without one by their place. The features are stored, so a row keeps its salt."""
+    return F.pmod(F.when(own.isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(own)), F.lit(SALTS)).cast("int")
+
+
 def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
@@ -32,7 +46,7 @@ def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.sha2(text, 256).alias("key"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(SALTS)).cast("int").alias("salt"),
+        _salt(F.col(id_col).cast("long")).alias("salt"),
     )
 
 
@@ -79,6 +93,29 @@ def _greedy(groups: DataFrame, capacities: list[int], n_shards: int, total: int)
     return cuts
 
 
+def _windows(low: int, high: int, largest: int, n_shards: int, total: int) -> list[tuple[int, int]]:
+    """Where the cuts of all capacities from low to high lie, as intervals that don't overlap."""
+    out: list[tuple[int, int]] = []
+    for k in range(1, n_shards + 1):
+        a, b = max(1, k * (low - largest)), min(k * high, total)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return [(a, b) for a, b in out if a <= b]
+
+
+def _cuts(ends: list[int], capacity: int, n_shards: int) -> list[int]:
+    """The cuts that greedy filling makes, from the sorted group ends in reach."""
+    cuts: list[int] = []
+    for _ in range(n_shards):
+        at = cuts[-1] if cuts else 0
+        if ends and at >= ends[-1]:
+            break
+        cuts.append(ends[bisect_right(ends, at + capacity) - 1])
+    return cuts
+
+
 def smallest_capacity(groups: DataFrame, n_shards: int) -> tuple[int, list[int]]:
     """The smallest feasible capacity and its cuts (bytes before each next shard)."""
     row = groups.agg(F.max("end").alias("total"), F.max("g_bytes").alias("largest")).first()
@@ -87,15 +124,26 @@ def smallest_capacity(groups: DataFrame, n_shards: int) -> tuple[int, list[int]]
         return 0, []
     low = max(-(-total // n_shards), largest)
     high = max(low, total // n_shards + largest)  # feasible: every closed shard holds more than total / n_shards
-    best: list[int] | None = None
-    while best is None or low < high:
+    while low < high:
+        inside = F.lit(False)
+        for a, b in _windows(low, high, largest, n_shards, total):
+            inside = inside | F.col("end").between(a, b)
+        reach = groups.where(inside | (F.col("end") == total)).select("end")
+        if reach.count() <= IN_REACH:
+            ends = sorted(r["end"] for r in reach.collect())  # IN_REACH at most
+            while low < high:  # binary search over the capacity
+                middle = (low + high) // 2
+                if _cuts(ends, middle, n_shards)[-1] >= total:
+                    high = middle
+                else:
+                    low = middle + 1
+            return high, _cuts(ends, high, n_shards)
         step = max(1, -(-(high - low + 1) // CANDIDATES))
         tried = sorted({*range(low, high + 1, step), high})
         cuts = _greedy(groups, tried, n_shards, total)
         k = next(i for i, c in enumerate(cuts) if c[-1] >= total)
-        best, high = cuts[k], tried[k]
-        low = tried[k - 1] + 1 if k else high
-    return high, best
+        high, low = tried[k], tried[k - 1] + 1 if k else tried[k]
+    return high, _greedy(groups, [high], n_shards, total)[0]
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
