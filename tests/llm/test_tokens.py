@@ -124,3 +124,11 @@ def test_no_rows(spark, no_docs):
     assert pack_documents(no_docs, BYTE).collect() == []
     folder, manifest = write_token_files(no_docs, WORD, 2)
     assert read_token_files(spark, folder, manifest).collect() == []
+
+
+def test_files_are_cut_at_a_number_of_ids(spark, small):
+    whole = write_token_files(small, public_tokenizers.path("word_bpe_49k.json"), 2, partitions=2)
+    cut = write_token_files(small, public_tokenizers.path("word_bpe_49k.json"), 2, partitions=2, file_tokens=5000)
+    rows = cut[1].collect()
+    assert len(rows) > 10 > 2 == whole[1].count() and all(r["tokens"] <= 5000 or r["docs"] == 1 for r in rows)
+    assert sorted(map(tuple, read_token_files(spark, *cut).collect())) == sorted(map(tuple, read_token_files(spark, *whole).collect()))

@@ -32,6 +32,8 @@ from .common import Stored, id_text, scratch, shuffle_partitions
 from .tokens import encoder, rank_table, small_batches
 
 MAGIC = b"DACTOK01"
+#: Ids in a file.
+FILE_TOKENS = 16_000_000
 CHUNK = 8
 BLOCK = 512
 
@@ -125,48 +127,57 @@ class TokenFile:
         self.f.close()
 
 
-def _write(folder: str, tokenizer: str, by_ranks: bool, end_id: int, chunk: int):
+def _write(folder: str, tokenizer: str, by_ranks: bool, end_id: int, chunk: int, file_tokens: int):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         enc, part = encoder(tokenizer, by_ranks), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
-        doc_ids, ends, parts, n = [], [], [], 0
-        for big in batches:
-            for batch in small_batches(big):
-                raw = []
-                for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
-                    n += len(ids) // 4 + 1
-                    doc_ids.append(doc_id)
-                    ends.append(n)
-                    raw.append(ids + end)
-                parts.append(b"".join(raw))
-        if doc_ids:
+        doc_ids, ends, parts, n, made = [], [], [], 0, 0
+
+        def close():
+            """Write what is held as a file; its manifest row."""
+            nonlocal doc_ids, ends, parts, n, made
             levels = encode_levels(np.frombuffer(b"".join(parts), "<u4"), chunk)
-            name = f"part-{part:06d}.dac"
+            name = f"part-{part:06d}-{made:04d}.dac"
             fs, path = _fs(folder)
             fs.create_dir(path, recursive=True)
             own = f"{path}/.{name}.{uuid.uuid4().hex}"
             with fs.open_output_stream(own) as f:
                 f.write(_layout(doc_ids, ends, levels, chunk))
             fs.move(own, f"{path}/{name}")
-            yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "docs": [len(doc_ids)], "tokens": [n]}, schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
+            row = pa.RecordBatch.from_pydict({"part": [part], "number": [made], "file": [name], "docs": [len(doc_ids)], "tokens": [n]}, schema=pa.schema([("part", pa.int32()), ("number", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
+            doc_ids, ends, parts, n, made = [], [], [], 0, made + 1
+            return row
+
+        for big in batches:
+            for batch in small_batches(big):
+                for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
+                    if n and n + len(ids) // 4 + 1 > file_tokens:
+                        yield close()
+                    n += len(ids) // 4 + 1
+                    doc_ids.append(doc_id)
+                    ends.append(n)
+                    parts.append(ids + end)
+        if doc_ids:
+            yield close()
 
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, partitions: int | None = None) -> tuple[str, DataFrame]:
-    """Write the files; returns the folder and the manifest (part, file, docs, tokens, first).
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, partitions: int | None = None, file_tokens: int = FILE_TOKENS) -> tuple[str, DataFrame]:
+    """Write the files; returns the folder and the manifest (part, number, file, docs, tokens, first).
 
-    ``first``: ids in all files before. One shuffle orders the texts by doc_id; ids are made after it.
+    ``first``: ids in all files before. One shuffle orders the texts by doc_id; ids are made after it. A task closes a file
+    before a document that would take it beyond ``file_tokens`` ids, so that it holds no more, or one document.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
     n = partitions or shuffle_partitions(spark)
     rows = id_text(docs, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = Stored(rows.mapInArrow(_write(folder, tokenizer, rank_table(tokenizer) is not None, end_id, chunk), "part int, file string, docs long, tokens long"), "token-manifest").df
-    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    manifest = Stored(rows.mapInArrow(_write(folder, tokenizer, rank_table(tokenizer) is not None, end_id, chunk, file_tokens), "part int, number int, file string, docs long, tokens long"), "token-manifest").df
+    upto = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return folder, manifest.withColumn("first", F.coalesce(F.sum("tokens").over(upto), F.lit(0)))
 
 
