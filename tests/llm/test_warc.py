@@ -59,3 +59,23 @@ def test_edges(spark):
 def test_no_rows(spark, n):
     folder, index = write_archives(spark.createDataFrame([], PAGES))
     assert read_archives(spark, folder, index).collect() == []
+
+
+def test_ranges_and_slices_of_any_size_give_one_order(spark, monkeypatch):
+    import tidewell.llm.warc as W
+
+    rng = random.Random(3)
+    captures = [(f"k{rng.randrange(40)}", f"{rng.randrange(5)}", i if i % 7 else None, "u", "f", i, 1) for i in range(3000)]
+    rows = []
+    for run in range(5):
+        own = sorted((c for i, c in enumerate(captures) if i % 5 == run), key=lambda c: (c[0], c[1], -1 if c[2] is None else c[2]))
+        rows += [(*c, run, seq) for seq, c in enumerate(own)]
+    runs = spark.createDataFrame(rows, f"{W.INDEX}, run int, seq long")
+    want = sorted((c[0], c[1], -1 if c[2] is None else c[2]) for c in captures)
+    for size, ahead in [(250_000, 2_000), (100, 7), (10_000, 1)]:
+        monkeypatch.setattr(W, "RANGE_ROWS", size)
+        monkeypatch.setattr(W, "AHEAD", ahead)
+        got = sorted(W.merge_runs(runs).collect(), key=lambda r: (r["range"], r["position"]))
+        assert [(r["url_key"], r["timestamp"], -1 if r["page_id"] is None else r["page_id"]) for r in got] == want
+        assert sorted(r["offset"] for r in got) == list(range(3000))
+        assert all(b["position"] == (a["position"] + 1 if a["range"] == b["range"] else 0) for a, b in zip(got, got[1:]))

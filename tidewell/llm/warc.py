@@ -22,8 +22,10 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,11 @@ from .common import Stored, scratch, shuffle_partitions
 
 #: Seconds since 1970 of the first capture; a capture's time is this plus its page id unless given.
 FIRST_CAPTURE = 1_577_836_800
-#: Captures sampled from all runs together to cut the key space.
+#: Captures sampled from all runs together to cut the key space; at least four for each range.
 SAMPLES = 16_384
+#: Captures in a range, about; keys of a slice in hand at once.
+RANGE_ROWS = 250_000
+AHEAD = 2_000
 LEVEL = 5
 INDEX = "url_key string, timestamp string, page_id long, url string, file string, offset long, length long"
 
@@ -168,26 +173,45 @@ def _write(folder: str):
 
 
 def _merge(batches):
-    """The slices of all runs for one range (rows sorted by run and place) merged by a loser tree."""
+    """The slices of all runs for each range (rows sorted by range, run and place) merged by a loser tree.
+
+    One range is in memory, as Arrow columns; of each slice, the keys of ``AHEAD`` rows at a time.
+    """
     import pyarrow as pa
 
-    batches = list(batches)
-    if not sum(b.num_rows for b in batches):
-        return
-    t = pa.Table.from_batches(batches)
-    cols = {n: t.column(n).to_pylist() for n in t.column_names}
-    keys = list(zip(cols["range"], cols["url_key"], cols["timestamp"], [-1 if p is None else p for p in cols["page_id"]]))
-    runs = list(zip(cols["range"], cols["run"]))
-    starts = [i for i in range(len(runs)) if not i or runs[i] != runs[i - 1]]
-    tree = LoserTree((((keys[i], i) for i in range(a, b)) for a, b in zip(starts, [*starts[1:], len(runs)])))
-    order = [i for _, i in tree]
-    out = t.take(pa.array(order)).drop_columns(["run", "seq"])
-    position, last, n = [], None, 0
-    for r in out.column("range").to_pylist():
-        n = n + 1 if r == last else 0
-        position.append(n)
-        last = r
-    yield from out.append_column("position", pa.array(position, pa.int64())).combine_chunks().to_batches()
+    def slices(t, a: int, b: int):
+        for i in range(a, b, AHEAD):
+            part = t.slice(i, min(AHEAD, b - i))
+            pages = (-1 if p is None else p for p in part.column("page_id").to_pylist())
+            yield from zip(zip(part.column("url_key").to_pylist(), part.column("timestamp").to_pylist(), pages), range(i, b))
+
+    def merged(held: list):
+        t = pa.Table.from_batches(held).combine_chunks()
+        run = t.column("run").to_numpy()
+        starts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist()]
+        tree = iter(LoserTree(slices(t, a, b) for a, b in zip(starts, [*starts[1:], len(run)])))
+        thin = t.drop_columns(["run", "seq"])
+        at = 0
+        while order := [i for _, i in islice(tree, 10_000)]:
+            out = thin.take(pa.array(order)).append_column("position", pa.array(range(at, at + len(order)), pa.int64()))
+            at += len(order)
+            yield from out.combine_chunks().to_batches()
+
+    held: list = []
+    last = None
+    for b in batches:
+        own = b.column(b.schema.get_field_index("range")).to_numpy()
+        cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+        for a, z in zip(cuts, cuts[1:]):
+            if a == z:
+                continue
+            if held and own[a] != last:
+                yield from merged(held)
+                held = []
+            held.append(b.slice(a, z - a))
+            last = own[a]
+    if held:
+        yield from merged(held)
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", seconds_col: str | None = None, min_revisit: int = 0) -> tuple[str, DataFrame]:
@@ -215,10 +239,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
 def merge_runs(runs: DataFrame) -> DataFrame:
     """Locally sorted runs (``INDEX``, run, seq) merged into one order."""
     spark = runs.sparkSession
-    n, total = shuffle_partitions(spark), runs.count()
-    step = max(1, total // SAMPLES)
+    total = runs.count()
+    n = max(shuffle_partitions(spark), -(-total // RANGE_ROWS))  # a range is one merge in memory
+    samples = max(SAMPLES, 4 * n)
+    step = max(1, total // samples)
     sample = runs.where(F.pmod("seq", F.lit(step)) == step // 2).select("url_key", "timestamp", F.coalesce("page_id", F.lit(-1)).alias("p")).orderBy("url_key", "timestamp", "p")
-    picked = [tuple(r) for r in sample.limit(2 * SAMPLES).collect()]  # at most SAMPLES and one for each run
+    picked = [tuple(r) for r in sample.collect()]  # about ``samples``, and one for each run
     cuts = [picked[i * len(picked) // n] for i in range(1, n)] if picked else []
     ranged = runs.mapInArrow(_range_of(cuts), runs.schema.simpleString()[7:-1].replace(":", " ") + ", range int")
     slices = ranged.repartition(n, "range").sortWithinPartitions("range", "run", "seq")
