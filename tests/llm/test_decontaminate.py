@@ -97,3 +97,18 @@ def test_edges(spark, edge_docs, no_docs):
     assert find_items(no_docs, bench).collect() == [] and find_items(edge_docs, bench.limit(0)).collect() == []
     assert drop_contaminated(edge_docs, bench).columns == edge_docs.columns
     assert drop_contaminated(edge_docs, bench.limit(0)).count() == edge_docs.count()
+
+
+def test_blocks_one_after_the_other(spark, monkeypatch):
+    import tidewell.llm.decontaminate as D
+
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=20)), 0) for i in range(12)]
+    docs = [(i, " ".join(rng.choices(vocabulary, k=30) + (items[i][1].split() if i % 2 and i < 12 else []))) for i in range(30)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEMS)
+    whole = sorted(map(tuple, find_items(df, bench).collect()))
+    monkeypatch.setattr(D, "BLOCK_WORDS", 50)
+    assert sum(1 for _ in D.blocks(bench)) == 6
+    assert sorted(map(tuple, find_items(df, bench).collect())) == whole and [r[:2] for r in whole] == [(i, i) for i in range(1, 12, 2)]
+    assert {r["doc_id"] for r in drop_contaminated(df, bench).collect()} == {i for i, _ in docs} - set(range(1, 12, 2))

@@ -13,7 +13,8 @@ m / 3 + 1 runs, so one of them has over 2 words if m > 6: the mask of three word
 words can have 6 matches, in runs of two, and have a seed of two words for themselves.
 
 The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words (one item at least), a pass over the
-documents each: a task has one block in memory, whatever the number of items. Documents are never
+documents each: the driver and a task have one block in memory, and the next one while it is made, whatever the number
+of items. Documents are never
 shuffled, and a word, passage or item that is in a third of them costs nothing extra.
 
 Words are split at white space, lower-cased and rid of punctuation at both ends; words of punctuation
@@ -24,12 +25,14 @@ nothing. Null and empty texts match nothing; repeated rows get repeated results.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import store
 from .tokens import small_batches
 
 #: Positions of a window that a seed looks at (1) and ignores (0).
@@ -177,32 +180,50 @@ class Block:
         return (start, end, n) if enough and n >= MIN_SHARE * (end - start) else None
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Block]:
-    """The benchmark as blocks; the driver reads one item at a time and closes a block when it is full."""
-    out: list[Block] = []
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block]:
+    """The benchmark block by block; the driver reads one item at a time and closes a block when it is full."""
     ids, texts, n = [], [], 0
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).distinct().orderBy("i", "t")
     for r in rows.toLocalIterator():
         size = len(r["t"].split())
         if ids and n + size > BLOCK_WORDS:
-            out.append(Block(ids, texts))
+            yield Block(ids, texts)
             ids, texts, n = [], [], 0
         ids.append(r["i"])
         texts.append(r["t"])
         n += size
-    return [*out, Block(ids, texts)] if ids else out
+    if ids:
+        yield Block(ids, texts)
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, schema, of: Callable, chain: bool) -> DataFrame | None:
+    """A pass over ``docs`` for each block: the union of what they give, or (``chain``) each over what the last one kept.
+
+    A benchmark of one block is a plan like any other. Of more, one block at a time is in the driver and the tasks: a pass is
+    written down before the next block is made, and its broadcast is given back.
+    """
+    source = blocks(benchmark)
+    block = next(source, None)
+    out: DataFrame | None = None
+    while block is not None:
+        following = next(source, None)
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        found = docs.mapInArrow(of(shared), schema)
+        if following is not None or out is not None:
+            found = store(found, "decontamination")
+            shared.destroy()
+        docs = found if chain else docs
+        out = found if chain or out is None else out.unionByName(found)
+        block = following
+    return out
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, first_word, end_word, n_matched) for every item in every contaminated document."""
     schema = "doc_id long, item_id long, first_word int, end_word int, n_matched int"
-    out: DataFrame | None = None
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    for block in blocks(benchmark):
-        found = rows.mapInArrow(_finder(spark.sparkContext.broadcast(block)), schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], schema)
+    out = _passes(rows, benchmark, schema, _finder, chain=False)
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def _finder(shared):
@@ -224,9 +245,8 @@ def _finder(shared):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item is found, with their columns as they were."""
     at = docs.columns.index(text_col)
-    for block in blocks(benchmark):
-        docs = docs.mapInArrow(_dropper(docs.sparkSession.sparkContext.broadcast(block), at, text_col), docs.schema)
-    return docs
+    out = _passes(docs, benchmark, docs.schema, lambda shared: _dropper(shared, at, text_col), chain=True)
+    return out if out is not None else docs
 
 
 def _dropper(shared, at: int, text_col: str):
