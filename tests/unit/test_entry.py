@@ -14,6 +14,20 @@ def test_entry_without_the_llm_subpackage(tmp_path):
     assert out.returncode == 0, out.stderr
 
 
+def test_the_rest_passes_in_a_copy_without_the_subpackage(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "corpus_pipeline.py"))
+    tests = ["tests/unit/test_words.py", "tests/unit/test_stem.py", "tests/unit/test_maintenance.py"]
+    out = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", *tests], cwd=copy, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert out.returncode == 0, out.stdout[-2000:]
+
+
+def test_a_missing_library_takes_only_the_subpackage_down():
+    code = "import sys; sys.modules['tidewell.llm.warc'] = None; import __spark_entry__ as e; assert e.queries() and not any(n.startswith('op') for n in e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
+
+
 def test_flagship(spark):
     import __spark_entry__
 
