@@ -64,3 +64,52 @@ def test_held_out_texts_score_above_the_base(spark):
 
 def test_no_rows(no_docs):
     assert score_documents(no_docs).collect() == []
+
+
+def trained(n_words, n_context, seed=0):
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(300)]
+    counts = list(range(900, 600, -1))
+    masses = np.zeros(GROUPS)
+    for w, c in zip(words, counts):
+        masses[_group(w.encode())] += c + 0.5
+    voc = Vocabulary(words, counts, sum(counts) + 50, 301, 50, masses, n_words, n_context)
+    model = Model(voc)
+    texts = [" ".join(f"w{(i * 7 + k * k) % 300}" for k in range(40)) for i in range(60)]
+    _, out, one, two, _ = voc.encode(*_split(texts))
+    model.train(voc, out, one, two, rng)
+    return voc, model, (out, one, two)
+
+
+def test_touched_rows_are_the_whole_model():
+    voc, model, tokens_ = trained(200, 150)
+    copy = Model(voc)
+    for key, rows, n, params in model.slices():
+        assert (n > 0).all()
+        copy.put(key, rows, params)
+    assert all(np.array_equal(copy.tables[k], v) for k, v in model.tables.items())
+    assert np.array_equal(copy.log_probs(*tokens_), model.log_probs(*tokens_))
+
+
+@pytest.mark.parametrize("n_words", [1, 20, 299])
+def test_trained_classes_give_whole_probabilities_and_a_gain(n_words):
+    voc, model, (out, one, two) = trained(n_words, 300)
+    for c in [(5, 9), (301, 301), (0, 300)]:
+        p = np.exp(model.log_probs(np.arange(voc.outputs), np.full(voc.outputs, c[0]), np.full(voc.outputs, c[1])))
+        assert abs(p.sum() - 1) < 1e-4
+    assert model.log_probs(out, one, two).mean() > voc.log_start[out].mean()
+    assert np.allclose(Model(voc).log_probs(out, one, two), voc.log_start[out], atol=1e-4)
+
+
+def test_vocabulary_follows_the_counts(spark, monkeypatch):
+    import tidewell.llm.lm_score as L
+
+    sizes = []
+    real = L.Vocabulary.__init__
+    monkeypatch.setattr(L.Vocabulary, "__init__", lambda self, *a: (real(self, *a), sizes.append(self))[0])
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for part in (docs.where("doc_id < 250"), docs):
+        L.score_documents(part).count()
+    a, b = sizes
+    assert b.n_context > 2 * a.n_context and b.n_words > 1.5 * a.n_words
+    assert all(v.counts[v.n_context - 1] >= L.MIN_SEEN > v.counts[v.n_context] for v in sizes)

@@ -3,20 +3,26 @@
 Learning runs over all texts that ``held_out`` doesn't name, in three passes of Spark:
 
 1. Word counts: every task counts its words, Spark adds the counts.
-2. Training: every task trains the model on all its texts, from the same start, and Spark averages the
-   parameters with the tokens of each task as weights, in slices that are shuffled by slice.
+2. Training: every task trains the model on all its texts, from the same start, and Spark averages each row of the
+   parameters with the number of updates that it got in each task as weights. A task sends the rows that it
+   has touched, in slices that are shuffled by slice.
 3. Scoring, over all texts.
 
-Model: outputs are the ``n_words`` most frequent words, the end, and ``GROUPS`` groups of all other words (by
-their last letters). The prediction from the two words before is h = c1 * r[w1] + c2 * r[w2]; output o
-has the score h.q[o] + b[o]. Context words are the ``n_context`` most frequent, one for all others and one
-for the start, so a batched matrix product over the contexts met gives each context's normaliser once,
-over all outputs. Inside a group, words share its probability by (count + 1/2), with 1/2 left for unknown
-words: probabilities add up to 1 with one unknown word in each group.
+Model: the prediction from the two words before is h = c1 * r[w1] + c2 * r[w2]. Context words are all words seen
+``MIN_SEEN`` times or more in training, one for all others and one for the start. Outputs are the most frequent
+words, ``WORDS_PER_ROOT`` for each unit of the square root of the vocabulary, the end, and ``GROUPS`` groups of all other
+words (by their last letters). So both follow the counts, up to the ``HEAD`` words that are broadcast. Outputs stand in
+order of frequency in about as many classes as a class has members: p(o) = p(class of o) * p(o in its class), with the scores
+h.u[class] + v[class] and h.q[o] + b[o], so batched matrix products over the classes and over one class's members give
+each token's exact normalisers, and their cost grows with the fourth root of the vocabulary. Both factors are trained by
+noise-contrastive estimation, with noise from the counts of classes and from those within a class. Inside
+a group, words share its probability by (count + 1/2), with 1/2 left for unknown words: probabilities add up to 1
+with one unknown word in each group.
 
 Counts reach the scoring tasks in two ways, and together they cover the whole vocabulary: the ``HEAD``
-most frequent words of at most ``HEAD_BYTES`` bytes are broadcast (a bound of HEAD * HEAD_BYTES bytes), and all
-others are joined by a shuffle on the word. The driver sees the head words and one model.
+most frequent words of at most ``HEAD_BYTES`` bytes are broadcast (a bound of HEAD * HEAD_BYTES bytes, and of HEAD * DIM * 4
+for their context vectors), and all others are joined by a shuffle on the word. The driver sees the head words
+and one model.
 
 Defined results: a null text is empty and has the end token only; if nothing is left to learn from, all
 counts are 0 and scores are those of the smoothed start. Repeated rows are scored each for itself.
@@ -37,11 +43,15 @@ from .tokens import small_batches
 HEAD = 200_000
 HEAD_BYTES = 64
 GROUPS = 256
+MIN_SEEN = 8
+WORDS_PER_ROOT = 8
 DIM = 24
-NOISE = 64
+#: Noise classes of a batch; noise words of a block of tokens of one class.
+NOISE, NOISE_INSIDE, BLOCK = 32, 8, 32
 BATCH = 8192
 RATE = 0.02
-SLICE = 8192
+#: Rows of a table that are averaged together.
+SLICE = 1024
 FAN_IN = 256
 #: Start and other, behind the context words.
 _OTHER, _START = 0, 1
@@ -122,114 +132,198 @@ class Vocabulary:
         return tokens, out, one, two, lost
 
 
-class Model:
-    """Parameters in one float32 vector: r, q, b, c1, c2."""
+def _log_sum_exp(s: np.ndarray) -> np.ndarray:
+    """Of each row; ``s`` is used up."""
+    top = s.max(1)
+    s -= top[:, None]
+    return top + np.log(np.exp(s, out=s).sum(1))
+
 
-    def __init__(self, voc: Vocabulary, flat: np.ndarray | None = None):
-        k, o = voc.n_context + 2, voc.outputs
-        sizes = [k * DIM, o * DIM, o, DIM, DIM]
-        if flat is None:
+class Model:
+    """Parameters as tables of float32 rows; outputs and their rows in q stand in order of frequency.
+
+    r: contexts; q, b: outputs within their classes; u, v: classes; c: the factors of the last word and the one before.
+    """
+
+    TABLES = {"r": "r", "q": "qb", "u": "uv", "c": "c"}
+
+    def __init__(self, voc: Vocabulary, given: dict[str, np.ndarray] | None = None):
+        order = np.argsort(-voc.log_start, kind="stable")
+        self.rank = np.empty(voc.outputs, np.int64)
+        self.rank[order] = np.arange(voc.outputs)
+        self.size = max(1, round(voc.outputs**0.5))  # members of a class
+        start = np.exp(voc.log_start[order])
+        self.first = np.arange(0, voc.outputs, self.size)
+        mass = np.add.reduceat(start, self.first)
+        self.upto = np.cumsum(start)
+        self.log_class = np.log(mass / mass.sum()).astype(np.float32)
+        self.log_inside = (np.log(start) - np.log(np.repeat(mass, self.size)[: voc.outputs])).astype(np.float32)
+        if given is None:
             rng = np.random.default_rng(1)
-            flat = np.concatenate([rng.normal(0, 0.1, k * DIM + o * DIM), voc.log_start, np.ones(DIM), np.full(DIM, 0.5)]).astype(np.float32)
-        self.flat = flat
-        r, q, self.b, self.c1, self.c2 = np.split(flat, np.cumsum(sizes)[:-1])
-        self.r, self.q = r.reshape(k, DIM), q.reshape(o, DIM)
-        self.log_z = np.full(k * k, np.nan)
-        self.seen: dict[str, np.ndarray] = {}  # sums of squared gradients
+            given = {
+                "r": rng.normal(0, 0.1, (voc.n_context + 2, DIM)), "q": np.zeros((voc.outputs, DIM)), "b": self.log_inside[:, None], "u": np.zeros((len(mass), DIM)), "v": self.log_class[:, None],
+                "c": np.stack([np.ones(DIM), np.full(DIM, 0.5)]),
+            }
+        self.tables = {k: np.array(v, np.float32) for k, v in given.items()}
+        self.r, self.q, self.u, self.c = (self.tables[k] for k in "rquc")
+        self.b, self.v = self.tables["b"][:, 0], self.tables["v"][:, 0]
+        # sums of squared gradients, and updates
+        self.seen = {k: np.full(len(v), 1e-6, np.float32) for k, v in self.tables.items()}
+        self.updates = {k: np.zeros(len(v), np.int64) for k, v in self.tables.items()}
 
     def train(self, voc: Vocabulary, out: np.ndarray, one: np.ndarray, two: np.ndarray, rng: np.random.Generator) -> None:
-        """One pass of noise-contrastive updates; a batch shares its noise, so updates are matrix products."""
-        log_noise = voc.log_start
-        cumulative = np.cumsum(np.exp(log_noise))
-        shift = (log_noise + np.log(NOISE)).astype(np.float32)
+        """One pass of noise-contrastive updates; tokens share noise, so updates are matrix products."""
         for a in range(0, len(out), BATCH):
-            w, x, y = out[a : a + BATCH], one[a : a + BATCH], two[a : a + BATCH]
-            noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), voc.outputs - 1)
+            w = self.rank[out[a : a + BATCH]]
+            order = np.argsort(w // self.size, kind="stable")
+            w, x, y = w[order], one[a : a + BATCH][order], two[a : a + BATCH][order]
             rx, ry = self.r[x], self.r[y]
-            h = self.c1 * rx + self.c2 * ry
-            qw, qn = self.q[w], self.q[noise]
-            pos = np.einsum("ij,ij->i", h, qw) + self.b[w] - shift[w]
-            neg = h @ qn.T + (self.b[noise] - shift[noise])
-            g = 1 / (1 + np.exp(np.clip(pos, -30, 30)))  # toward the data
-            gn = -1 / (1 + np.exp(-np.clip(neg, -30, 30)))  # away from the noise
-            gh = g[:, None] * qw + gn @ qn
-            self._step("q", np.concatenate([w, noise]), np.concatenate([g[:, None] * h, gn.T @ h]))
-            self._step("b", np.concatenate([w, noise]), np.concatenate([g, gn.sum(0)])[:, None])
-            self._step("r", np.concatenate([x, y]), np.concatenate([gh * self.c1, gh * self.c2]))
-            self._step("c1", np.zeros(1, np.int64), (gh * rx).sum(0)[None])
-            self._step("c2", np.zeros(1, np.int64), (gh * ry).sum(0)[None])
-
-    def _step(self, name: str, at: np.ndarray, g: np.ndarray) -> None:
-        """An AdaGrad step of each touched row by its summed gradient; a row has one rate."""
-        rows = getattr(self, name)
-        rows = rows[None] if name[0] == "c" else rows[:, None] if rows.ndim == 1 else rows
-        seen = self.seen.setdefault(name, np.full(len(rows), 1e-6, np.float32))
+            h = self.c[0] * rx + self.c[1] * ry
+            gh = self._classes(h, w // self.size, rng) + self._inside(h, w, rng)
+            self._step(np.concatenate([x, y]), r=np.concatenate([gh * self.c[0], gh * self.c[1]]))
+            self._step(np.arange(2), c=np.stack([(gh * rx).sum(0), (gh * ry).sum(0)]))
+
+    def _classes(self, h: np.ndarray, k: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        upto = np.cumsum(np.exp(self.log_class))
+        noise = np.minimum(np.searchsorted(upto, rng.random(NOISE) * upto[-1]), len(upto) - 1)
+        shift = self.log_class + np.float32(np.log(NOISE))
+        uk, un = self.u[k], self.u[noise]
+        g = _sigmoid(-(np.einsum("ij,ij->i", h, uk) + self.v[k] - shift[k]))  # toward the data
+        gn = -_sigmoid(h @ un.T + (self.v[noise] - shift[noise]))  # away from the noise
+        gh = g[:, None] * uk + gn @ un
+        self._step(np.concatenate([k, noise]), u=np.concatenate([g[:, None] * h, gn.T @ h]), v=np.concatenate([g, gn.sum(0)])[:, None])
+        return gh
+
+    def _inside(self, h: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Tokens in order of their classes, in blocks of up to ``BLOCK`` of one class with noise of their own."""
+        k = w // self.size
+        begins = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        ends = np.append(begins[1:], len(k))
+        blocks = -(-(ends - begins) // BLOCK)
+        of = np.repeat(np.arange(len(begins)), blocks)
+        place = begins[of] + BLOCK * (np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+        at = place[:, None] + np.arange(BLOCK)
+        real = at < ends[of][:, None]
+        hb = h[np.minimum(at, len(k) - 1)]
+        low = self.first[k[begins]][of]
+        high = np.minimum(low + self.size, len(self.upto)) - 1
+        below = np.where(low > 0, self.upto[low - 1], 0.0)
+        drawn = below[:, None] + rng.random((len(of), NOISE_INSIDE)) * (self.upto[high] - below)[:, None]
+        noise = np.clip(np.searchsorted(self.upto, drawn), low[:, None], high[:, None])
+        shift = self.log_inside + np.float32(np.log(NOISE_INSIDE))
+        qw, qn = self.q[w], self.q[noise]
+        g = _sigmoid(-(np.einsum("ij,ij->i", h, qw) + self.b[w] - shift[w]))
+        gn = -_sigmoid(hb @ qn.transpose(0, 2, 1) + (self.b[noise] - shift[noise])[:, None, :]) * real[:, :, None]
+        gh = g[:, None] * qw + (gn @ qn)[real]
+        away = (gn.transpose(0, 2, 1) @ hb).reshape(-1, DIM)
+        self._step(np.concatenate([w, noise.ravel()]), q=np.concatenate([g[:, None] * h, away]), b=np.concatenate([g, gn.sum(1).ravel()])[:, None])
+        return gh
+
+    def _step(self, at: np.ndarray, **gradients: np.ndarray) -> None:
+        """An AdaGrad step of each touched row of the named tables by its summed gradient; a row has one rate."""
         order = np.argsort(at, kind="stable")
         sorted_at = at[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
-        total = np.add.reduceat(g[order], first, axis=0)
-        row = sorted_at[first]
-        seen[row] += np.einsum("ij,ij->i", total, total) / total.shape[1]
-        rows[row] += (RATE / np.sqrt(seen[row]))[:, None] * total
+        row, n = sorted_at[first], np.diff(np.append(first, len(at)))
+        for name, g in gradients.items():
+            total = np.add.reduceat(g[order], first, axis=0)
+            seen = self.seen[name]
+            seen[row] += np.einsum("ij,ij->i", total, total) / total.shape[1]
+            self.tables[name][row] += (RATE / np.sqrt(seen[row]))[:, None] * total
+            self.updates[name][row] += n
+
+    def slices(self):
+        """(slice key, row numbers, updates, parameters) of what has been touched; a bias goes with its row."""
+        for name, parts in self.TABLES.items():
+            table = np.concatenate([self.tables[p] for p in parts], axis=1)
+            rows = np.flatnonzero(self.updates[name])
+            for part in np.unique(rows // SLICE).tolist():
+                own = rows[np.searchsorted(rows, part * SLICE) : np.searchsorted(rows, (part + 1) * SLICE)]
+                yield f"{name}{part}", (own - part * SLICE).astype(np.int32), self.updates[name][own], table[own]
+
+    def put(self, key: str, rows: np.ndarray, params: np.ndarray) -> None:
+        """Set the rows of a slice."""
+        name, part = key[0], int(key[1:])
+        at = 0
+        for p in self.TABLES[name]:
+            width = self.tables[p].shape[1]
+            self.tables[p][rows + part * SLICE] = params[:, at : at + width]
+            at += width
 
     def log_probs(self, out: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Normalised log-probabilities; normalisers of contexts met first come from matrix products."""
-        k = len(self.r)
-        code = one.astype(np.int64) * k + two
-        new = np.unique(code)
-        new = new[np.isnan(self.log_z[new])]
-        for a in range(0, len(new), 1024):
-            c = new[a : a + 1024]
-            s = (self.c1 * self.r[c // k] + self.c2 * self.r[c % k]) @ self.q.T + self.b
-            top = s.max(1)
-            s -= top[:, None]
-            self.log_z[c] = top + np.log(np.exp(s).sum(1, dtype=np.float64))
+        """Normalised log-probabilities: of the class, and of the output in it, by matrix products over tokens."""
         score = np.empty(len(out))
-        for a in range(0, len(out), 65536):
-            p = slice(a, a + 65536)
-            score[p] = np.einsum("ij,ij->i", self.c1 * self.r[one[p]] + self.c2 * self.r[two[p]], self.q[out[p]]) + self.b[out[p]]
-        return score - self.log_z[code]
+        for a in range(0, len(out), 32768):
+            w = self.rank[out[a : a + 32768]]
+            order = np.argsort(w // self.size, kind="stable")
+            w = w[order]
+            k = w // self.size
+            h = self.c[0] * self.r[one[a : a + 32768][order]] + self.c[1] * self.r[two[a : a + 32768][order]]
+            s = h @ self.u.T + self.v
+            lp = s[np.arange(len(k)), k].astype(np.float64)
+            lp -= _log_sum_exp(s)
+            lp += np.einsum("ij,ij->i", h, self.q[w]) + self.b[w]
+            begins = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            for i, j in zip(begins, np.append(begins[1:], len(k))):
+                m = slice(self.first[k[i]], self.first[k[i]] + self.size)
+                lp[i:j] -= _log_sum_exp(h[i:j] @ self.q[m].T + self.b[m])
+            score[a + order] = lp
+        return score
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+_SLICES = "slice string, rows binary, n binary, params binary"
+
+
+def _slice_batch(found: list[tuple], grp: int | None = None):
+    import pyarrow as pa
+
+    cols = list(zip(*found))
+    arrays = [pa.array(cols[0], pa.string()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in cols[1:])]
+    names = ["slice", "rows", "n", "params"]
+    return pa.RecordBatch.from_arrays(arrays if grp is None else [*arrays, pa.array([grp] * len(found), pa.int32())], names if grp is None else [*names, "grp"])
 
 
 def _trainer(shared):
     def run(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
         voc: Vocabulary = shared.value
         part = TaskContext.get().partitionId()
-        model, rng, n = Model(voc), np.random.default_rng(part), 0
+        model, rng = Model(voc), np.random.default_rng(part)
         for big in batches:
             for batch in small_batches(big, most_bytes=2_000_000):
                 _, out, one, two, _ = voc.encode(*_split(batch.column(0).to_pylist()))
                 order = rng.permutation(len(out))
                 model.train(voc, out[order], one[order], two[order], rng)
-                n += len(out)
-        if n:
-            parts = range(0, len(model.flat), SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array([model.flat[a : a + SLICE].tobytes() for a in parts], pa.binary()), pa.array([part % FAN_IN] * len(parts), pa.int32())], ["slice", "n", "params", "grp"])
+        for key, rows, n, params in model.slices():
+            yield _slice_batch([(key, rows, n.astype(np.int64), params)], part % FAN_IN)
 
     return run
 
 
 def _average(batches):
-    """Weighted sums of each slice, one slice in memory for each that the partition holds."""
-    import pyarrow as pa
-
-    sums: dict[int, list] = {}
+    """Weighted means of the rows of each slice, one slice in memory for each that the partition holds."""
+    sums: dict[str, list] = {}
     for b in batches:
-        for k, n, raw in zip(*(c.to_pylist() for c in b.columns[:3])):
-            held = sums.setdefault(k, [0, 0.0])
-            held[0] += n
-            held[1] = held[1] + n * np.frombuffer(raw, np.float32).astype(np.float64)
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([(v / n).astype(np.float32).tobytes() for n, v in sums.values()], pa.binary())], ["slice", "n", "params"])
+        for key, rows, n, raw in zip(*(c.to_pylist() for c in b.columns[:4])):
+            rows, n = np.frombuffer(rows, np.int32), np.frombuffer(n, np.int64)
+            params = np.frombuffer(raw, np.float32).reshape(len(rows), -1)
+            held = sums.setdefault(key, [np.zeros(SLICE, np.int64), np.zeros((SLICE, params.shape[1]))])
+            held[0][rows] += n
+            held[1][rows] += n[:, None] * params
+    for key, (n, total) in sums.items():
+        rows = np.flatnonzero(n).astype(np.int32)
+        yield _slice_batch([(key, rows, n[rows], (total[rows] / n[rows, None]).astype(np.float32))])
 
 
 _MODELS: dict[int, Model] = {}
 
 
-def _scorer(voc_shared, flat_shared, key: int):
+def _scorer(voc_shared, tables_shared, key: int):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
@@ -237,7 +331,7 @@ def _scorer(voc_shared, flat_shared, key: int):
         voc: Vocabulary = voc_shared.value
         if key not in _MODELS:
             _MODELS.clear()
-            _MODELS[key] = Model(voc, flat_shared.value)
+            _MODELS[key] = Model(voc, tables_shared.value)
         model = _MODELS[key]
         part, row = TaskContext.get().partitionId(), 0
         log_n = np.log(voc.total + 0.5 * (voc.distinct + 1))
@@ -272,8 +366,11 @@ def _scorer(voc_shared, flat_shared, key: int):
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 4096, n_context: int = 512, fold=held_out) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), scores as log10."""
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int | None = None, n_context: int | None = None, fold=held_out) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), scores as log10.
+
+    n_words, n_context: output and context words; by default they follow the counts.
+    """
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
     learn = rows.where(~fold(F.col("doc_id"))).select("text")
@@ -286,15 +383,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         masses[r["grp"]] = r["mass"]
     total, distinct = sum(r["n"] for r in by_group) + ends, sum(r["words"] for r in by_group) + (1 if ends else 0)
     head_words, head_counts = head.column(0).to_pylist(), head.column(1).to_pylist()
+    n_words = int(WORDS_PER_ROOT * distinct**0.5) if n_words is None else n_words
+    n_context = sum(n >= MIN_SEEN for n in head_counts) if n_context is None else n_context
     voc = Vocabulary(head_words, head_counts, total, distinct, ends, masses, n_words, n_context)
     shared = spark.sparkContext.broadcast(voc)
     # averaged in two steps, so no task reads the slices of all tasks
-    trained = learn.mapInArrow(_trainer(shared), "slice int, n long, params binary, grp int")
-    some = trained.repartition("slice", "grp").mapInArrow(_average, "slice int, n long, params binary")
-    averaged = sorted(some.repartition("slice").mapInArrow(_average, "slice int, n long, params binary").select("slice", "params").collect())  # one model
-    flat = np.frombuffer(b"".join(bytes(r["params"]) for r in averaged), np.float32).copy() if averaged else Model(voc).flat
-    key = zlib.crc32(flat.tobytes()) ^ total
-    scored = Stored(rows.mapInArrow(_scorer(shared, spark.sparkContext.broadcast(flat), key), "row long, doc_id long, n_tokens long, n_known long, base double, model double, tail array<string>"), "lm-scored").df
+    trained = learn.mapInArrow(_trainer(shared), f"{_SLICES}, grp int")
+    some = trained.repartition("slice", "grp").mapInArrow(_average, _SLICES)
+    model = Model(voc)
+    for key, rows_, _, raw in some.repartition("slice").mapInArrow(_average, _SLICES).collect():  # one model
+        at = np.frombuffer(rows_, np.int32)
+        model.put(key, at, np.frombuffer(raw, np.float32).reshape(len(at), -1))
+    tables = spark.sparkContext.broadcast(model.tables)
+    key = zlib.crc32(model.r.tobytes()) ^ total
+    scored = Stored(rows.mapInArrow(_scorer(shared, tables, key), "row long, doc_id long, n_tokens long, n_known long, base double, model double, tail array<string>"), "lm-scored").df
     # what the head doesn't have: counts by a shuffle on the word
     tail = scored.select("row", F.explode("tail").alias("word")).groupBy("word", "row").agg(F.count(F.lit(1)).alias("tf"))
     found = tail.join(counts.select("word", "n"), "word", "left").groupBy("row").agg(
