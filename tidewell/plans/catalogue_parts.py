@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from ..functions import clean, tokens, urls
+from ..functions.register import register
 from ..operators import contracts, expansion, facets, index, merge, scoring, search, snippets
 from ..sources import sink
-from ..sources.content import TableSource, site_pages
+from ..sources.content import TableSource, items_from_html, site_pages
+from ..sources.datasource import FragmentSource
 from ..streaming import incremental
-from .catalogue import CLEAN, FACETS, IN3, PORTABLE, POST, TERMS, TITLE, TOK, _sortable, doc_facets, docs_index, query, search_index, t
+from .catalogue import CLEAN, FACETS, IN3, PORTABLE, POST, TERMS, TITLE, TOK, _sortable, doc_facets, query, search_index, t
+from .session import shared_folder
 
 _WORD = r"'[\p{L}\p{N}]+(?:''\p{L}+)*'"
 _PLAIN_TITLE = f"replace(replace(replace(replace({TITLE}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
@@ -281,3 +286,53 @@ def source_counts(spark, sf_dir):
 def lost_references(spark, sf_dir):
     keys = t(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("content_key"))
     return spark.createDataFrame([(incremental.resolve_references(keys.select("content_key"), keys.where("source in ('src1', 'src2')"))[1],)], "lost long")
+
+
+# -- the static index and the SQL surface ----------------------------------------------------------------------
+
+
+@query(f"""WITH {PAGE_TOKENS}, n AS (SELECT page_id, count(*) FILTER (f < 2) AS word_count FROM ptok GROUP BY page_id)
+ SELECT url, CAST(word_count AS INTEGER) AS word_count, sha256(CASE WHEN title <> '' THEN title || '. ' || clean ELSE clean END) AS content_hash, '{{"language": ["' || lang || '"]}}' AS filters FROM page JOIN n USING (page_id)""")
+def static_fragments(spark, sf_dir):
+    """A whole static build of the pages, and its fragments read back by the data source."""
+    pages = built_pages(spark, sf_dir)
+    toks = index.page_tokens(pages)
+    whole = pages.join(index.word_counts(toks), "page_no")
+    forms = index.word_forms(toks)
+    folder = f"{shared_folder(spark).rstrip('/')}/static-{uuid.uuid4().hex[:12]}"
+    sink.write_static(whole, index.page_postings(pages), index.variants(toks, forms), index.sort_ranks(pages), ["title"], folder)
+    spark.dataSource.register(FragmentSource)
+    read = spark.read.format("tidewell_fragments").load(folder)
+    return read.select("url", "word_count", F.sha2("content", 256).alias("content_hash"), "filters")
+
+
+@query("SELECT 'source' AS dim, source AS value, count(*) AS count FROM documents GROUP BY source UNION ALL SELECT 'kind', 'text', count(*) FROM documents")
+def attribute_filters(spark, sf_dir):
+    """Filters in data attributes of HTML items, several to an item."""
+    html = F.concat(F.lit('<p data-index-filter="source: '), "source", F.lit('">x</p><i data-index-filter="kind:text"></i>'))
+    rows = t(spark, sf_dir, "documents").select("doc_id", html.alias("html"))
+    items = items_from_html(rows, F.col("html"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("en"))
+    return facets.total_counts(index.facet_rows(items, "id", "filters"), "id")
+
+
+@query("""WITH p AS (SELECT doc_id, text, strpos(lower(text), 'with') AS p FROM documents), s AS (SELECT doc_id, text, p, greatest(2001, p - 500) AS a, least(length(text), p + 500) AS b FROM p)
+ SELECT CAST(doc_id AS VARCHAR) AS url, CASE WHEN length(text) <= 6000 THEN text WHEN p > 2000 THEN substr(substr(text, 1, 2000) || chr(10) || '...' || chr(10) || substr(text, a, b - a + 1), 1, 6000) ELSE substr(text, 1, 2000) END AS context FROM s""")
+def batch_contexts(spark, sf_dir):
+    items = t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url"), F.lit("").alias("title"), F.col("text").alias("content"))
+    return snippets.batch_extract_context(items, ["with"]).select("url", "context")
+
+
+@query(f"SELECT page_id, regexp_replace(regexp_replace(lower(url), '\\.html$', ''), '/+$', '') AS key, strip_accents(lower({TITLE})) AS folded, {_PLAIN_TITLE} AS decoded FROM pages")
+def sql_functions(spark, sf_dir):
+    """The registered functions, called from SQL."""
+    register(spark)
+    t(spark, sf_dir, "pages").select("page_id", "url", clean.page_title(F.col("html")).alias("title")).createOrReplaceTempView("tidewell_titles")
+    return spark.sql("SELECT page_id, url_key(url) AS key, fold_word(lower(title)) AS folded, html_entities(title) AS decoded FROM tidewell_titles")
+
+
+@query(rf"""WITH w AS (SELECT item_id, regexp_extract_all(text, {_WORD}) AS w FROM benchmark) SELECT item_id, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS position, lower(unnest(w)) AS original, strip_accents(lower(unnest(w))) AS term FROM w""")
+def sql_word_table(spark, sf_dir):
+    """The table function over the benchmark's texts, without stems."""
+    register(spark)
+    t(spark, sf_dir, "benchmark").createOrReplaceTempView("tidewell_items")
+    return spark.sql("SELECT item_id, position, original, term FROM tidewell_items, LATERAL word_tokens(text, '')")
