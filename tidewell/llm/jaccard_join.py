@@ -162,9 +162,9 @@ def guaranteed(depths: list[int]) -> float:
     return 1 - missed
 
 
-def chosen_paths(sets: DataFrame) -> DataFrame:
-    """(node, sid, size) of the buckets of all runs."""
-    buckets, depths = [], []
+def chosen_paths(sets: DataFrame) -> tuple[DataFrame, list[Stored]]:
+    """(node, sid, size) of the buckets of all runs, and the stored tables that they are read from."""
+    buckets, depths, kept = [], [], []
     tokens = sets.select("sid", "tokens")
     while guaranteed(depths) < RECALL:
         at = Stored(tokens.mapInArrow(_roots(len(depths), len(depths) + RUNS), "node long, sid long, parent long"), "paths")
@@ -172,6 +172,7 @@ def chosen_paths(sets: DataFrame) -> DataFrame:
             sizes = at.df.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("parent").alias("parent")).where("size > 1")
             sized = Stored(at.df.select("node", "sid").join(sizes, "node"), "paths", 8)
             at.drop()
+            kept.append(sized)
             # small, as deep as runs go, or so alike that a split hardly parts them
             small = (F.col("size") <= (SMALL if depth < DEPTH else 1 << 62)) | (2 * F.col("size") > F.col("parent"))
             buckets.append(sized.df.where(small).select("node", "sid", "size"))
@@ -183,7 +184,7 @@ def chosen_paths(sets: DataFrame) -> DataFrame:
     out = buckets[0]
     for b in buckets[1:]:
         out = out.unionByName(b)
-    return out
+    return out, kept
 
 
 def _tiles(rows: DataFrame, group: str, block: int) -> DataFrame:
@@ -328,23 +329,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.select(keys["doc"].alias("doc"), keys["alt"].alias("alt"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("id"))
     members = Stored(keyed.mapInArrow(_sets, "doc long, alt long, id long, sid long, check long, tokens binary"), "join-members").df
     at = F.struct(F.col("id").isNotNull().alias("known"), "id", "doc", "alt")
-    sets = Stored(members.where("sid is not null").groupBy("sid", "check").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens")), "join-sets", 8).df
-    buckets = chosen_paths(sets)
+    sets = Stored(members.where("sid is not null").groupBy("sid", "check").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens")), "join-sets", 8)
+    used, sets = [sets], sets.df
+    buckets, paths = chosen_paths(sets)
     low = sets.select("sid", "tokens").mapInArrow(_low_halves, "sid long, low binary")
     tiles = _tiles(buckets.join(low, "sid"), "node", BUCKET_BLOCK).select("node", "i", "j", "sid", "low")
-    clusters = Stored(components(tiles.mapInArrow(_bucket_edges, "a long, b long")), "join-clusters", 16).df
+    used.append(Stored(components(tiles.mapInArrow(_bucket_edges, "a long, b long")), "join-clusters", 16))
+    clusters = used[-1].df
+    for x in paths:
+        x.drop()
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     wanted = clusters.join(sizes, "root").join(sets.select(F.col("sid").alias("node"), "at", "copies"), "node").select("root", F.col("node").alias("sid"), "copies", "size", "at.doc", "at.alt")
     fetched = keyed.join(wanted, ["doc", "alt"]).select("root", "sid", "copies", "size", "text").mapInArrow(_fetch, "root long, sid long, copies long, size long, shingles binary")
     exact = _tiles(fetched, "root", BLOCK).select("root", "i", "j", "sid", "blk", "copies", "shingles").mapInArrow(_exact, "sid long, links long, label long")
-    links = Stored(exact, "join-links", 2).df
-    classes = Stored(components(links.select(F.col("sid").alias("a"), F.col("label").alias("b"))), "join-classes", 16).df
+    used.append(Stored(exact, "join-links", 2))
+    links = used[-1].df
+    used.append(Stored(components(links.select(F.col("sid").alias("a"), F.col("label").alias("b"))), "join-classes", 16))
+    classes = used[-1].df
     # least member of each class, then what each set's rows get
     of = sets.select("sid", "at", "copies").join(classes.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = of.groupBy("root").agg(F.min("at").alias("least"))
     counts = links.groupBy("sid").agg(F.sum("links").alias("links"))
     verdict = of.join(least, "root").join(counts, "sid", "left").select("sid", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = members.select("doc", "alt", "id", "sid").join(Stored(verdict, "join-verdict", 16).df, "sid", "left")
+    verdict = Stored(verdict, "join-verdict", 16)
+    for x in used:
+        x.drop()
+    out = members.select("doc", "alt", "id", "sid").join(verdict.df, "sid", "left")
     alone = F.col("least").isNull()
     first = alone | ((F.col("least.doc") == F.col("doc")) & (F.col("least.alt") == F.col("alt")))
     return out.select("doc", "alt", F.col("id").alias("doc_id"), F.when(alone, F.col("id")).otherwise(F.col("least.id")).alias("class_id"), first.alias("stays"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -358,17 +368,15 @@ def join_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, that with the least id, with its columns as they were; all rows without shingles.
 
-    Rows whose id and text are equal have one key. Which keys are repeated is known from thin rows, so only the few rows
-    with such keys are numbered; all others need no order.
+    Rows whose id and text are equal have one key, and the first of them stays.
     """
     p = "__tidewell_"
     verdict = near_duplicates(docs, id_col, text_col)
     has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    marks = verdict.groupBy("doc", "alt").agg(F.min("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1")
+    marks = verdict.where("not stays").distinct()
     marks = Stored(marks.select(F.col("doc").alias(f"{p}doc"), F.col("alt").alias(f"{p}alt"), F.col("stays").alias(f"{p}stays")), "join-marks", 16).df
     keyed = docs.withColumns({p + c: v for c, v in row_keys(id_col, text_col).items()})
-    marked = keyed.join(marks, [f"{p}doc", f"{p}alt"], "left").where(F.coalesce(f"{p}stays", F.lit(True)))
-    several = F.col(f"{p}stays").isNotNull() & has_words
+    # texts are dealt out by the key, at any size of the marks; the numbers need no other order
+    marked = keyed.join(marks.hint("merge"), [f"{p}doc", f"{p}alt"], "left").where(F.coalesce(f"{p}stays", F.lit(True)))
     first = F.row_number().over(Window.partitionBy(f"{p}doc", f"{p}alt").orderBy(F.lit(0)))
-    repeated = marked.where(several).withColumn(f"{p}n", first).where(F.col(f"{p}n") == 1)
-    return marked.where(~several).select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    return marked.withColumn(f"{p}n", first).where((F.col(f"{p}n") == 1) | ~has_words).select(*docs.columns)
