@@ -28,3 +28,51 @@ def test_again_is_the_same():
 def test_every_language_is_total(language):
     for word in ("a", "ab", "y", "aaa", "xyz", "über", "нн", "ёж", "123", "'s", "don't", "x" * 300):
         assert isinstance(stem(word, language), str)
+
+
+#: Pairs of the published sample vocabularies: word and stem.
+ROMANCE = {
+    "es": (
+        "cheque chequ|chica chic|chicago chicag|chicana chican|chicas chic|chicharrones chicharron|chichimecas chichimec|chicle chicl|chicos chic|"
+        "chihuahuense chihuahuens|torá tor|tórax torax|torcer torc|toreado tor|toreados tor|toreándolo tor|torear tor|toreara tor|torearlo tor|toreó tore|"
+        "torero torer|toreros torer|torio tori|tormenta torment|tormentas torment|tornado torn|tornar torn|tornen torn|torneo torne|tornillo tornill|torno torn|"
+        "toronto toront|torpedearon torped|torpeza torpez|torrencial torrencial|torrenciales torrencial|torrente torrent|torreón torreon|torres torr|"
+        "torrescano torrescan|hablando habl"
+    ),
+    "fr": (
+        "continu continu|continua continu|continuait continu|continuant continu|continuation continu|continue continu|continué continu|continuel continuel|"
+        "continuelle continuel|continuellement continuel|continuelles continuel|continuels continuel|continuer continu|continuera continu|continuerait continu|"
+        "continueront continu|continuez continu|continuité continu|continuons continuon|contorsions contors|contour contour|contournait contourn|"
+        "contournant contourn|contourne contourn|contours contour|contractait contract|contracté contract|contractée contract|contracter contract|"
+        "contractés contract|contractions contract|contradictoirement contradictoir|contradictoires contradictoir|contraindre contraindr|contraint contraint|"
+        "contrainte contraint|contraintes contraint|contraire contrair|contraires contrair|contraria contrari|main main|mains main|maintenaient mainten|"
+        "maintenait mainten|maintenant mainten|maintenir mainten|maintenue maintenu|maintien maintien|maintint maintint|maire mair|maires mair|mairie mair|"
+        "mais mais|maison maison|maisons maison|maistre maistr|maître maîtr|maîtres maîtr|maîtresse maîtress|majesté majest|majestueuse majestu|"
+        "majestueusement majestu|majestueux majestu|majeur majeur|majeure majeur|major major|majordome majordom|majorité major|majorités major|mal mal|"
+        "malacca malacc|malade malad|maladie malad|maladies malad|maladive malad|mange mang"
+    ),
+    "it": (
+        "abbandonata abbandon|abbandonato abbandon|abbandonava abbandon|abbandonerà abbandon|abbandoneranno abbandon|abbandonerò abbandon|abbandono abband|"
+        "abbandonò abbandon|abbaruffato abbaruff|abbassamento abbass|abbassando abbass|abbassandola abbass|abbassar abbass|abbassare abbass|abbassarono abbass|"
+        "abbassarsi abbass|abbassassero abbass|abbassato abbass|abbassi abbass|abbassò abbass|abbastanza abbast|abbatté abbatt|abbattendo abbatt|"
+        "abbattere abbatt|abbattersi abbatt|abbatteva abbatt|abbattevamo abbatt|abbattimento abbatt|abbattuta abbatt|abbellita abbell|abbenché abbenc|"
+        "pronto pront|pronuncerà pronunc|pronuncia pronunc|pronunciamento pronunc|pronunciarsi pronunc|pronunciato pronunc|pronunzia pronunz|"
+        "pronunziano pronunz|pronunziarle pronunz|pronunzio pronunz|propaga propag|propagamento propag|propaganda propagand|propagarla propag|propagasse propag|"
+        "propagata propag|propagazione propag|propaghino propaghin|propalate propal|propende prop|propensi propens|propensione propension|propini propin|"
+        "propizio propiz|propone propon|proponendo propon|proponendosi propon|proponenti proponent|proponeva propon|proponga propong"
+    ),
+    "pt": (
+        "boa boa|boainain boainain|boas boas|boassu boassu|boataria boat|boate boat|boatos boat|bob bob|boba bob|bobagem bobag|bobagens bobagens|"
+        "bobalhões bobalhõ|bobear bob|bobeira bobeir|bobinho bobinh|bobs bobs|boca boc|bocadas boc|bocadinho bocadinh|bocado boc|bocaiúva bocaiúv|boçal boçal|"
+        "bocarra bocarr|bode bod|bodoque bodoqu|body body|boemia boem|boêmio boêmi|bogotá bogot|boi boi|bóia bói|boiando boi|quiabo quiab|quicaram quic|"
+        "quickly quickly|quieto quiet|quietos quiet|quilate quilat|quilinhos quilinh|quilométricas quilométr|quilômetro quilômetr|química químic|"
+        "químicos químic|quimioterapia quimioterap|quimioterápicos quimioteráp|quinhão quinhã|quinhentos quinhent|quinta quint|quintal quintal|quintão quintã|"
+        "quintessência quintessent|quintuplicou quintuplic|quinze quinz|quinzena quinzen|quiosque quiosqu"
+    ),
+}
+
+
+@pytest.mark.parametrize("language", ROMANCE)
+def test_published_pairs(language):
+    pairs = [pair.split() for pair in ROMANCE[language].split("|")]
+    assert len(pairs) > 40 and [(w, stem(w, language)) for w, _ in pairs] == [tuple(p) for p in pairs]

@@ -1,7 +1,7 @@
 """Stemmers of 14 languages after the published Snowball descriptions: English (with the changes of version 3),
-German, Dutch, Swedish, Norwegian, Danish and Russian by their steps; Spanish, French, Italian, Portuguese,
-Romanian, Catalan and Finnish by their suffix rules. Words of other languages are left as they are. Only the
-English one is held against published pairs.
+German, Dutch, Swedish, Norwegian, Danish, Russian, Spanish, French, Italian and Portuguese by their steps;
+Romanian, Catalan and Finnish by their suffix rules. Words of other languages are left as they are. English, Spanish,
+French, Italian and Portuguese are held against published pairs.
 
 ``stem_column`` is an Arrow function; give it distinct words.
 """
@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from .stem_romance import french, italian, portuguese, spanish
+
 _V = "aeiouy"
 
 
@@ -211,42 +213,6 @@ def _romance(vowels: str, standard: str, verbs: str, residual: str):
 
 
 # Derivational suffixes, verb endings and last vowels, with and without marks.
-_SPANISH = _romance(
-    "aeiouáéíóúü",
-    "anza anzas ico ica icos icas ismo ismos able ables ible ibles ista istas oso osa osos osas amiento amientos imiento imientos adora ador acion ación adoras adores aciones ante antes ancia ancias "
-    "logia logía logias logías ucion ución uciones encia encias amente mente idad idades iva ivo ivas ivos",
-    "arian arían arias arías aran arán aras arás ariais aria aría areis ariamos aremos ara ará are aré erian erían erias erías eran erán eras erás eria ería ereis eremos era erá ere eré irian irían "
-    "irias irías iran irán iras irás iria iría ireis iremos ira irá ire iré aba ada ida ia ía iera ad ed id ase iese aste iste an aban ian ían aran ieran asen iesen aron ieron ado ido ando iendo io ió ar "
-    "er ir as abas adas idas ias ías ieras ases ieses is ais abais iais arais ierais aseis ieseis asteis isteis ados idos amos abamos iamos imos aramos ieramos iesemos asemos en es emos",
-    "os a o á í ó e é",
-)
-_ITALIAN = _romance(
-    "aeiouàèìòù",
-    "anza anze ico ici ica ice iche ichi ismo ismi abile abili ibile ibili ista iste isti oso osi osa ose mente atrice atrici ante anti azione azioni atore atori logia logie uzione uzioni usione usioni enza "
-    "enze amento amenti imento imenti amente ita ità ivo ivi iva ive",
-    "ammo ando ano are arono asse assero assi assimo ata ate ati ato ava avamo avano avate avi avo emmo enda ende endi endo era erai eranno ere erebbe erebbero erei eremmo eremo ereste eresti erete ero erono "
-    "essero ete eva evamo evano evate evi evo iamo iate immo ira irai iranno ire irebbe irebbero irei iremmo iremo ireste iresti irete iro irono isca iscano isce isci isco iscono issero ita ite iti ito iva "
-    "ivamo ivano ivate ivi ivo ono uta ute uti uto ar ir",
-    "a e i o à è ì ò",
-)
-_PORTUGUESE = _romance(
-    "aeiouáéíóúâêôãõ",
-    "eza ezas ico ica icos icas ismo ismos avel ável ivel ível ista istas oso osa osos osas amento amentos imento imentos adora ador acao ação adoras adores acoes ações ante antes ancia ância logia logias "
-    "ucao ução ucoes uções encia ência encias ências amente mente idade idades iva ivo ivas ivos",
-    "ada ida ia aria eria iria ara era ira ava asse esse isse aste este iste ei arei erei irei am iam ariam eriam iriam aram eram iram avam em arem erem irem assem essem issem ado ido ando endo indo arao erao "
-    "irao ar er ir as adas idas ias arias erias irias aras eras iras avas es ardes erdes irdes ares eres ires asses esses isses astes estes istes is ais eis ieis ados idos amos iamos emos aremos eremos iremos "
-    "imos armos ermos irmos eu iu ou",
-    "os a i o á í ó e é ê",
-)
-_FRENCH = _romance(
-    "aeiouyâàëéêèïîôûù",
-    "ance iqUe isme able iste eux ances ismes ables istes atrice ateur ation atrices ateurs ations logie logies usion ution usions utions ence ences ement ements ite ité ites ités if ive ifs ives euse euses "
-    "ique iques amment emment ment ments issement issements",
-    "imes it ites i ie ies ir ira irai iraient irais irait iras irent irez iriez irions irons iront is issaient issais issait issant issante issants isse issent isses issez issiez issions issons ions e ee ée "
-    "ees ées es erent èrent er era erai eraient erais erait eras erez eriez erions erons eront ez iez é és ai aient ais ait ant ante antes ants as asse assent asses assiez assions a",
-    "s e ion ier",
-)
-
 _ROMANIAN = _romance(
     "aeiouăâî",
     "abila abile abili abilă ibila ibile ibili ibilă atoare atori ator atoarea atorul itate itati ități itatea icala icale icali icală iciva icive icivi ant anta ante anti antă ist ista iste isti istă iști "
@@ -354,7 +320,7 @@ def _finnish(word: str) -> str:
 
 
 STEMMERS = {
-    "en": _english, "de": _german, "nl": _dutch, "es": _SPANISH, "fr": _FRENCH, "it": _ITALIAN, "pt": _PORTUGUESE, "ro": _ROMANIAN, "ca": _CATALAN, "sv": _SWEDISH, "no": _NORWEGIAN, "nb": _NORWEGIAN,
+    "en": _english, "de": _german, "nl": _dutch, "es": spanish, "fr": french, "it": italian, "pt": portuguese, "ro": _ROMANIAN, "ca": _CATALAN, "sv": _SWEDISH, "no": _NORWEGIAN, "nb": _NORWEGIAN,
     "da": _DANISH, "fi": _finnish, "ru": _russian,
 }
 
