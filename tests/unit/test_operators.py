@@ -325,3 +325,15 @@ def test_constant_dimension_and_clients(spark):
     assert ask("", "x") == "X"
     with pytest.raises(ZeroDivisionError):
         contracts.first_working(lambda p, t: 1 / 0)("", "x")
+
+
+def test_a_batch_scores_as_its_queries_do_one_by_one(spark):
+    rows = [("Red apple pie", "an apple a day", datetime.date(2024, 1, 1), [1, 2]), ("apple", "pie and more", None, None), ("", None, None, [1, 9]), ("Pear", "apple pie", datetime.date(2015, 1, 1), [3])]
+    base = spark.createDataFrame([(*r, 1.0 - i / 4) for i, r in enumerate(rows)], "title string, excerpt string, date date, locations array<int>, base double")
+    day = F.lit("2024-06-01").cast("date")
+    asked = {"a": (["apple", "pie"], "apple", {}), "b": (["pear"], " Pear ", {"exact_title_boost": 9.0, "content_match_boost": 1.0}), "c": ([], "", {})}
+    queries = spark.createDataFrame([(k, t, q, o.get("exact_title_boost"), o.get("content_match_boost")) for k, (t, q, o) in asked.items()], "query_id string, terms array<string>, query string, exact_title_boost double, content_match_boost double")
+    got = scoring.score_batch(base.withColumn("query_id", F.explode(F.array(*map(F.lit, asked)))), queries, as_of=day)
+    for k, (terms, query, own) in asked.items():
+        want = scoring.score_results(base, terms, query, scoring.ScoreConfig(**own), as_of=day)
+        assert sorted((r["base"], r["score"]) for r in got.where(F.col("query_id") == k).collect()) == sorted((r["base"], r["score"]) for r in want.collect())

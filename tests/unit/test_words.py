@@ -32,3 +32,16 @@ def test_queries(spark):
     one = spark.createDataFrame([("The art of the deal", "the of")], "a string, b string")
     assert one.select(search_terms(F.col("a"), ["the", "of"]), search_terms(F.col("b"), ["the", "of"])).first() == (["art", "deal"], ["the", "of"])
     assert one.select(significant_words(F.lit("A big, BIG dog"))).first()[0] == ["big", "dog"]
+
+
+def test_keyed_digests(spark):
+    import hmac
+
+    from tidewell.functions.hashing import hmac_sha256, intact
+
+    for key in (b"", b"k", b"x" * 64, b"y" * 100):
+        df = spark.createDataFrame([("",), ("abc",), ("日本語" * 50,)], "m string")
+        got = {r["m"]: r["d"] for r in df.select("m", hmac_sha256(F.col("m"), key).alias("d")).collect()}
+        assert got == {m: hmac.new(key, m.encode(), "sha256").hexdigest() for m in got}
+    row = spark.createDataFrame([("abc", "abd")], "a string, b string").select(*[intact(F.col(c), F.crc32(F.lit("abc")), hmac_sha256(F.lit("abc"), b"k"), b"k") for c in "ab"]).first()
+    assert tuple(row) == (True, False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +31,18 @@ def corpus_fingerprint(items: DataFrame, id_col: str, body_col: str, prefix: str
 
 def cache_key(action: Column, generation: Column, parts: list[Column], prefix: str = "tidewell") -> Column:
     return F.concat_ws("_", F.lit(prefix), action, generation.cast("string"), F.sha2(F.lower(F.concat_ws("|", *parts)), 256))
+
+
+def hmac_sha256(message: Column, key: bytes) -> Column:
+    """Keyed digest (RFC 2104) of a text or of bytes, natively: what wrote a chunk, and that nothing has changed it."""
+    block = hashlib.sha256(key).digest() if len(key) > 64 else key
+    block = block.ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ mask for b in block)) for mask in (0x36, 0x5C))
+    first = F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))
+    return F.sha2(F.concat(outer, first), 256)
+
+
+def intact(message: Column, crc: Column, mac: Column | None = None, key: bytes = b"") -> Column:
+    """Whether a record has its crc32, and its keyed digest if one is given."""
+    same = F.crc32(message.cast("binary")) == crc
+    return same if mac is None else same & (hmac_sha256(message, key) == mac)

@@ -119,3 +119,29 @@ def batch_score_results(batches: list[tuple[str, DataFrame, list[str], str, dict
     if out is None:
         raise ValueError("no queries to score")
     return out.orderBy("query_id", F.desc("score"))
+
+
+#: Fields of ``ScoreConfig`` that a query of a batch may have as columns of its own.
+OVERRIDES = ("title_match_boost", "title_all_terms_multiplier", "content_match_boost", "content_all_terms_multiplier", "exact_title_boost")
+
+
+def score_batch(results: DataFrame, queries: DataFrame, config: ScoreConfig = ScoreConfig(), as_of: Column | None = None) -> DataFrame:
+    """``score_results`` for a table of queries in one plan, however many they are.
+
+    ``results`` has query_id and what ``score_results`` reads; ``queries`` has query_id, terms (array) and query, and columns named
+    as in ``OVERRIDES`` where queries differ from ``config`` (null: no difference).
+    """
+    own = [c for c in OVERRIDES if c in queries.columns]
+    asked = queries.select("query_id", F.array_distinct("terms").alias("_terms"), F.lower(F.trim("query")).alias("_query"), *[F.col(c).alias(f"_{c}") for c in own])
+    rows = results.join(asked, "query_id")
+    value = {c: F.coalesce(F.col(f"_{c}"), F.lit(getattr(config, c))) if c in own else F.lit(getattr(config, c)) for c in OVERRIDES}
+
+    def boost(text: str, kind: str) -> Column:
+        found = F.transform(words(F.coalesce(F.col(text), F.lit("")), emoji=False), lambda w: fold_latin(F.lower(w)))
+        share = F.size(F.array_intersect(found, "_terms")) / F.greatest(F.lit(1), F.size("_terms")).cast("double")
+        return value[f"{kind}_match_boost"] * share * F.when(share >= 1, value[f"{kind}_all_terms_multiplier"]).otherwise(1.0)
+
+    young = recency(F.col("date"), as_of, config) if as_of is not None else F.lit(0.0)
+    exact = F.when((F.lower(F.trim("title")) == F.col("_query")) & (F.col("_query") != "") & (value["exact_title_boost"] > 1), value["exact_title_boost"]).otherwise(1.0)
+    score = (F.col("base") + young + boost("title", "title") + boost("excerpt", "content")) * phrase_factor(F.col("locations"), config) * exact
+    return rows.withColumn("score", F.round(score, 6)).select(*results.columns, "score")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from ..functions import clean, tokens, urls
+from ..functions import clean, hashing, tokens, urls
 from ..functions.register import register
 from ..operators import contracts, expansion, facets, index, merge, scoring, search, snippets
 from ..sources import sink
@@ -133,6 +133,13 @@ def cbor_pairs(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", _cbor_pair("source", "n_chars").alias("cbor"))
 
 
+@query("""SELECT doc_id, true AS intact, sha256(unhex('373e252f' || repeat('5c', 60)) || unhex(sha256(unhex('5d544f45' || repeat('36', 60)) || encode(text)))) AS mac FROM documents""")
+def record_macs(spark, sf_dir):
+    """Keyed digests of records, and that each is what was signed (the key: 'kbys')."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text", F.crc32("text").alias("crc"), hashing.hmac_sha256(F.col("text"), b"kbys").alias("mac"))
+    return docs.select("doc_id", hashing.intact(F.col("text"), F.col("crc"), F.col("mac"), b"kbys").alias("intact"), "mac")
+
+
 # -- search ----------------------------------------------------------------------------------------------------
 
 
@@ -218,6 +225,17 @@ def scored_results(spark, sf_dir):
     return scoring.score_results(placed, TERMS, "the of and").select("page_id", "score")
 
 
+@query(f"""WITH q(query_id, terms, boost) AS (VALUES ('a', ['the', 'of'], 2.0), ('b', ['les'], 3.5)), r AS (SELECT page_id, {TITLE} AS title FROM pages),
+ s AS (SELECT query_id, page_id, boost, len(list_intersect(list_distinct(list_transform(regexp_extract_all(title, {_WORD}), lambda x: strip_accents(lower(x)))), terms)) / CAST(len(terms) AS DOUBLE) AS s FROM r, q)
+ SELECT query_id, page_id, round(1 + boost * s * CASE WHEN s >= 1 THEN 1.5 ELSE 1 END, 6) AS score FROM s""")
+def batch_scores(spark, sf_dir):
+    """Two queries, one with a title boost of its own, over all pages in one plan."""
+    queries = spark.createDataFrame([("a", ["the", "of", "the"], "the of", None), ("b", ["les"], "les", 3.5)], "query_id string, terms array<string>, query string, title_match_boost double")
+    rows = t(spark, sf_dir, "pages").select("page_id", clean.page_title(F.col("html")).alias("title"), F.lit("").alias("excerpt"), F.lit(None).cast("date").alias("date"), F.lit(None).cast("array<int>").alias("locations"), F.lit(1.0).alias("base"))
+    both = rows.withColumn("query_id", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    return scoring.score_batch(both, queries).select("query_id", "page_id", "score")
+
+
 @query("SELECT doc_id, round(greatest(0.4, 0.5 - 0.05 * doc_id), 6) AS weight FROM documents")
 def expansion_weights(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.round(merge.expansion_weight(F.col("doc_id")), 6).alias("weight"))
