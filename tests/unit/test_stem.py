@@ -31,7 +31,7 @@ def test_every_language_is_total(language):
 
 
 #: Pairs of the published sample vocabularies: word and stem.
-ROMANCE = {
+PUBLISHED = {
     "es": (
         "cheque chequ|chica chic|chicago chicag|chicana chican|chicas chic|chicharrones chicharron|chichimecas chichimec|chicle chicl|chicos chic|"
         "chihuahuense chihuahuens|torá tor|tórax torax|torcer torc|toreado tor|toreados tor|toreándolo tor|torear tor|toreara tor|torearlo tor|toreó tore|"
@@ -69,10 +69,54 @@ ROMANCE = {
         "químicos químic|quimioterapia quimioterap|quimioterápicos quimioteráp|quinhão quinhã|quinhentos quinhent|quinta quint|quintal quintal|quintão quintã|"
         "quintessência quintessent|quintuplicou quintuplic|quinze quinz|quinzena quinzen|quiosque quiosqu"
     ),
+    "de": (
+        "aufeinander aufeinand|aufeinanderbiss aufeinanderbiss|aufeinanderfolge aufeinanderfolg|aufeinanderfolgen aufeinanderfolg|"
+        "aufeinanderfolgend aufeinanderfolg|aufeinanderfolgende aufeinanderfolg|aufeinanderfolgenden aufeinanderfolg|aufeinanderfolgender aufeinanderfolg|"
+        "aufeinanderfolgt aufeinanderfolgt|aufeinanderfolgten aufeinanderfolgt|aufeinanderschlügen aufeinanderschlug|aufenthalt aufenthalt|"
+        "aufenthalten aufenthalt|aufenthaltes aufenthalt|auferlegen auferleg|auferlegt auferlegt|auferlegten auferlegt|auferstand auferstand|"
+        "auferstanden auferstand|auferstehen aufersteh|aufersteht aufersteht|auferstehung aufersteh|auferstünde auferstund|auferwecken auferweck|"
+        "auferweckt auferweckt|auferweckung auferweck|kategorie kategori|kategorien kategori|kategorisch kategor|kategorische kategor|kategorischen kategor|"
+        "kategorischer kategor|kater kat|katerliede katerlied|katern kat|katers kat|käthchen kathch|kathedrale kathedral|kathinka kathinka|katholik kathol|"
+        "katholische kathol|katholischen kathol|kattun kattun|kattunhalstücher kattunhalstuch|katz katz|katze katz|katzen katz|katzensprung katzenspr"
+    ),
+    "nl": (
+        "lichaamsziek lichaamsziek|lichamelijk licham|lichamelijke licham|lichamelijkheden licham|lichamen licham|lichere licher|licht licht|lichte licht|"
+        "lichten licht|lichtende lichtend|lichter lichter|lichters lichter|opheffen opheff|opheffende opheff|opheffing opheff|opgingen opging"
+    ),
+    "sv": (
+        "jakt jakt|jaktbössa jaktböss|jakten jakt|jakthund jakthund|jaktkarl jaktkarl|jaktkarlar jaktkarl|jaktkarlarne jaktkarl|jaktkarlens jaktkarl|"
+        "jaktlöjtnanten jaktlöjtnant|jaktlöjtnantens jaktlöjtnant|jalusi jalusi|jalusien jalusi|jalusier jalusi|jalusierna jalusi|jamaika jamaik|jamat jam|"
+        "jamrande jamr|jamt jamt|jemna jemn|klo klo|kloaken kloak|klock klock|klocka klock|klockan klockan|klockor klock|klok klok|kloka klok|klokare klok|"
+        "klokast klok|klokaste klok|klokhet klok|klokt klokt|kloroform kloroform|kloster klost|klostergården klostergård|klosterporten klosterport"
+    ),
+    "da": (
+        "indtage indtag|indtagelse indtag|indtager indtag|indtages indtag|indtaget indtag|indtil indtil|indtog indtog|indtraf indtraf|indtryk indtryk|"
+        "indtræde indtræd|indtræder indtræd|indtræffe indtræf|indtræffer indtræf|indtrængende indtræng|indtægt indtæg|indtægter indtæg|indtægterne indtæg|"
+        "indvandre indvandr"
+    ),
+    "no": (
+        "havnedistriktene havnedistrikt|havnedistrikter havnedistrikt|havnedistriktet havnedistrikt|havnedistriktets havnedistrikt|havnedrift havnedrift|"
+        "havneeffektivitet havneeffektivit|havneeier havneei|havneeiere havneeier|havneenheter havneen|havneforbund havneforbund|havneforbundets havneforbund|"
+        "havneforvaltningen havneforvaltning|havnefunksjonene havnefunksjon|opprettelse opprett|opprettelsen opprett|opprettelsens opprett"
+    ),
+    "ru": (
+        "в в|вавиловка вавиловк|вагнера вагнер|вагон вагон|вагона вагон|вагоне вагон|вагонов вагон|вагоном вагон|вагоны вагон|важная важн|важнее важн|"
+        "важнейшие важн|важнейшими важн|важничал важнича|важно важн|важного важн|важное важн|важной важн|важном важн|важному важн|важности важност|"
+        "важностию важност|важность важност|важностью важност|важную важн|важны важн|важные важн|важный важн|важным важн|важных важн|вазах ваз|вазы ваз|"
+        "вакса вакс|вакханка вакханк|вал вал|валандался валанда|валентина валентин|валериановых валерианов|валерию валер|валетами валет|п п|па па|пава пав|"
+        "павел павел|павильон павильон|павильонам павильон|павла павл|павлиний павлин|павлиньи павлин|павлиньим павлин|павлович павлович|павловна павловн|"
+        "павловне павловн|павловной павловн|павловну павловн|павловны павловн|павловцы павловц|павлыч павлыч|павлыча павлыч|пагубная пагубн|падает пада|"
+        "падай пада|падал пада|падала пада|падаль падал|падать пада|падаю пада|падают пада|падающего пада|падающие пада|падеж падеж|падение паден|"
+        "падением паден|паденьем паден|паденья паден|падет падет|падут падут|падчерица падчериц|падчерицы падчериц|падшая падш"
+    ),
+    "fi": (
+        "edeltänyt edeltäny|edeltävien edeltäv|edelyttivät edelyttiv|edesmennen edesmen|edessä ede|edestakaisin edestakais|edestä ede|innostuneet innostun|"
+        "talossa talo|taloissa talo"
+    ),
 }
 
 
-@pytest.mark.parametrize("language", ROMANCE)
+@pytest.mark.parametrize("language", PUBLISHED)
 def test_published_pairs(language):
-    pairs = [pair.split() for pair in ROMANCE[language].split("|")]
-    assert len(pairs) > 40 and [(w, stem(w, language)) for w, _ in pairs] == [tuple(p) for p in pairs]
+    pairs = [pair.split() for pair in PUBLISHED[language].split("|")]
+    assert len(pairs) > 9 and [(w, stem(w, language)) for w, _ in pairs] == [tuple(p) for p in pairs]

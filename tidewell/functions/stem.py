@@ -1,7 +1,7 @@
 """Stemmers of 14 languages after the published Snowball descriptions: English (with the changes of version 3),
-German, Dutch, Swedish, Norwegian, Danish, Russian, Spanish, French, Italian and Portuguese by their steps;
-Romanian, Catalan and Finnish by their suffix rules. Words of other languages are left as they are. English, Spanish,
-French, Italian and Portuguese are held against published pairs.
+German, Dutch, Swedish, Norwegian, Danish, Russian, Finnish, Spanish, French, Italian and Portuguese by their
+steps; Romanian and Catalan by their suffix rules. Words of other languages are left as they are. All but the last
+two are held against published pairs.
 
 ``stem_column`` is an Arrow function; give it distinct words.
 """
@@ -151,7 +151,7 @@ def _german(word: str) -> str:
     return w.lower().translate(str.maketrans("äöü", "aou"))
 
 
-def _scandinavian(suffixes: str, s_after: str, pairs: str, last: str, vowels: str):
+def _scandinavian(suffixes: str, s_after: str, pairs: str, last: str, vowels: str, undouble: bool = False):
     main, doubles, tail = suffixes.split(), tuple(pairs.split()), last.split()
 
     def stem(word: str) -> str:
@@ -163,7 +163,8 @@ def _scandinavian(suffixes: str, s_after: str, pairs: str, last: str, vowels: st
         if len(w) > r1 and w[r1:].endswith(doubles):
             w = w[:-1]
         s = _ends(w[r1:], tail)
-        return w[: -len(s)] if s else w
+        w = w[: -len(s)] if s else w
+        return w[:-1] if undouble and len(w) > r1 and w[-1:] == w[-2:-1] and w[-1] not in vowels else w
 
     return stem
 
@@ -178,7 +179,7 @@ _NORWEGIAN = _scandinavian(
 )
 _DANISH = _scandinavian(
     "hed ethed ered e erede ende erende ene erne ere en heden eren er heder erer heds es endes erendes enes ernes eres ens hedens erens ers ets erets et eret",
-    "abcdfghjklmnoprtvyzå", "gd dt gt kt", "ig lig elig els", "aeiouyæåø",
+    "abcdfghjklmnoprtvyzå", "gd dt gt kt", "ig lig elig els", "aeiouyæåø", undouble=True,
 )
 
 
@@ -268,15 +269,26 @@ def _dutch(word: str) -> str:
     return w.lower()
 
 
-# Suffixes of the Russian description; a folded й counts as и.
+# Suffixes of the Russian description, those of a first group only after а or я; a folded й counts as и.
 _RU = {
-    "gerund": "вшись вши в",
-    "gerund_any": "ившись ившись ывшись ивши ывши ив ыв",
-    "adjective": "ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею",
-    "participle": "ивш ывш ующ ем нн вш ющ щ",
-    "verb": "ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно ю",
-    "noun": "а ев ов ие ье е иями ями ами еи ии и ией ей ой ий й иям ям ием ем ам ом о у ах иях ях ы ь ию ью ю ия ья я",
-}
+    "gerund": ("в вши вшись", "ив ивши ившись ыв ывши ывшись"),
+    "adjective": ("", "ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею"),
+    "participle": ("ем нн вш ющ щ", "ивш ывш ующ"),
+    "verb": (
+        "ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно",
+        "ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ю",
+    ),
+    "noun": ("", "а ев ов ие ье е иями ями ами еи ии и ией ей ой ий й иям ям ием ем ам ом о у ах иях ях ы ь ию ью ю ия ья я"),
+}
+_RU_SUFFIXES = {k: {x: first for first, group in ((True, groups[0]), (False, groups[1])) for s in group.split() for x in (s, s.replace("й", "и"))} for k, groups in _RU.items()}
+
+
+def _ru_cut(w: str, kind: str) -> str | None:
+    """``w`` without its longest suffix of a kind; None if it has none, or not the letter that goes before it."""
+    s = _ends(w, _RU_SUFFIXES[kind])
+    if not s or (_RU_SUFFIXES[kind][s] and not w[: -len(s)].endswith(("а", "я"))):
+        return None
+    return w[: -len(s)]
 
 
 def _russian(word: str) -> str:
@@ -287,20 +299,17 @@ def _russian(word: str) -> str:
         return word
     head, w = word[: m.end()], word[m.end() :]
     r2 = max(0, _regions(word, v)[1] - len(head))
-    both = lambda key: [x for s in _RU[key].split() for x in {s, s.replace("й", "и")}]
-    s = _ends(w, both("gerund_any")) or next((x for x in both("gerund") if w.endswith(x) and w[: -len(x)].endswith(("а", "я"))), None)
-    if s:
-        w = w[: -len(s)]
-    else:
+    cut = _ru_cut(w, "gerund")
+    if cut is None:
         w = re.sub("(ся|сь)$", "", w)
-        s = _ends(w, both("adjective"))
-        if s:
-            w = w[: -len(s)]
-            p = _ends(w, both("participle"))
-            w = w[: -len(p)] if p else w
+        cut = _ru_cut(w, "adjective")
+        if cut is not None:
+            without = _ru_cut(cut, "participle")
+            cut = cut if without is None else without
         else:
-            s = _ends(w, both("verb")) or _ends(w, both("noun"))
-            w = w[: -len(s)] if s else w
+            cut = _ru_cut(w, "verb")
+            cut = _ru_cut(w, "noun") if cut is None else cut
+    w = w if cut is None else cut
     w = w[:-1] if w.endswith("и") else w
     s = _ends(w, ("ост", "ость"))
     w = w[: -len(s)] if s and len(w) - len(s) >= r2 else w
@@ -309,14 +318,70 @@ def _russian(word: str) -> str:
     return head + w
 
 
+# Endings of the Finnish description.
+_FI_PARTICLES = "kin kaan kään ko kö han hän pa pä".split()
+_FI_OWN = {"an": "ta ssa sta lla lta na", "än": "tä ssä stä llä ltä nä", "en": "lle ine"}
+_FI_CASES = "ta tä ssa ssä sta stä lla llä lta ltä lle na nä ksi ine".split()
+_FI_ILLATIVE = {"han": "a", "hen": "e", "hin": "i", "hon": "o", "hän": "ä", "hön": "ö"}
+_FI_COMPARATIVE = "mpi mpa mpä mmi mma mmä".split()
+_FI_LONG = ("aa", "ee", "ii", "oo", "uu", "ää", "öö")
+
+
 def _finnish(word: str) -> str:
-    """Particles, possessives, cases, comparatives and plurals, each off the part behind the first syllable."""
-    r1 = max(_regions(word, "aeiouyäö")[0], 3)
+    v = "aeiouyäö"
+    r1, r2 = _regions(word, v)
     w = word
-    for group in ("kin kaan kään ko kö han hän pa pä", "nsa nsä mme nne si ni", "issa issä ista istä illa illä ilta iltä ille ssa ssä sta stä lla llä lta ltä lle ksi na nä tta ttä ta tä seen hin hon hän hen den tten n a ä", "impi impa imma immi eja ejä mpi mpa mpä mmi mma mmä", "t i j"):
-        s = _ends(w[r1:], group.split())
-        w = w[: -len(s)] if s else w
-    return re.sub(r"(aa|ää|ee|oo|uu|ii)$", lambda m: m[0][0], w)
+    inside = lambda suffixes, start: _ends(w[start:], suffixes)
+    # particles
+    s = inside([*_FI_PARTICLES, "sti"], r1)
+    if s and (len(w) - len(s) >= r2 if s == "sti" else w[: -len(s)].endswith(tuple(v + "nt"))):
+        w = w[: -len(s)]
+    # possessives
+    s = inside("si ni nsa nsä mme nne an än en".split(), r1)
+    base = w[: -len(s)] if s else w
+    if s == "ni":
+        w = base[:-3] + "ksi" if base.endswith("kse") else base
+    elif s in _FI_OWN:
+        w = base if base[r1:].endswith(tuple(_FI_OWN[s].split())) else w
+    elif s != "si" or not base.endswith("k"):
+        w = base
+    # cases
+    s = inside([*_FI_CASES, *_FI_ILLATIVE, "siin", "den", "tten", "seen", "n", "a", "ä", "tta", "ttä"], r1)
+    base = w[: -len(s)] if s else w
+    if s in _FI_ILLATIVE:
+        found = base.endswith(_FI_ILLATIVE[s])
+    elif s in ("siin", "den", "tten"):
+        found = bool(re.search(f"[{v}]i$", base))
+    elif s == "seen":
+        found = base.endswith(_FI_LONG)
+    elif s in ("a", "ä"):
+        found = bool(re.search(f"[^{v}][{v}]$", base))
+    elif s in ("tta", "ttä"):
+        found = base.endswith("e")
+    else:
+        found = bool(s)
+    if found:
+        w = base[:-1] if s == "n" and base.endswith((*_FI_LONG, "ie")) else base
+    # comparatives
+    s = inside([*_FI_COMPARATIVE, *("i" + x for x in _FI_COMPARATIVE), "eja", "ejä"], r2)
+    if s and (s not in _FI_COMPARATIVE or not w[: -len(s)].endswith("po")):
+        w = w[: -len(s)]
+    # plurals
+    if found:
+        w = w[:-1] if w[r1:].endswith(("i", "j")) else w
+    elif len(w) > r1 and re.search(f"[{v}]t$", w):
+        w = w[:-1]
+        s = inside(("mma", "imma"), r2)
+        if s == "imma" or (s and not w[: -len(s)].endswith("po")):
+            w = w[: -len(s)]
+    # what is left at the end
+    if w[r1:].endswith(_FI_LONG):
+        w = w[:-1]
+    if re.search(f"[^{v}][aäei]$", w[r1:]):
+        w = w[:-1]
+    if w[r1:].endswith(("oj", "uj", "jo")):
+        w = w[:-1]
+    return re.sub(rf"([^{v}])\1([{v}]*)$", r"\1\2", w)
 
 
 STEMMERS = {
