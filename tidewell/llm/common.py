@@ -3,35 +3,19 @@
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MADE: list[tuple[SparkSession, str]] = []
-
-
-@lru_cache(maxsize=1)
-def _own_root() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
+from ..plans.session import shared_folder
 
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset, as in tests, local mode has a folder of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir isn't set: build the session with a folder that the driver and all executors share")
-        return _own_root()
-    return root if ":" in root else f"file://{root}" if root.startswith("/") else root
+_MADE: list[tuple[SparkSession, str]] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder; it is removed when the driver ends."""
-    path = f"{scratch_root(spark).rstrip('/')}/tidewell/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark).rstrip('/')}/tidewell/{name}-{uuid.uuid4().hex[:12]}"
     _MADE.append((spark, path))
     return path
 
