@@ -66,3 +66,18 @@ def test_fragment_source(spark, tmp_path):
     spark.dataSource.register(FragmentSource)
     rows = spark.read.format("tidewell_fragments").load(str(tmp_path)).orderBy("url").collect()
     assert [(r["url"], r["word_count"], r["filters"]) for r in rows] == [(f"/{i}", i, '{"k": ["v"]}') for i in range(3)]
+
+
+def test_a_stored_index_follows_its_table(spark, tmp_path):
+    from tidewell.plans.catalogue import QUERIES
+    from tidewell.plans.session import source_version
+
+    path = str(tmp_path / "documents.parquet")
+    rows = [(1, "the of and", "en"), (2, "the of", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(path)
+    assert [r["doc_id"] for r in QUERIES["and_search"](spark, str(tmp_path)).collect()] == [1]
+    version = source_version(spark.read.parquet(path))
+    assert version == source_version(spark.read.parquet(path)) != source_version(spark.read.parquet(path), 0) == source_version(spark.read.parquet(path), 0)
+    spark.createDataFrame([(3, "and of the", "en")], "doc_id long, text string, lang string").write.mode("append").parquet(path)
+    assert source_version(spark.read.parquet(path)) != version
+    assert sorted(r["doc_id"] for r in QUERIES["and_search"](spark, str(tmp_path)).collect()) == [1, 3]
