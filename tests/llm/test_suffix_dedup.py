@@ -108,9 +108,10 @@ def brute_words(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("wide", [2_000, 1])
-def test_passages_in_words_equal_brute_force(spark, monkeypatch, wide):
+@pytest.mark.parametrize("wide, tile", [(2_000, 1 << 20), (1, 1 << 20), (2_000, 60)])
+def test_passages_in_words_equal_brute_force(spark, monkeypatch, wide, tile):
     monkeypatch.setattr(S, "WIDE", wide)
+    monkeypatch.setattr(S, "TILE", tile)
     rng = random.Random(8 + wide)
     passages = [rng.choices(["a", "bé", "c", "d", "日本"], k=rng.randrange(10, 40)) for _ in range(12)]
     rows = []
