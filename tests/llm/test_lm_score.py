@@ -84,11 +84,11 @@ def trained(n_words, n_context, seed=0):
 def test_touched_rows_are_the_whole_model():
     voc, model, tokens_ = trained(200, 150)
     copy = Model(voc)
-    for key, rows, n, params in model.slices():
+    for key, rows, n, changes in model.slices(Model(voc)):
         assert (n > 0).all()
-        copy.put(key, rows, params)
-    assert all(np.array_equal(copy.tables[k], v) for k, v in model.tables.items())
-    assert np.array_equal(copy.log_probs(*tokens_), model.log_probs(*tokens_))
+        copy.add(key, rows, changes)
+    assert all(np.allclose(copy.tables[k], v, atol=2e-3) for k, v in model.tables.items())
+    assert np.allclose(copy.log_probs(*tokens_), model.log_probs(*tokens_), atol=0.05)
 
 
 @pytest.mark.parametrize("n_words", [1, 20, 299])
@@ -111,5 +111,5 @@ def test_vocabulary_follows_the_counts(spark, monkeypatch):
     for part in (docs.where("doc_id < 250"), docs):
         L.score_documents(part).count()
     a, b = sizes
-    assert b.n_context > 2 * a.n_context and b.n_words > 1.5 * a.n_words
-    assert all(v.counts[v.n_context - 1] >= L.MIN_SEEN > v.counts[v.n_context] for v in sizes)
+    assert b.n_context > 1.5 * a.n_context and b.n_words > 1.5 * a.n_words
+    assert all(v.n_context == v.n_words == int(L.WORDS_PER_ROOT * v.distinct**0.5) for v in sizes)

@@ -3,15 +3,15 @@
 Learning runs over all texts that ``held_out`` doesn't name, in three passes of Spark:
 
 1. Word counts: every task counts its words, Spark adds the counts.
-2. Training: every task trains the model on all its texts, from the same start, and Spark averages each row of the
-   parameters with the number of updates that it got in each task as weights. A task sends the rows that it
-   has touched, in slices that are shuffled by slice.
+2. Training: every task trains the model on all its texts, from the same start, and Spark averages each row's
+   change with the number of updates that it got in each task as weights. A task sends the changes of the rows that it
+   has touched, as half floats, in slices that are shuffled by slice.
 3. Scoring, over all texts.
 
-Model: the prediction from the two words before is h = c1 * r[w1] + c2 * r[w2]. Context words are all words seen
-``MIN_SEEN`` times or more in training, one for all others and one for the start. Outputs are the most frequent
-words, ``WORDS_PER_ROOT`` for each unit of the square root of the vocabulary, the end, and ``GROUPS`` groups of all other
-words (by their last letters). So both follow the counts, up to the ``HEAD`` words that are broadcast. Outputs stand in
+Model: the prediction from the two words before is h = c1 * r[w1] + c2 * r[w2]. Context words are the most frequent
+words, ``WORDS_PER_ROOT`` for each unit of the square root of the vocabulary, one for all others and one for the start.
+Outputs are as many words, the end, and ``GROUPS`` groups of all other words (by their last letters). So both grow
+with what has been counted, up to the ``HEAD`` words that are broadcast. Outputs stand in
 order of frequency in about as many classes as a class has members: p(o) = p(class of o) * p(o in its class), with the scores
 h.u[class] + v[class] and h.q[o] + b[o], so batched matrix products over the classes and over one class's members give
 each token's exact normalisers, and their cost grows with the fourth root of the vocabulary. Both factors are trained by
@@ -43,13 +43,14 @@ from .tokens import small_batches
 HEAD = 200_000
 HEAD_BYTES = 64
 GROUPS = 256
-MIN_SEEN = 8
 WORDS_PER_ROOT = 8
 DIM = 24
 #: Noise classes of a batch; noise words of a block of tokens of one class.
 NOISE, NOISE_INSIDE, BLOCK = 32, 8, 32
 BATCH = 8192
 RATE = 0.02
+#: Tokens whose scores over a class are in hand at once.
+ROWS = 2048
 #: Rows of a table that are averaged together.
 SLICE = 1024
 FAN_IN = 256
@@ -132,11 +133,19 @@ class Vocabulary:
         return tokens, out, one, two, lost
 
 
-def _log_sum_exp(s: np.ndarray) -> np.ndarray:
-    """Of each row; ``s`` is used up."""
-    top = s.max(1)
-    s -= top[:, None]
-    return top + np.log(np.exp(s, out=s).sum(1))
+def _normaliser(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """log of the sum of exp(h.w + bias) over all rows of the weights, in blocks of tokens that a core's cache holds."""
+    out = np.empty(len(h))
+    turned = np.ascontiguousarray(weights.T)
+    for a in range(0, len(h), ROWS):
+        s = h[a : a + ROWS] @ turned
+        s += bias
+        top = s.max()
+        if top > 80:  # float32 would overflow
+            s -= top
+        total = np.exp(s, out=s).sum(1)
+        out[a : a + ROWS] = np.log(np.maximum(total, np.float32(1e-37))) + (top if top > 80 else 0)
+    return out
 
 
 class Model:
@@ -175,13 +184,13 @@ class Model:
         """One pass of noise-contrastive updates; tokens share noise, so updates are matrix products."""
         for a in range(0, len(out), BATCH):
             w = self.rank[out[a : a + BATCH]]
-            order = np.argsort(w // self.size, kind="stable")
+            order = np.argsort(w, kind="stable")
             w, x, y = w[order], one[a : a + BATCH][order], two[a : a + BATCH][order]
             rx, ry = self.r[x], self.r[y]
             h = self.c[0] * rx + self.c[1] * ry
             gh = self._classes(h, w // self.size, rng) + self._inside(h, w, rng)
-            self._step(np.concatenate([x, y]), r=np.concatenate([gh * self.c[0], gh * self.c[1]]))
-            self._step(np.arange(2), c=np.stack([(gh * rx).sum(0), (gh * ry).sum(0)]))
+            self._step(np.concatenate([x, y]), False, r=np.concatenate([gh * self.c[0], gh * self.c[1]]))
+            self._step(np.arange(2), True, c=np.stack([np.einsum("ij,ij->j", gh, rx), np.einsum("ij,ij->j", gh, ry)]))
 
     def _classes(self, h: np.ndarray, k: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         upto = np.cumsum(np.exp(self.log_class))
@@ -191,11 +200,12 @@ class Model:
         g = _sigmoid(-(np.einsum("ij,ij->i", h, uk) + self.v[k] - shift[k]))  # toward the data
         gn = -_sigmoid(h @ un.T + (self.v[noise] - shift[noise]))  # away from the noise
         gh = g[:, None] * uk + gn @ un
-        self._step(np.concatenate([k, noise]), u=np.concatenate([g[:, None] * h, gn.T @ h]), v=np.concatenate([g, gn.sum(0)])[:, None])
+        self._step(k, True, u=g[:, None] * h, v=g[:, None])
+        self._step(noise, False, u=gn.T @ h, v=gn.sum(0)[:, None])
         return gh
 
     def _inside(self, h: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """Tokens in order of their classes, in blocks of up to ``BLOCK`` of one class with noise of their own."""
+        """Tokens in order of their outputs, in blocks of up to ``BLOCK`` of one class with noise of their own."""
         k = w // self.size
         begins = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         ends = np.append(begins[1:], len(k))
@@ -216,38 +226,40 @@ class Model:
         gn = -_sigmoid(hb @ qn.transpose(0, 2, 1) + (self.b[noise] - shift[noise])[:, None, :]) * real[:, :, None]
         gh = g[:, None] * qw + (gn @ qn)[real]
         away = (gn.transpose(0, 2, 1) @ hb).reshape(-1, DIM)
-        self._step(np.concatenate([w, noise.ravel()]), q=np.concatenate([g[:, None] * h, away]), b=np.concatenate([g, gn.sum(1).ravel()])[:, None])
+        self._step(w, True, q=g[:, None] * h, b=g[:, None])
+        self._step(noise.ravel(), False, q=away, b=gn.sum(1).reshape(-1, 1))
         return gh
 
-    def _step(self, at: np.ndarray, **gradients: np.ndarray) -> None:
+    def _step(self, at: np.ndarray, in_order: bool, **gradients: np.ndarray) -> None:
         """An AdaGrad step of each touched row of the named tables by its summed gradient; a row has one rate."""
-        order = np.argsort(at, kind="stable")
-        sorted_at = at[order]
-        first = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
-        row, n = sorted_at[first], np.diff(np.append(first, len(at)))
+        if not in_order:
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        row, n = at[first], np.diff(np.append(first, len(at)))
         for name, g in gradients.items():
-            total = np.add.reduceat(g[order], first, axis=0)
+            total = np.add.reduceat(g if in_order else g[order], first, axis=0)
             seen = self.seen[name]
             seen[row] += np.einsum("ij,ij->i", total, total) / total.shape[1]
             self.tables[name][row] += (RATE / np.sqrt(seen[row]))[:, None] * total
             self.updates[name][row] += n
 
-    def slices(self):
-        """(slice key, row numbers, updates, parameters) of what has been touched; a bias goes with its row."""
+    def slices(self, start: Model):
+        """(slice key, row numbers, updates, changes) of what has been touched since ``start``; a bias goes with its row."""
         for name, parts in self.TABLES.items():
-            table = np.concatenate([self.tables[p] for p in parts], axis=1)
+            table = np.concatenate([self.tables[p] - start.tables[p] for p in parts], axis=1).astype(np.float16)
             rows = np.flatnonzero(self.updates[name])
             for part in np.unique(rows // SLICE).tolist():
                 own = rows[np.searchsorted(rows, part * SLICE) : np.searchsorted(rows, (part + 1) * SLICE)]
                 yield f"{name}{part}", (own - part * SLICE).astype(np.int32), self.updates[name][own], table[own]
 
-    def put(self, key: str, rows: np.ndarray, params: np.ndarray) -> None:
-        """Set the rows of a slice."""
+    def add(self, key: str, rows: np.ndarray, changes: np.ndarray) -> None:
+        """Change the rows of a slice."""
         name, part = key[0], int(key[1:])
         at = 0
         for p in self.TABLES[name]:
             width = self.tables[p].shape[1]
-            self.tables[p][rows + part * SLICE] = params[:, at : at + width]
+            self.tables[p][rows + part * SLICE] += changes[:, at : at + width]
             at += width
 
     def log_probs(self, out: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -259,23 +271,26 @@ class Model:
             w = w[order]
             k = w // self.size
             h = self.c[0] * self.r[one[a : a + 32768][order]] + self.c[1] * self.r[two[a : a + 32768][order]]
-            s = h @ self.u.T + self.v
-            lp = s[np.arange(len(k)), k].astype(np.float64)
-            lp -= _log_sum_exp(s)
+            lp = (np.einsum("ij,ij->i", h, self.u[k]) + self.v[k]).astype(np.float64) - _normaliser(h, self.u, self.v)
             lp += np.einsum("ij,ij->i", h, self.q[w]) + self.b[w]
             begins = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             for i, j in zip(begins, np.append(begins[1:], len(k))):
                 m = slice(self.first[k[i]], self.first[k[i]] + self.size)
-                lp[i:j] -= _log_sum_exp(h[i:j] @ self.q[m].T + self.b[m])
+                lp[i:j] -= _normaliser(h[i:j], self.q[m], self.b[m])
             score[a + order] = lp
         return score
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """Of scores that ``x`` holds, which is used up; far below 0 it is 0."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
-_SLICES = "slice string, rows binary, n binary, params binary"
+_SLICES = "slice string, rows binary, n binary, changes binary"
 
 
 def _slice_batch(found: list[tuple], grp: int | None = None):
@@ -283,7 +298,7 @@ def _slice_batch(found: list[tuple], grp: int | None = None):
 
     cols = list(zip(*found))
     arrays = [pa.array(cols[0], pa.string()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in cols[1:])]
-    names = ["slice", "rows", "n", "params"]
+    names = ["slice", "rows", "n", "changes"]
     return pa.RecordBatch.from_arrays(arrays if grp is None else [*arrays, pa.array([grp] * len(found), pa.int32())], names if grp is None else [*names, "grp"])
 
 
@@ -299,8 +314,8 @@ def _trainer(shared):
                 _, out, one, two, _ = voc.encode(*_split(batch.column(0).to_pylist()))
                 order = rng.permutation(len(out))
                 model.train(voc, out[order], one[order], two[order], rng)
-        for key, rows, n, params in model.slices():
-            yield _slice_batch([(key, rows, n.astype(np.int64), params)], part % FAN_IN)
+        for key, rows, n, changes in model.slices(Model(voc)):
+            yield _slice_batch([(key, rows, n, changes)], part % FAN_IN)
 
     return run
 
@@ -311,13 +326,13 @@ def _average(batches):
     for b in batches:
         for key, rows, n, raw in zip(*(c.to_pylist() for c in b.columns[:4])):
             rows, n = np.frombuffer(rows, np.int32), np.frombuffer(n, np.int64)
-            params = np.frombuffer(raw, np.float32).reshape(len(rows), -1)
-            held = sums.setdefault(key, [np.zeros(SLICE, np.int64), np.zeros((SLICE, params.shape[1]))])
+            changes = np.frombuffer(raw, np.float16).reshape(len(rows), -1).astype(np.float64)
+            held = sums.setdefault(key, [np.zeros(SLICE, np.int64), np.zeros((SLICE, changes.shape[1]))])
             held[0][rows] += n
-            held[1][rows] += n[:, None] * params
+            held[1][rows] += n[:, None] * changes
     for key, (n, total) in sums.items():
         rows = np.flatnonzero(n).astype(np.int32)
-        yield _slice_batch([(key, rows, n[rows], (total[rows] / n[rows, None]).astype(np.float32))])
+        yield _slice_batch([(key, rows, n[rows], (total[rows] / n[rows, None]).astype(np.float16))])
 
 
 _MODELS: dict[int, Model] = {}
@@ -369,7 +384,7 @@ def _scorer(voc_shared, tables_shared, key: int):
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int | None = None, n_context: int | None = None, fold=held_out) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), scores as log10.
 
-    n_words, n_context: output and context words; by default they follow the counts.
+    n_words, n_context: output and context words; by default they follow the number of words counted.
     """
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
@@ -383,8 +398,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         masses[r["grp"]] = r["mass"]
     total, distinct = sum(r["n"] for r in by_group) + ends, sum(r["words"] for r in by_group) + (1 if ends else 0)
     head_words, head_counts = head.column(0).to_pylist(), head.column(1).to_pylist()
-    n_words = int(WORDS_PER_ROOT * distinct**0.5) if n_words is None else n_words
-    n_context = sum(n >= MIN_SEEN for n in head_counts) if n_context is None else n_context
+    grown = int(WORDS_PER_ROOT * distinct**0.5)
+    n_words, n_context = grown if n_words is None else n_words, grown if n_context is None else n_context
     voc = Vocabulary(head_words, head_counts, total, distinct, ends, masses, n_words, n_context)
     shared = spark.sparkContext.broadcast(voc)
     # averaged in two steps, so no task reads the slices of all tasks
@@ -393,7 +408,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model = Model(voc)
     for key, rows_, _, raw in some.repartition("slice").mapInArrow(_average, _SLICES).collect():  # one model
         at = np.frombuffer(rows_, np.int32)
-        model.put(key, at, np.frombuffer(raw, np.float32).reshape(len(at), -1))
+        model.add(key, at, np.frombuffer(raw, np.float16).reshape(len(at), -1))
     tables = spark.sparkContext.broadcast(model.tables)
     key = zlib.crc32(model.r.tobytes()) ^ total
     scored = Stored(rows.mapInArrow(_scorer(shared, tables, key), "row long, doc_id long, n_tokens long, n_known long, base double, model double, tail array<string>"), "lm-scored").df
