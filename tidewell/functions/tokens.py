@@ -21,8 +21,7 @@ EMOJI = (
     r"\x{1F6EB}-\x{1F6EC}\x{1F6F4}-\x{1F6FC}\x{1F7E0}-\x{1F7EB}\x{1F7F0}\x{1F90C}-\x{1F93A}\x{1F93C}-\x{1F945}\x{1F947}-\x{1F9FF}\x{1FA70}-\x{1FA7C}"
     r"\x{1FA80}-\x{1FA89}\x{1FA8F}-\x{1FAC6}\x{1FACE}-\x{1FADC}\x{1FADF}-\x{1FAE9}\x{1FAF0}-\x{1FAF8}"
 )
-WORD = rf"[\p{{L}}\p{{N}}{EMOJI}]+(?:'[\p{{L}}]+)*"
-PLAIN_WORD = r"[\p{L}\p{N}]+(?:'[\p{L}]+)*"
+LETTERS, DIGITS = r"\p{L}", r"\p{N}"
 CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{2FA1F}"
 PUNCTUATION = r"[\p{Pd}\p{Pe}\p{Pf}\p{Pi}\p{Po}\p{Ps}]"
 #: Latin letters with marks and their bare letters.
@@ -31,7 +30,16 @@ _BARE = "aaaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnooooooooorrrssssttuuuuuu
 
 
 def words(text: Column, emoji: bool = True) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD if emoji else PLAIN_WORD), F.lit(0))
+    """Runs of letters, digits and pictures, with quotes inside that letters follow: ``don't``, ``rock'n'roll``.
+
+    Letters behind a quote end a word where a digit or picture follows them: ``a'b1`` is ``a'b`` and ``1``. No group is
+    repeated in any pattern, since Java's engine recurses at each repeat and a long word of quotes would end the JVM:
+    quotes that no letter follows become blanks, a blank ends the letters behind a quote, and what is left are runs of one class.
+    """
+    others = DIGITS + (EMOJI if emoji else "")
+    joined = F.regexp_replace(text, rf"'(?![{LETTERS}])", " ")
+    cut = F.regexp_replace(joined, rf"([{LETTERS}{others}]'[{LETTERS}]++)(?=[{others}])", "$1 ")
+    return F.regexp_extract_all(F.when(text.contains("'"), cut).otherwise(text), F.lit(rf"[{LETTERS}{others}][{LETTERS}{others}']*"), F.lit(0))
 
 
 def fold_latin(text: Column) -> Column:
