@@ -21,5 +21,5 @@ def test_query_equals_sql(spark, name):
     assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(found.fetchall())
 
 
-def test_ten_operators_and_the_pipeline():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+def test_thirteen_operators_and_the_pipeline():
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}

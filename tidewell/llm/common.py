@@ -44,13 +44,13 @@ class Stored:
     times fewer tasks (8 at least), for each writes a file.
     """
 
-    def __init__(self, df: DataFrame, name: str, shrink: int = 1):
+    def __init__(self, df: DataFrame, name: str, shrink: int = 1, codec: str = "snappy"):
         self.spark = df.sparkSession
         if shrink > 1:
             df = df.coalesce(max(8, shuffle_partitions(self.spark) // shrink))
         self.path = scratch(self.spark, name)
         self.schema = df.schema
-        df.write.parquet(self.path)
+        df.write.option("compression", codec).parquet(self.path)
 
     @property
     def df(self) -> DataFrame:

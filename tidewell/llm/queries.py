@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and the SQL that agrees with those SQL can express."""
+"""The registered queries of the thirteen operators and the SQL that agrees with those SQL can express."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import align_documents
 from .common import table
 from .decontaminate import find_items
 from .html_extract import extract_pages
 from .jaccard_join import join_report
+from .licenses import scan_licenses
 from .lm_score import score_documents
 from .packing import pack_documents
 from .quality import quality_report
@@ -17,6 +19,7 @@ from .sharding import shard_documents
 from .suffix_dedup import repeat_report
 from .token_files import read_token_files, write_token_files
 from .warc import read_archives, write_archives
+from .whitening import whiten
 
 
 def tokenizer(name: str) -> str:
@@ -68,6 +71,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op11_license_scans": op11_license_scans,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
     "pipeline": pipeline,
 }
 
