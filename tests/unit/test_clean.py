@@ -74,3 +74,68 @@ def test_references_of_any_length(spark):
 
     df = spark.createDataFrame([("&#" + "9" * 5000 + ";", "&#" + "0" * 5000 + "65; &lt;")], "a string, b string")
     assert tuple(df.select(decode_entities("a"), decode_entities("b")).first()) == ("\ufffd", "A <")
+
+
+@pytest.mark.parametrize("part", ["< id='x", "<a id='x", "<!--", "<script", "<script>", "</script ", "<nav>", "<div id='main-content'>", '<p class="footer">', "<p class=footer id='", "<", "<a b c=\"", "<body>", "</body", "<x a a a a", "<style>a</style", " \t", "&#0", "<footer id=\"", "<a" + " " * 50])
+def test_cleaning_takes_linear_time(part):
+    import time
+
+    from tidewell.functions.clean import _decode
+    from tidewell.functions.regions import Page
+
+    def seconds(n):
+        html = part * (n // len(part)) + "x"
+        start = time.process_time()
+        _decode(Page(html).text())
+        return time.process_time() - start
+
+    assert seconds(1_000_000) < max(16 * seconds(125_000), 1.0)
+
+
+def test_regions():
+    from tidewell.functions.regions import Page
+
+    for html, want in [
+        ("a<nav>b<nav>c</nav>d</nav>e", "ade"),
+        ("a<script>x</b><p>y</script>b", "ab"),
+        ("a<script>never", "anever"),
+        ("a<style media='x'>p > q</STYLE >b", "ab"),
+        ("a<div ID = 'Page-Footer'>b</p>c</div>d", "acd"),
+        ("a<div data-id='footer'>b</div>c", "abc"),
+        ("a<div id='footer'><script>x</script>b</div>c", "abc"),
+        ("a<!-- <nav> -->b</nav>c", "abc"),
+        ("a<!-- b>c", "ac"),
+        ("a<nav-bar>b</nav-bar>c", "abc"),
+        ("<BODY x>a<footer\n>b</FOOTER>c</Body>d", "ac"),
+        ("x<div><main id=\"main-content\">a<main>b</main><nav>n</nav>c</main>d</div>", "abc"),
+        ("<script>'<div id=\"main-content\">'</script><body>a</body>", "a"),
+        ("a <", "a <"),
+        ("a < b", "a < b"),
+        ("<", "<"),
+    ]:
+        assert Page(html).text() == want, html
+
+
+def test_regions_equal_single_passes_on_given_pages(spark):
+    """Each kind of element taken out by itself, as often as it takes, by plain searches."""
+    from tidewell.functions.regions import Page
+
+    def without(html, name):
+        low = html.lower()
+        while (a := low.find(f"<{name}>")) >= 0 or (a := low.find(f"<{name} ")) >= 0:
+            b = low.index(f"</{name}>", a) + len(name) + 3
+            html, low = html[:a] + html[b:], low[:a] + low[b:]
+        return html
+
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        html = r["html"]
+        want = html[html.index(">", html.index("<body")) + 1 : html.index("</body>")] if "<body" in html and "</body>" in html else html
+        while (a := want.find("<!--")) >= 0:
+            want = want[:a] + want[want.index("-->", a) + 3 :]
+        for name in ("footer", "script", "style", "nav"):
+            want = without(want, name)
+        text = ""
+        while want:
+            a = want.find("<")
+            text, want = (text + want, "") if a < 0 else (text + want[:a], want[want.index(">", a) + 1 :])
+        assert Page(html).text() == text

@@ -1,4 +1,4 @@
-"""HTML to text as column expressions; Arrow only for nested main-content blocks and full entity decoding."""
+"""HTML to text as column expressions; Arrow for the walk over a page's tags and for character references."""
 
 from __future__ import annotations
 
@@ -12,86 +12,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-#: ASCII white space (no no-break space), trimmed bytes, elements that go with their inside, the word
-#: whose id or class marks another element to go, and the elements and id that hold the main content.
+from .regions import Page
+
+#: ASCII white space (no no-break space) and trimmed bytes.
 WS = r"[\t\n\f\r \x0b]+"
 TRIM = " \t\n\r\x00\x0b"
-GONE = ("footer", "script", "style", "nav")
-MARK = "footer"
-MAIN_TAGS = ("div", "main", "article", "section")
-MAIN_ID = "main-content"
-
-
-def element(name: str) -> str:
-    """Pattern of an element with its inside, up to its first closing tag."""
-    return rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>"
-
-
-def attribute(name: str, value: str) -> str:
-    """Pattern of an attribute in a tag; ``value`` is a pattern of all that stands between its quotes."""
-    return rf"\s{name}\s*=\s*[\"']{value}[\"'][^>]*>"
-
-
-def marked(name: str, word: str) -> str:
-    """Pattern of any element whose attribute has the word in it, up to the next closing tag."""
-    anything = "[^\"']*"
-    return rf"(?is)<[^>]*{attribute(name, anything + word + anything)}.*?</[^>]*>"
-
-
-COMMENT = r"(?s)<!--.*?-->"
-REGIONS = (element(GONE[0]), marked("id", MARK), marked("class", MARK), *map(element, GONE[1:]))
-MAIN = rf"(?i)<(?:{'|'.join(MAIN_TAGS)})\b[^>]*{attribute('id', MAIN_ID)}"
 TAG = r"(?s)<(?![\t\n\f\r \x0b]|\z)[^>]*(?:>|\z)"
 TITLE_WINDOW = 50
-_OPEN_MAIN = re.compile(MAIN.replace("(?:", "(", 1))
 #: Numeric references beyond any character; leading zeros. Python refuses numbers of thousands of digits.
 _HUGE, _ZEROS = re.compile(r"&#[0-9]{8,};?"), re.compile(r"&#0+(?=[0-9])")
 
 
 def main_block(html: str) -> str | None:
     """Inside of the first element with the id main-content, up to its own closing tag; None if that is missing."""
-    start = _OPEN_MAIN.search(html)
-    if not start:
-        return None
-    depth = 1
-    # an opening tag counts only before a blank, '>' or '/'; so does any closing tag of the name
-    for m in re.compile(rf"(?i)<(/?){start[1]}(?:(?<=/{start[1]})|(?=[ >/\t\n]))").finditer(html, start.end()):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return html[start.end() : m.start()]
-    return None
+    page = Page(html)
+    return page.inside(page.main())
+
+
+def _decode(text: str) -> str:
+    return unescape(_HUGE.sub("\ufffd", _ZEROS.sub("&#", text))) if "&" in text else text
 
 
 @pandas_udf(StringType())
-def _main_block(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: None if h is None else main_block(h))
+def page_text(html: pd.Series) -> pd.Series:
+    """Text of a page's main content or body, references decoded; white space as it is."""
+    return html.map(lambda h: None if h is None else _decode(Page(h).text()))
 
 
 @pandas_udf(StringType())
 def decode_entities(text: pd.Series) -> pd.Series:
     """HTML5 character references."""
-    return text.map(lambda t: t if t is None or "&" not in t else unescape(_HUGE.sub("\ufffd", _ZEROS.sub("&#", t))))
-
-
-def decode_common(text: Column) -> Column:
-    """The four references of the given pages, in SQL; for queries that are held against an oracle."""
-    for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
-
-
-def body_or_all(html: Column) -> Column:
-    """Between <body …> and the first </body> after it; all of the input if either is missing."""
-    body = F.regexp_extract(html, r"(?is)<body[^>]*>(.*?)</body>", 1)
-    return F.when(html.rlike(r"(?is)<body[^>]*>.*?</body>"), body).otherwise(html)
-
-
-def main_content(html: Column, nested: bool = True) -> Column:
-    """The main-content element, or the body. Pages without the id never reach Python."""
-    if not nested:
-        return body_or_all(html)
-    found = F.when(html.rlike(MAIN), _main_block(html))
-    return F.coalesce(found, body_or_all(html))
+    return text.map(lambda t: None if t is None else _decode(t))
 
 
 def strip_tags(html: Column) -> Column:
@@ -110,13 +61,9 @@ def drop_title(text: Column, title: Column) -> Column:
     return F.when((F.coalesce(title, F.lit("")) != "") & at.between(1, TITLE_WINDOW), rest).otherwise(text)
 
 
-def html_clean(html: Column, title: Column | None = None, exact_entities: bool = True, nested: bool = True) -> Column:
-    """Comments, main content, footers, scripts, styles and navigation, tags, references, white space, title."""
-    out = main_content(F.regexp_replace(html, COMMENT, ""), nested)
-    for pattern in REGIONS:
-        out = F.regexp_replace(out, pattern, "")
-    out = strip_tags(out)
-    out = collapse(decode_entities(out) if exact_entities else decode_common(out))
+def html_clean(html: Column, title: Column | None = None) -> Column:
+    """Main content without comments, footers, scripts, styles, navigation and tags; references, white space, title."""
+    out = collapse(page_text(html))
     return out if title is None else drop_title(out, title)
 
 

