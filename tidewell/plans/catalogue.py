@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, hashing, tokens, urls
 from ..functions.stem import stem_column
-from ..operators import contracts, expansion, facets, index, merge, scoring, search, snippets
+from ..operators import contracts, expansion, facet_bitmaps, facets, index, merge, scoring, search, snippets
 from ..sources import sink
 from ..streaming import incremental
 from .session import is_stored, shared_folder, source_version
@@ -88,6 +88,20 @@ def doc_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored facet bitmaps: built when they are first asked for, or the files of a table have changed."""
+    versions = "-".join(source_version(t(spark, sf_dir, name))[:12] for name in ("documents", "labels"))
+    path = f"{shared_folder(spark).rstrip('/')}/facet-bitmaps/{versions}"
+    if not is_stored(spark, path):
+        made = facet_bitmaps.build(doc_facets(spark, sf_dir), "doc_id")
+        made.repartitionByRange("dim", "value").sortWithinPartitions("dim", "value", "bucket").write.mode("overwrite").parquet(f"{path}/pages")
+    return spark.read.parquet(f"{path}/pages")
+
+
+def hit_set(hits: DataFrame) -> DataFrame:
+    return facet_bitmaps.page_set(hits, "doc_id")
+
+
 # -- cleaning, URLs, hashes ------------------------------------------------------------------------------------
 
 
@@ -264,7 +278,7 @@ def page_index(spark, sf_dir):
 
 @query(f"WITH {FACETS} SELECT dim, value, count(DISTINCT doc_id) AS count FROM facet GROUP BY dim, value")
 def facet_counts(spark, sf_dir):
-    return facets.total_counts(doc_facets(spark, sf_dir), "doc_id")
+    return facet_bitmaps.total_counts(stored_bitmaps(spark, sf_dir))
 
 
 @query(f"WITH {FACETS} SELECT dim, value, count(*) AS pages, min(doc_id) AS first_page, max(doc_id) AS last_page FROM (SELECT DISTINCT * FROM facet) GROUP BY dim, value")
@@ -459,19 +473,21 @@ def agreement_bonus(spark, sf_dir):
 @query(f"WITH {POST}, {FACETS} SELECT dim, value, count(DISTINCT doc_id) AS count FROM facet WHERE doc_id IN (SELECT doc_id FROM post WHERE term = 'the') AND doc_id IN (SELECT doc_id FROM facet WHERE dim = 'language' AND value = 'en') GROUP BY dim, value")
 def facet_structural(spark, sf_dir):
     hits = search.and_search(search_index(spark, sf_dir), ["the"])
-    return facets.structural_counts(hits, doc_facets(spark, sf_dir), {"language": ["en"], "source": ["src1"]}, "doc_id")
+    return facet_bitmaps.structural_counts(hit_set(hits), stored_bitmaps(spark, sf_dir), {"language": ["en"], "source": ["src1"]}, facets.STRUCTURAL)
 
 
 @query(f"WITH {POST}, {FACETS} SELECT dim, value, count(DISTINCT doc_id) AS count FROM facet WHERE doc_id IN (SELECT doc_id FROM post WHERE term IN ('der', 'les')) GROUP BY dim, value")
 def facet_or_union(spark, sf_dir):
     ix = search_index(spark, sf_dir)
-    return facets.or_union_counts([search.and_search(ix, ["der"]), search.and_search(ix, ["les"])], doc_facets(spark, sf_dir), "doc_id")
+    found = facet_bitmaps.union(*(hit_set(search.and_search(ix, [word])) for word in ("der", "les")))
+    return facet_bitmaps.counts(found, stored_bitmaps(spark, sf_dir))
 
 
 @query(f"WITH {POST}, {FACETS} SELECT dim, value, count(DISTINCT doc_id) AS count FROM facet WHERE doc_id IN (SELECT doc_id FROM post WHERE term IN ('with', 'from')) GROUP BY dim, value")
 def facet_expansion_delta(spark, sf_dir):
     ix = search_index(spark, sf_dir)
-    return facets.expansion_counts(search.and_search(ix, ["with"]), search.and_search(ix, ["from"]), doc_facets(spark, sf_dir), "doc_id").withColumn("count", F.col("count").cast("long"))
+    typed, more = (hit_set(search.and_search(ix, [word])) for word in ("with", "from"))
+    return facet_bitmaps.expansion_counts(typed, more, stored_bitmaps(spark, sf_dir))
 
 
 @query("WITH f AS (SELECT DISTINCT doc_id, unnest([lang, source, lang]) AS value FROM documents) SELECT 'tag' AS dim, value, count(DISTINCT doc_id) AS count FROM f GROUP BY value")
@@ -568,4 +584,4 @@ def cache_prune(spark, sf_dir):
     return incremental.prune(cache, cache.where("source in ('src1', 'src2')"), "content_key").agg(F.count(F.lit(1)).alias("kept"))
 
 
-from . import catalogue_parts  # noqa: E402, F401  adds its queries
+from . import catalogue_index, catalogue_parts  # noqa: E402, F401  add their queries
