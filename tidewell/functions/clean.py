@@ -33,10 +33,14 @@ def _decode(text: str) -> str:
     return unescape(_HUGE.sub("\ufffd", _ZEROS.sub("&#", text))) if "&" in text else text
 
 
+def text_of(html: str) -> str:
+    """Text of a page's main content or body, references decoded; white space as it is."""
+    return _decode(Page(html).text())
+
+
 @pandas_udf(StringType())
 def page_text(html: pd.Series) -> pd.Series:
-    """Text of a page's main content or body, references decoded; white space as it is."""
-    return html.map(lambda h: None if h is None else _decode(Page(h).text()))
+    return html.map(lambda h: None if h is None else text_of(h))
 
 
 @pandas_udf(StringType())

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.register import register
 from ..operators import search
 from ..operators.segments import SegmentFamily
-from .catalogue import IN3, TERMS, query, t
+from .catalogue import CLEAN, IN3, PORTABLE, TERMS, query, t
 from .session import shared_folder, source_version
 
 # -- segments --------------------------------------------------------------------------------------------------
@@ -53,3 +54,34 @@ def segment_bm25(spark, sf_dir) -> DataFrame:
 @query(f"WITH {_LIVE} SELECT term, count(*) AS df FROM post GROUP BY term")
 def segment_lexicon(spark, sf_dir) -> DataFrame:
     return family(spark, sf_dir).index().lexicon()
+
+
+# -- SQL functions ---------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {CLEAN} SELECT page_id, text FROM cleaned")
+def sql_html_clean(spark, sf_dir) -> DataFrame:
+    register(spark)
+    t(spark, sf_dir, "pages").createOrReplaceTempView("tidewell_pages")
+    return spark.sql("SELECT page_id, html_clean(html, '') AS text FROM tidewell_pages")
+
+
+@query(f"SELECT page_id, {PORTABLE} AS portable FROM pages UNION ALL SELECT page_id, {PORTABLE} FROM (SELECT page_id, regexp_replace(url, '^([a-z]+://[^/]*)/.*$', '\\1?page=' || page_id) AS url FROM pages)")
+def sql_url_portable(spark, sf_dir) -> DataFrame:
+    """URLs as they are, and hosts with nothing but a query behind them."""
+    register(spark)
+    t(spark, sf_dir, "pages").createOrReplaceTempView("tidewell_pages")
+    return spark.sql(r"""SELECT page_id, url_portable(url) AS portable FROM tidewell_pages UNION ALL SELECT page_id, url_portable(concat(regexp_extract(url, r"^([a-z]+://[^/]*)/", 1), "?page=", page_id)) FROM tidewell_pages""")
+
+
+_TOKENS = r"""word AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS w FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+(?:''\p{L}+)*') AS l FROM documents)),
+ split AS (SELECT doc_id, i, w, list_filter(list_transform(string_split(regexp_replace(w, '([a-z])([A-Z])', '\1 \2', 'g'), ' '), lambda x: lower(x)), lambda x: length(x) >= 2) AS p FROM word),
+ part AS (SELECT doc_id, i, generate_subscripts(p, 1) AS k, unnest(p) AS token FROM (SELECT doc_id, i, CASE WHEN len(p) > 0 THEN p ELSE [lower(w)] END AS p FROM split))"""
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS INTEGER) AS position, token FROM part")
+def sql_tokenize(spark, sf_dir) -> DataFrame:
+    """The engine's tokens from SQL, camel case split."""
+    register(spark)
+    t(spark, sf_dir, "documents").createOrReplaceTempView("tidewell_documents")
+    return spark.sql("SELECT doc_id, pos AS position, col AS token FROM (SELECT doc_id, tokenize(text) AS words FROM tidewell_documents) LATERAL VIEW posexplode(words) p AS pos, col")
