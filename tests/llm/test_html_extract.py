@@ -137,3 +137,52 @@ def test_clashing_columns_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(None, "http://h/a", "<p>one</p>", "x", "y", "z", 1), (None, "http://h/a", "<p>one</p>", "x", "y", "z", 1), (None, None, None, "x", "y", "z", 1), (5, "http://h/b", "<p>two</p>", "x", "y", "z", 1)], "page_id long, url string, html string, host string, path string, text string, votes int")
     got = sorted(((r["page_id"], r["text"], r["n_chars"]) for r in extract_pages(docs).collect()), key=repr)
     assert got == sorted([(None, "one", 3), (None, "one", 3), (None, "", 0), (5, "two", 3)], key=repr)
+
+
+RUN = "these are words of an article that runs on for more than ten words"
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<p>a</p><script src=https://c/x/>var a=1; alert(2)</script><p>b</p>", "a b"),
+        ("<p>a</p><style media=a/>p{color:red}</style><p>b</p>", "a b"),
+        ("<p>a</p><script/>var a</script><p>b</p>", "a b"),
+        ("<p>One <math><mi>x</mi></math> two</p>", "One x two"),
+        ("<p>a <svg width=1 /> b</p><p>c</p>", "a b c"),
+        ("<p>a <svg><text>no</text></svg> b</p>", "a b"),
+        ("<p>a <object data=x> b</p><p>c</p>", "a b c"),
+        ("<p>a <scripty>b</scripty></p>", "a b"),
+        (f"<article><p>{RUN}</p><div class='social-history'><p>{RUN}</p></div></article>", f"{RUN} {RUN}"),
+        (f"<article><p>{RUN}</p><table class='form-table'><tr><td>{RUN}</td></tr></table></article>", f"{RUN} {RUN}"),
+        (f"<article><p>{RUN}</p><div class='header-image'>{RUN}</div></article>", f"{RUN} {RUN}"),
+        (f"<article><p>{RUN}</p><div class='share-buttons'>Share this</div></article>", RUN),
+        (f"<article><p>{RUN}</p><div class='related-posts'><a href=x>{RUN}</a><p>{RUN[:20]}</p></div></article>", RUN),
+        (f"<article><p>{RUN}</p><div class='site-footer'>{RUN}</div><div class='ad-slot'>{RUN}</div></article>", RUN),
+        (f"<article><p>{RUN}</p><div class='css-1x2'><a>Home</a> <a>News</a> <a>Sport</a> | <a>More</a></div></article>", RUN),
+        (f"<article><p>{RUN}</p><p>See <a>one</a> <a>two</a> <a>three</a></p></article>", f"{RUN} See one two three"),
+        (f"<div class='form-page'><p>{RUN}</p></div>", RUN),
+        (f"<article><p>{RUN} <span class='share-count'>12</span></p></article>", f"{RUN} 12"),
+    ],
+)
+def test_what_goes_and_what_stays(html, text):
+    page = Page(html)
+    assert page.text(page.best()) == text
+
+
+def test_hosts_vote_on_elements_in_doubt(spark):
+    body = "<article><p>{}</p><div class='newsletter-teaser'>{}</div></article>"
+    teaser = "subscribe now to get all the news of the week in your own mail box"
+    rows = [(i, "http://h/a", body.format(f"page {i} {RUN}", teaser), "p", 1) for i in range(5)] + [(5, "http://h/b", body.format(f"page 5 {RUN}", f"news of page 5 {RUN}"), "p", 1)]
+    # a host whose pages are copies of one page, and one of two pages, have no vote
+    rows += [(10 + i, "http://copies/a", body.format(RUN, teaser), "p", 1) for i in range(50)] + [(70 + i, "http://two/", body.format(f"{i} {RUN}", teaser), "p", 1) for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[i] == f"page {i} {RUN}" for i in range(6))
+    assert {got[10 + i] for i in range(50)} == {f"{RUN} {teaser}"} and got[71] == f"1 {RUN} {teaser}"
+
+
+def test_near_copies_keep_what_they_share(spark):
+    html = "<article><h1>Title</h1><p>{}</p><p>Short one.</p><p>{}</p></article>"
+    rows = [(i, "http://h/a", html.format(RUN, f"{RUN} {i}"), "p", 1) for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[i] == f"Title {RUN} Short one. {RUN} {i}" for i in range(30))
