@@ -79,3 +79,41 @@ def test_ranges_and_slices_of_any_size_give_one_order(spark, monkeypatch):
         assert [(r["url_key"], r["timestamp"], -1 if r["page_id"] is None else r["page_id"]) for r in got] == want
         assert sorted(r["offset"] for r in got) == list(range(3000))
         assert all(b["position"] == (a["position"] + 1 if a["range"] == b["range"] else 0) for a, b in zip(got, got[1:]))
+
+
+def test_archives_are_read_in_stretches_not_by_record(spark, monkeypatch):
+    from tidewell.llm import warc
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").coalesce(2)
+    folder, index = write_archives(pages)
+    files = index.groupBy("file").agg({"length": "sum"}).count()
+    cols = index.select("file", "offset", "length", "url_key", "timestamp", "range", "position")
+    assert pages.count() > 10 * files
+    reads = []
+    whole = warc._fs
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def read_at(self, size, offset):
+            reads.append(size)
+            return self.f.read_at(size, offset)
+
+        def close(self):
+            self.f.close()
+
+    class Files:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def open_input_file(self, path):
+            return Counted(self.fs.open_input_file(path))
+
+    monkeypatch.setattr(warc, "_fs", lambda uri: (Files(whole(uri)[0]), whole(uri)[1]))
+    batches = cols.orderBy("file", "offset").toArrow().to_batches()
+    got = [b.num_rows for b in warc._read(folder)(iter(batches))]
+    assert sum(got) == pages.count() and len(reads) <= files + len(batches)
+    monkeypatch.setattr(warc, "READ_BYTES", 3000)
+    reads.clear()
+    assert sum(b.num_rows for b in warc._read(folder)(iter(batches))) == pages.count() and len(reads) > files + len(batches)

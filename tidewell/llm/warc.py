@@ -4,14 +4,16 @@ Writing: each task writes its records, a gzip member each, to one archive, and s
 key and timestamp: a locally sorted run. Merging: the key space is cut into ranges at sampled captures
 (URL key, timestamp and page, so one URL with very many captures is cut as well); each range gets its
 slice of every run and merges the k slices with a loser tree. Ranges in order, and rows in a range, give
-the capture histories of all URLs in order. Reading: an index row's record is read at its offset.
+the capture histories of all URLs in order. Reading: index rows are dealt out by stretches of archives, and records
+that lie side by side in one are read at once.
 
 Of records with equal payloads of at least ``min_revisit`` bytes, that with the largest page id is the
 response; the others are revisits of it, without the payload.
 
 Archives are written under a name of the task attempt and then renamed, so a task that runs again leaves
 the same files. Defined results: null html is an empty payload; a null URL is about:blank; rows with the
-page id of the response are responses too. No rows give no files.
+page id of the response are responses too. No rows give no files. A page of any length is one record, which one task holds in memory. Only
+the named columns are read, so no other column can clash.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ SAMPLES = 16_384
 RANGE_ROWS = 250_000
 AHEAD = 2_000
 LEVEL = 5
+#: Bytes of an archive that one task reads on end, and of one read.
+SPAN_BYTES, READ_BYTES = 64 << 20, 8 << 20
 INDEX = "url_key string, timestamp string, page_id long, url string, file string, offset long, length long"
 
 
@@ -266,32 +270,44 @@ def _range_of(cuts: list[tuple]):
 
 
 def _read(folder: str):
+    """Records of rows in order of files and offsets: records that lie side by side are one read, up to ``READ_BYTES``."""
+
     def run(batches):
         import pyarrow as pa
 
         fs, path = _fs(folder)
+        f, name = None, None
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for b in batches:
             files, offsets, lengths = (b.column(i).to_pylist() for i in range(3))
-            rows: list = [None] * len(files)
-            order = sorted(range(len(files)), key=lambda i: (files[i], offsets[i]))
-            f, name = None, None
-            for i in order:
+            rows, i = [], 0
+            while i < len(files):
                 if files[i] != name:
                     if f:
                         f.close()
                     name, f = files[i], fs.open_input_file(f"{path}/{files[i]}")
-                r = parse_record(zlib.decompress(f.read_at(lengths[i], offsets[i]), 31))
-                rows[i] = (r["page_id"], r["payload_bytes"], r["digest"], r["type"], r["refers_to"])
-            if f:
-                f.close()
+                k, size = i + 1, lengths[i]
+                while k < len(files) and files[k] == name and offsets[k] == offsets[i] + size and size + lengths[k] <= READ_BYTES:
+                    size, k = size + lengths[k], k + 1
+                raw = f.read_at(size, offsets[i])
+                for at, n in zip(offsets[i:k], lengths[i:k]):
+                    r = parse_record(zlib.decompress(raw[at - offsets[i] : at - offsets[i] + n], 31))
+                    rows.append((r["page_id"], r["payload_bytes"], r["digest"], r["type"], r["refers_to"]))
+                i = k
             cols = list(zip(*rows)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, kinds)], *[b.column(i) for i in range(3, 7)]], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "range", "position"])
+        if f:
+            f.close()
 
     return run
 
 
 def read_archives(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
-    """A row for each index row, from its record in the archives."""
+    """A row for each index row, from its record in the archives.
+
+    The index is in order of URLs, so its thin rows are dealt out by file and stretches of ``SPAN_BYTES`` first: a task reads a
+    stretch from its beginning to its end, and no file is opened for a single record.
+    """
     cols = index.select("file", "offset", "length", "url_key", "timestamp", "range", "position")
-    return cols.mapInArrow(_read(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, timestamp string, range int, position long")
+    dealt = cols.repartition("file", F.floor(F.col("offset") / SPAN_BYTES)).sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(_read(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, timestamp string, range int, position long")
