@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.register import register
-from ..operators import search
+from ..operators import search, topk
 from ..operators.segments import SegmentFamily
-from .catalogue import CLEAN, IN3, PORTABLE, TERMS, query, t
-from .session import shared_folder, source_version
+from .catalogue import BM25, CLEAN, IN3, PORTABLE, TERMS, query, search_index, t
+from .session import is_stored, shared_folder, source_version
 
 # -- segments --------------------------------------------------------------------------------------------------
 
@@ -56,6 +56,32 @@ def segment_lexicon(spark, sf_dir) -> DataFrame:
     return family(spark, sf_dir).index().lexicon()
 
 
+# -- postings in blocks ----------------------------------------------------------------------------------------
+
+
+def impacts(spark, sf_dir) -> str:
+    """The folder of the stored postings by impact: made when they are first asked for or the documents' files have changed."""
+    path = f"{shared_folder(spark).rstrip('/')}/impacts/{source_version(t(spark, sf_dir, 'documents'))}"
+    if not is_stored(spark, path):
+        topk.store_impacts(search_index(spark, sf_dir), path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return path
+
+
+_FOUR = "('der', 'with', 'les', 'and')"
+
+
+@query(f"WITH {BM25} SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 50")
+def bm25_blockmax(spark, sf_dir) -> DataFrame:
+    """The rows of ``bm25_topk``; blocks that can't have them aren't read."""
+    return topk.best_pages(spark, impacts(spark, sf_dir), TERMS, 50)[0]
+
+
+@query(f"WITH {BM25.replace(IN3, _FOUR)} SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 20")
+def bm25_blockmax_languages(spark, sf_dir) -> DataFrame:
+    """Terms that hardly meet in a document."""
+    return topk.best_pages(spark, impacts(spark, sf_dir), ["der", "with", "les", "and"], 20)[0]
+
+
 # -- SQL functions ---------------------------------------------------------------------------------------------
 
 
