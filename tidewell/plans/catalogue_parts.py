@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -14,10 +12,11 @@ from ..functions.register import register
 from ..operators import contracts, expansion, facets, index, merge, scoring, search, snippets
 from ..sources import sink
 from ..sources.content import TableSource, items_from_html, site_pages
-from ..sources.datasource import FragmentSource
+from ..sources.datasource import FilterSource, FragmentSource, MetaSource, TermSource
+from ..sources.static_writer import write_index
 from ..streaming import incremental
 from .catalogue import CLEAN, FACETS, IN3, PORTABLE, POST, TERMS, TITLE, TOK, _sortable, doc_facets, query, search_index, t
-from .session import shared_folder
+from .session import is_stored, shared_folder, source_version
 
 _WORD = r"'[\p{L}\p{N}]+(?:''\p{L}+)*'"
 _PLAIN_TITLE = f"replace(replace(replace(replace({TITLE}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
@@ -313,17 +312,61 @@ def lost_references(spark, sf_dir):
  SELECT url, CAST(word_count AS INTEGER) AS word_count, sha256(CASE WHEN title <> '' THEN title || '. ' || clean ELSE clean END) AS content_hash, '{{"language": ["' || lang || '"]}}' AS filters FROM page JOIN n USING (page_id)""")
 def static_fragments(spark, sf_dir):
     """A whole static build of the pages, and its fragments read back by the data source."""
-    pages = built_pages(spark, sf_dir)
-    toks = index.page_tokens(pages)
-    whole = pages.join(index.word_counts(toks), "page_no")
-    forms = index.word_forms(toks)
-    folder = f"{shared_folder(spark).rstrip('/')}/static-{uuid.uuid4().hex[:12]}"
-    sink.write_static(whole, index.page_postings(pages), index.variants(toks, forms), index.sort_ranks(pages), ["title"], folder)
-    spark.dataSource.register(FragmentSource)
-    read = spark.read.format("tidewell_fragments").load(folder)
+    read = spark.read.format("tidewell_fragments").load(static_build(spark, sf_dir))
     return read.select("url", "word_count", F.sha2("content", 256).alias("content_hash"), "filters")
 
 
+def static_build(spark, sf_dir) -> str:
+    """The folder of the static build of the pages, without stems: made when it is first asked for or their files have changed."""
+    for source in (FragmentSource, TermSource, FilterSource, MetaSource):
+        spark.dataSource.register(source)
+    base = f"{shared_folder(spark).rstrip('/')}/static/{source_version(t(spark, sf_dir, 'pages'))}"
+    if not is_stored(spark, f"{base}/done"):
+
+        def kept(df, name):
+            df.write.mode("overwrite").parquet(f"{base}/{name}")
+            return spark.read.parquet(f"{base}/{name}")
+
+        pages = built_pages(spark, sf_dir)
+        toks = kept(index.page_tokens(pages), "tokens")
+        chars = F.create_map(F.lit("chars"), F.length("clean").cast("string"))
+        whole = kept(pages.withColumn("all_sortable", chars).select("page_no", "url", "content", "all_filters", "meta", "all_sortable").join(index.word_counts(toks), "page_no"), "pages")
+        forms = index.word_forms(toks, stem=False)
+        postings = kept(index.postings(toks, forms), "postings")
+        write_index(whole, postings, index.variants(toks, forms), index.sort_ranks(whole), ["title"], f"{base}/site", partitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
+        spark.range(1).write.mode("overwrite").parquet(f"{base}/done/pages")
+    return f"{base}/site"
+
+
+@query(f"""WITH {PAGE_TOKENS}, n AS (SELECT term, page_id, f = 0 AS title, position, row_number() OVER (PARTITION BY term, page_id, f = 0 ORDER BY position) AS n FROM ptok WHERE term <> '')
+ SELECT term, page_id AS page_no, coalesce(string_agg(CAST(position AS VARCHAR), ',' ORDER BY position) FILTER (NOT title AND n <= 200), '') AS places,
+  coalesce(string_agg(CAST(position AS VARCHAR), ',' ORDER BY position) FILTER (title), '') AS title_places FROM n GROUP BY term, page_id""")
+def static_terms(spark, sf_dir):
+    """The term chunks of the static build, read back whole."""
+    rows = spark.read.format("tidewell_terms").load(static_build(spark, sf_dir)).where("form is null")
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return rows.select("term", "page_no", text("positions").alias("places"), text("title_positions").alias("title_places"))
+
+
+@query(f"WITH {PAGE_TOKENS} SELECT DISTINCT term, form, page_id AS page_no FROM ptok WHERE term <> form AND term <> ''")
+def static_forms(spark, sf_dir):
+    return spark.read.format("tidewell_terms").load(static_build(spark, sf_dir)).where("form is not null").select("term", "form", "page_no")
+
+
+@query(f"WITH {ITEMS} SELECT 'language' AS dim, lang AS value, page_id AS page_no FROM page")
+def static_filters(spark, sf_dir):
+    return spark.read.format("tidewell_filters").load(static_build(spark, sf_dir))
+
+
+@query(f"""WITH {PAGE_TOKENS}, c AS (SELECT page_id, count(*) FILTER (f < 2) AS n FROM ptok GROUP BY page_id)
+ SELECT 'page' AS kind, NULL AS name, row_number() OVER (ORDER BY page_id) - 1 AS place, n FROM c UNION ALL SELECT 'sort', 'chars', row_number() OVER (ORDER BY length(clean), page_id) - 1, page_id FROM page
+ UNION ALL SELECT 'filter', 'language', 0, NULL UNION ALL SELECT 'field', 'title', 0, NULL UNION ALL SELECT 'version', '1.0', 0, NULL""")
+def static_meta(spark, sf_dir):
+    """Pages with their word counts, the sort order, the dimensions and fields, from the metadata file; names of pages and chunks are hashes."""
+    rows = spark.read.format("tidewell_meta").load(static_build(spark, sf_dir)).where("kind <> 'chunk'")
+    return rows.select("kind", F.when(F.col("kind") != "page", F.col("name")).alias("name"), "place", "n")
+
+
 @query("SELECT 'source' AS dim, source AS value, count(*) AS count FROM documents GROUP BY source UNION ALL SELECT 'kind', 'text', count(*) FROM documents")
 def attribute_filters(spark, sf_dir):
     """Filters in data attributes of HTML items, several to an item."""
