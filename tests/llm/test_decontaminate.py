@@ -93,7 +93,7 @@ def test_more_substitutions_are_not_found():
 def test_edges(spark, edge_docs, no_docs):
     bench = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "a b c", 0), (4, "w0 w1 w2 w3 w4 w5 w6 w7", 0), (4, "w0 w1 w2 w3 w4 w5 w6 w7", 0), (5, " ".join("x" for _ in range(40)), 0)], ITEMS)
     got = sorted((r["doc_id"], r["item_id"]) for r in find_items(edge_docs, bench).collect())
-    assert got == [(8, 4), (9, 5)]
+    assert got == [(5, 3), (8, 4), (9, 5)]  # the item of three words stands in document 5
     assert find_items(no_docs, bench).collect() == [] and find_items(edge_docs, bench.limit(0)).collect() == []
     assert drop_contaminated(edge_docs, bench).columns == edge_docs.columns
     assert drop_contaminated(edge_docs, bench.limit(0)).count() == edge_docs.count()
@@ -112,3 +112,15 @@ def test_blocks_one_after_the_other(spark, monkeypatch):
     assert sum(1 for _ in D.blocks(bench)) == 6
     assert sorted(map(tuple, find_items(df, bench).collect())) == whole and [r[:2] for r in whole] == [(i, i) for i in range(1, 12, 2)]
     assert {r["doc_id"] for r in drop_contaminated(df, bench).collect()} == {i for i, _ in docs} - set(range(1, 12, 2))
+
+
+@pytest.mark.parametrize("n", range(1, 9))
+def test_short_items_are_found_exactly(spark, n):
+    """Whole items in a row, in plain reading; nothing else."""
+    rng = random.Random(n)
+    items = [(i, " ".join(rng.choices([f"v{j}" for j in range(4)] if n > 3 else [f"v{j}" for j in range(40)], k=n)), 0) for i in range(6)]
+    docs = [(i, " ".join(rng.choices([f"v{j}" for j in range(4)], k=rng.randrange(0, 400)))) for i in range(30)] + [(100 + i, f"before, {t.upper()}! after") for i, t, _ in items]
+    got = {(r["doc_id"], r["item_id"]) for r in find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEMS)).collect()}
+    plain = {d: " " + " ".join(t.lower().replace(",", "").replace("!", "").split()) + " " for d, t in docs}
+    exact = {(d, i) for d, t in plain.items() for i, item, _ in items if f" {item} " in t}
+    assert exact and (got == exact if n < 8 else exact <= got)

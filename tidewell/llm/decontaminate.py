@@ -18,8 +18,9 @@ of items. Documents are never
 shuffled, and a word, passage or item that is in a third of them costs nothing extra.
 
 Words are split at white space, lower-cased and rid of punctuation at both ends; words of punctuation
-only are skipped. Items of fewer than ``MIN_ITEM`` words are too short to tell from chance and match
-nothing. Null and empty texts match nothing; repeated rows get repeated results.
+only are skipped. Items of fewer than ``MIN_ITEM`` words are found where all their words stand in a row, by a seed of their own
+length; a single word is an item like any other. Null and empty texts match nothing; repeated rows get repeated results. Texts are read whole, one in memory at a time beside
+slices of about 4 MB; only the named columns are looked at, so no other column can clash.
 """
 
 from __future__ import annotations
@@ -99,7 +100,12 @@ class Block:
             at = np.arange(len(h))
             inside = item_of[: len(h)] == item_of[places[-1] : places[-1] + len(h)] if len(h) else np.zeros(0, bool)
             self._add(places, k, h[inside], at[inside])
-        # the shortest items: two words
+        # items that are too short for substitutions: all of their words, as they are
+        for n in range(1, MIN_ITEM):
+            at = self.starts[self.ends - self.starts == n]
+            if len(at):
+                self._add(list(range(n)), 200 + n, _seed(self.words, list(range(n)), 200 + n)[at], at)
+        # the shortest of the others: two words
         at = (self.starts[self.ends - self.starts == MIN_ITEM][:, None] + np.arange(MIN_ITEM - 1)).ravel()
         self._add([0, 1], 100, _seed(self.words, [0, 1], 100)[at], at)
         self.item_of = item_of
@@ -166,9 +172,9 @@ class Block:
     @staticmethod
     def _segment(same: np.ndarray, length: int) -> tuple[int, int, int] | None:
         """(start, end, matches) of the whole overlap or else of the best segment, if it says that the item is there."""
-        if length < MIN_ITEM:
-            return None
         n = int(same.sum())
+        if length < MIN_ITEM:
+            return (0, n, n) if n == length else None
         if n >= MIN_SHARE * length:
             return int(same.argmax()), len(same) - int(same[::-1].argmax()), n
         total = np.concatenate([[0], np.cumsum(np.where(same, 1, -COST))])
