@@ -59,7 +59,8 @@ def shared_groups(a_ends: np.ndarray, b_ends: np.ndarray, a_bounds: np.ndarray,
         leaves.append(np.stack([x[whole] for x in work]))
         a0, a1, b0, b1, at = (x[~whole] for x in (*work, cut))
         bt = np.searchsorted(b_ends, a_ends[at])
-        work = (np.r_[a0, at + 1], np.r_[at + 1, a1], np.r_[b0, bt + 1], np.r_[bt + 1, b1])
+        # both halves of each side by side, so that all stay in order and lookups go on from each other
+        work = tuple(np.stack(x, axis=1).ravel() for x in ((a0, at + 1), (at + 1, a1), (b0, bt + 1), (bt + 1, b1)))
     found = np.concatenate(leaves, axis=1) if leaves else np.zeros((4, 0), np.int64)
     return tuple(found[:, np.argsort(found[0], kind="stable")])
 
@@ -97,25 +98,28 @@ def linked_pairs(a_ids: np.ndarray, b_ids: np.ndarray, groups: tuple[np.ndarray,
     """(text, pair, links): distinct pairs a * b_size + b of each text, in order, with their numbers of links."""
     a0, a1, b0, b1 = groups
     na, nb = a1 - a0, b1 - b0
-    texts, pairs, links = [], [], []
+    # a text and its pair are one number
+    span = b_size * (int(a_ids.max(initial=0)) + 1)
     thin = np.flatnonzero(na * nb <= _WIDE)
     n = (na * nb)[thin]
     owner = np.repeat(thin, n)
     k = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    texts.append(text_of[owner])
-    pairs.append(a_ids[a0[owner] + k // nb[owner]] * b_size + b_ids[b0[owner] + k % nb[owner]])
-    links.append(np.ones(len(owner), np.int64))
+    many = nb[owner]
+    key, link = np.unique(text_of[owner] * span + a_ids[a0[owner] + k // many] * b_size + b_ids[b0[owner] + k % many], return_counts=True)
+    keys, links = [key], [link]
     for g in np.flatnonzero(na * nb > _WIDE).tolist():
         ua, ca = np.unique(a_ids[a0[g] : a1[g]], return_counts=True)
         ub, cb = np.unique(b_ids[b0[g] : b1[g]], return_counts=True)
-        pairs.append((ua[:, None] * b_size + ub).ravel())
+        keys.append(text_of[g] * span + (ua[:, None] * b_size + ub).ravel())
         links.append((ca[:, None] * cb).ravel())
-        texts.append(np.full(len(pairs[-1]), text_of[g]))
-    text, pair, link = map(np.concatenate, (texts, pairs, links))
-    order = np.lexsort((pair, text))
-    text, pair, link = text[order], pair[order], link[order]
-    new = np.flatnonzero(np.r_[True, (np.diff(text) != 0) | (np.diff(pair) != 0)]) if len(text) else np.zeros(0, np.int64)
-    return text[new], pair[new], np.add.reduceat(link, new) if len(new) else link
+    if len(keys) > 1:
+        key, link = np.concatenate(keys), np.concatenate(links)
+        order = np.argsort(key, kind="stable")
+        key, link = key[order], link[order]
+        new = np.flatnonzero(np.r_[True, np.diff(key) != 0])
+        key, link = key[new], np.add.reduceat(link, new)
+    text = key // span
+    return text, key - text * span, link
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -166,7 +170,8 @@ class Sides:
             ids_a = np.frombuffer(b"".join(next(a) for _ in range(n)), "<u4").astype(np.int64)
             list_b = [i for _ in range(n) for i in next(b)]
             raw = (" " + t).encode()
-            same = b"".join(map(self.a_bytes.__getitem__, ids_a.tolist())) == raw == b"".join(map(self.b_bytes.__getitem__, list_b))
+            # a rank table cuts bytes and changes none
+            same = raw == b"".join(map(self.b_bytes.__getitem__, list_b)) and (self.a.kind == "text" or raw == b"".join(map(self.a_bytes.__getitem__, ids_a.tolist())))
             out.append((ids_a, np.array(list_b, np.int64)) if same else none)
         return out
 
@@ -242,7 +247,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: st
         s = sides(a_path, b_path, by_ranks)
         row = TaskContext.get().partitionId() << 40
         for big in batches:
-            for batch in small_batches(big):
+            for batch in small_batches(big, most_bytes=1_000_000):  # its numbers stay in a core's cache
                 (*counts, digests), (text, pair, link) = _align_batch(batch.column(1).to_pylist(), s)
                 n = batch.num_rows
                 start = np.searchsorted(text, np.arange(n + 1))
