@@ -19,6 +19,8 @@ class Ranking:
     page_length: float = 0.75  # b
     meta_boost: float = 1.0
     index_weight: float = 1.0
+    term_similarity: float = 1.0  # of prefixes, in ``prefix``: 0 lets longer words count in full
+    diacritic_similarity: float = 0.8  # of forms with other diacritics: 0 lets them count in full
 
 
 def term_hits(index: TextIndex, terms: list[str]) -> DataFrame:

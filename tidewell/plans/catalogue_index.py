@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.register import register
-from ..operators import search, topk
+from ..operators import prefix, search, topk
 from ..operators.segments import SegmentFamily
+from ..streaming.change_log import ChangeLog
+from ..streaming.incremental import latest_actions
 from .catalogue import BM25, CLEAN, IN3, PORTABLE, TERMS, query, search_index, t
 from .session import is_stored, shared_folder, source_version
 
@@ -82,6 +84,60 @@ def bm25_blockmax_languages(spark, sf_dir) -> DataFrame:
     return topk.best_pages(spark, impacts(spark, sf_dir), ["der", "with", "les", "and"], 20)[0]
 
 
+# -- prefixes and diacritics -----------------------------------------------------------------------------------
+
+
+def form_index(spark, sf_dir) -> prefix.FormIndex:
+    """The stored forms of the documents: made when they are first asked for or the documents' files have changed."""
+    docs = t(spark, sf_dir, "documents")
+    path = f"{shared_folder(spark).rstrip('/')}/forms/{source_version(docs)}"
+    if not is_stored(spark, path):
+        prefix.FormIndex.of(docs, "doc_id", "text").store(path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return prefix.FormIndex.stored(spark, path, "doc_id")
+
+
+_FORMS = r"""w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}]+(?:''\p{L}+)*'))) AS form FROM documents),
+ fp AS (SELECT doc_id, form, strip_accents(form) AS term, count(*) AS tf FROM w GROUP BY ALL), len AS (SELECT doc_id, sum(tf) AS length FROM fp GROUP BY doc_id),
+ st AS (SELECT count(*) AS n, avg(length) AS a FROM len), q(word, term, typed) AS (VALUES (0, 'la', 'la'), (1, 'el', 'él'), (2, 'ver', 'ver'), (3, 'thth', 'thth'))"""
+_WEIGHTED = """m AS (SELECT doc_id, word, sum(tf * pow(length(q.term) / CAST(length(fp.term) AS DOUBLE), {ts}) * CASE WHEN {exact} THEN 1.0 ELSE 1 / (1 + {ds}) END) AS tf FROM fp JOIN q ON {match} GROUP BY ALL),
+ d AS (SELECT word, count(*) AS df FROM m GROUP BY word)
+ SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / a))), 6) AS score FROM m JOIN d USING (word) JOIN len USING (doc_id), st GROUP BY doc_id"""
+_TYPED = ["la", "él", "ver", "thth"]
+
+
+@query(f"WITH {_FORMS}, {_WEIGHTED.format(ts=1.0, ds=0.8, exact='starts_with(form, typed)', match='starts_with(fp.term, q.term)')}")
+def prefix_search(spark, sf_dir) -> DataFrame:
+    """Nearer terms and the typed diacritics rank higher."""
+    return prefix.prefix_bm25(form_index(spark, sf_dir), _TYPED)
+
+
+@query(f"WITH {_FORMS}, {_WEIGHTED.format(ts=0.0, ds=3.0, exact='form = typed', match='fp.term = q.term')}")
+def diacritic_search(spark, sf_dir) -> DataFrame:
+    """Whole words; other diacritics count for a quarter."""
+    return prefix.prefix_bm25(form_index(spark, sf_dir), _TYPED, search.Ranking(term_similarity=0.0, diacritic_similarity=3.0), whole=True)
+
+
+# -- the change log --------------------------------------------------------------------------------------------
+
+
+@query("SELECT content_id, action, changed_at FROM (SELECT CAST(user_id AS VARCHAR) AS content_id, event_type AS action, ts AS changed_at, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS n FROM events) WHERE n = 1")
+def change_log_latest(spark, sf_dir) -> DataFrame:
+    """All events as a log of segments, streamed by the data source; the last action of each user."""
+    events = t(spark, sf_dir, "events")
+    base = f"{shared_folder(spark).rstrip('/')}/change-log/{source_version(events)}"
+    if not is_stored(spark, f"{base}/done"):
+        fs, path = _path(spark, base)
+        fs.delete(path, True)
+        log = ChangeLog(spark, f"{base}/log")
+        rows = events.select(F.col("user_id").cast("string").alias("content_id"), F.lit("user").alias("content_type"), F.col("event_type").alias("action"), F.col("ts").alias("changed_at"))
+        for kinds in (F.col("action") == "view", F.col("action") == "click", ~F.coalesce(F.col("action").isin("view", "click"), F.lit(False))):
+            log.append(rows.where(kinds))
+        out = log.stream("catalogue").writeStream.format("parquet").option("path", f"{base}/read").option("checkpointLocation", f"{base}/checkpoint")
+        out.trigger(availableNow=True).start().awaitTermination()
+        spark.range(1).write.mode("overwrite").parquet(f"{base}/done/pages")
+    return latest_actions(spark.read.parquet(f"{base}/read")).select("content_id", "action", "changed_at")
+
+
 # -- SQL functions ---------------------------------------------------------------------------------------------
 
 
