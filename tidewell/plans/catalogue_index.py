@@ -10,7 +10,8 @@ from ..operators import prefix, search, topk
 from ..operators.segments import SegmentFamily
 from ..streaming.change_log import ChangeLog
 from ..streaming.incremental import latest_actions
-from .catalogue import BM25, CLEAN, IN3, PORTABLE, TERMS, query, search_index, t
+from .catalogue import BM25, CLEAN, IN3, PORTABLE, POST, TERMS, query, search_index, t
+from .memo import memoised
 from .session import is_stored, shared_folder, source_version
 
 # -- segments --------------------------------------------------------------------------------------------------
@@ -84,6 +85,14 @@ def bm25_blockmax_languages(spark, sf_dir) -> DataFrame:
     return topk.best_pages(spark, impacts(spark, sf_dir), ["der", "with", "les", "and"], 20)[0]
 
 
+@query(f"WITH {POST} SELECT doc_id, count(*) AS matched, CAST(sum(tf) AS BIGINT) AS tf FROM post WHERE term IN ('der', 'les') GROUP BY doc_id")
+def memoised_search(spark, sf_dir) -> DataFrame:
+    """A search asked for twice; the second time, its kept rows."""
+    ask = lambda words: search.or_search(search_index(spark, sf_dir), words)
+    memoised(ask(["der", "les"]))
+    return memoised(ask(["les", "der"]))[0]
+
+
 # -- prefixes and diacritics -----------------------------------------------------------------------------------
 
 
