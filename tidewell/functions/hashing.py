@@ -18,6 +18,16 @@ def page_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def row_digest(key: Column, body: Column) -> Column:
+    """Hash of an id and a body; nulls are told from empty ones."""
+    return F.sha2(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("-")), F.coalesce(F.sha2(body, 256), F.lit("-"))), 256)
+
+
+def digest_parts(digest: Column) -> list[Column]:
+    """A hash as eight numbers, which can be added up."""
+    return [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(8)]
+
+
 def corpus_fingerprint(items: DataFrame, id_col: str, body_col: str, prefix: str = "tidewell-v1:") -> DataFrame:
     """One row: a hash of all ids and bodies that no order changes.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.register import register
-from ..operators import prefix, search, topk
+from ..operators import hash_tree, prefix, search, topk
 from ..operators.segments import SegmentFamily
 from ..streaming.change_log import ChangeLog
 from ..streaming.incremental import latest_actions
@@ -147,6 +147,30 @@ def change_log_latest(spark, sf_dir) -> DataFrame:
     return latest_actions(spark.read.parquet(f"{base}/read")).select("content_id", "action", "changed_at")
 
 
+# -- the hash tree ---------------------------------------------------------------------------------------------
+
+_SUMS = ", ".join(f"CAST(sum(CAST(('0x' || substr(r, {1 + 8 * i}, 8)) AS BIGINT)) AS VARCHAR)" for i in range(8))
+
+
+@query(f"""WITH r AS (SELECT doc_id, sha256(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), '-'), coalesce(sha256(text), '-'))) AS r FROM documents),
+ l AS (SELECT doc_id >> 4 AS node, sha256(concat_ws(':', {_SUMS}, CAST(count(*) AS VARCHAR))) AS hash, count(*) AS items FROM r GROUP BY 1)
+ SELECT 0 AS level, node, hash, items FROM l UNION ALL SELECT 1, node >> 8, sha256(string_agg(node || '=' || hash, ',' ORDER BY node)), CAST(sum(items) AS BIGINT) FROM l GROUP BY node >> 8""")
+def fingerprint_tree(spark, sf_dir) -> DataFrame:
+    """Leaves of 16 ids and the level above them."""
+    return hash_tree.hash_tree(t(spark, sf_dir, "documents"), "doc_id", "text", 16).where("level < 2")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id >> 4 IN (SELECT doc_id >> 4 FROM documents WHERE source = 'src1' AND lang = 'en')")
+def changed_ranges(spark, sf_dir) -> DataFrame:
+    """The documents that a build reads again when some of a source's texts have changed: those of the leaves that differ."""
+    docs = t(spark, sf_dir, "documents")
+    now = docs.withColumn("text", F.when(F.expr("source = 'src1' and lang = 'en'"), F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")))
+    base = f"{shared_folder(spark).rstrip('/')}/hash-tree/{source_version(docs)}"
+    before, after = (hash_tree.stored(hash_tree.hash_tree(rows, "doc_id", "text", 16), f"{base}-{name}") for rows, name in ((docs, "before"), (now, "after")))
+    leaves = hash_tree.changed(before, after, 16)
+    return hash_tree.documents_of(now, "doc_id", leaves, 16).select("doc_id")
+
+
 # -- SQL functions ---------------------------------------------------------------------------------------------
 
 
