@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType
 from ..functions import clean, hashing, tokens, urls
 from ..functions.register import register
 from ..operators import contracts, expansion, facets, index, merge, scoring, search, snippets
+from ..operators.page_search import PageIndex
 from ..sources import sink
 from ..sources.content import TableSource, items_from_html, site_pages
 from ..sources.datasource import FilterSource, FragmentSource, MetaSource, TermSource
@@ -101,6 +102,31 @@ def url_path_words(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", urls.path_words(F.col("url")).alias("words"))
 
 
+# -- searches over pages -------------------------------------------------------------------------------------
+
+
+def page_search_index(spark, sf_dir, stem: bool) -> PageIndex:
+    """The stored index of the pages: made when it is first asked for or their files have changed."""
+    path = f"{shared_folder(spark).rstrip('/')}/page-search/{source_version(t(spark, sf_dir, 'pages'))}-{int(stem)}"
+    if not is_stored(spark, path):
+        PageIndex.of(built_pages(spark, sf_dir), stem).store(path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return PageIndex.stored(spark, path, stem)
+
+
+@query(f"""WITH {PAGE_TOKENS}, len AS (SELECT page_id, count(*) FILTER (f < 2) AS length FROM ptok GROUP BY page_id), st AS (SELECT count(*) AS n, avg(length) AS a FROM len),
+ hit AS (SELECT term, page_id, count(*) FILTER (f > 0) + 3.0 * count(*) FILTER (f = 0) AS tf FROM ptok WHERE term IN {IN3} GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM hit GROUP BY term)
+ SELECT page_id AS page_no, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / a))), 6) AS score, count(*) AS matched FROM hit JOIN df USING (term) JOIN len USING (page_id), st GROUP BY page_id""")
+def page_search(spark, sf_dir):
+    """Titles count three times; without stems, which SQL doesn't have."""
+    return page_search_index(spark, sf_dir, False).search("The of AND")
+
+
+@query()
+def page_search_stemmed(spark, sf_dir):
+    """English pages by stems, as the whole build has them."""
+    return page_search_index(spark, sf_dir, True).search("the things", "en")
+
+
 # -- encodings of the static format ----------------------------------------------------------------------------
 
 
