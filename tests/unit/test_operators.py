@@ -337,3 +337,16 @@ def test_a_batch_scores_as_its_queries_do_one_by_one(spark):
     for k, (terms, query, own) in asked.items():
         want = scoring.score_results(base, terms, query, scoring.ScoreConfig(**own), as_of=day)
         assert sorted((r["base"], r["score"]) for r in got.where(F.col("query_id") == k).collect()) == sorted((r["base"], r["score"]) for r in want.collect())
+
+
+def test_places_without_a_query_are_ranked_in_ranges(spark):
+    rows = [(i, (i * 7919) % 1000) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id int, n int").repartition(5)
+    out = scoring.with_position_score(df, [F.desc("n"), F.col("id")])
+    assert out.columns == ["id", "n", "base"]
+    got = [(r["id"], round(r["base"], 9)) for r in out.orderBy(F.desc("base")).collect()]
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert got == [(i, round(1 - k / 999, 9)) for k, (i, _) in enumerate(want)]
+    assert "SinglePartition" not in out.drop("base")._jdf.queryExecution().executedPlan().toString()
+    assert [r["base"] for r in scoring.with_position_score(df.limit(1), [F.col("n")]).collect()] == [1.0]
+    assert scoring.with_position_score(df.limit(0), [F.col("n")]).collect() == []

@@ -8,13 +8,11 @@ their leaves' documents and the other leaves' hashes. Null ids have a leaf of th
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest_parts, row_digest
-from ..plans.session import shared_folder
+from ..plans.session import scratch_folder
 
 WIDTH = 1024
 FAN = 256
@@ -95,7 +93,7 @@ def _kept(nodes: DataFrame) -> DataFrame:
     some = nodes.limit(LITERALS + 1).collect()
     if len(some) <= LITERALS:
         return spark.createDataFrame(some, "node long")
-    path = f"{shared_folder(spark).rstrip('/')}/hash-tree/{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "hash-tree")
     nodes.write.parquet(path)
     return spark.read.schema("node long").parquet(path)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.tokens import fold_latin, words
+from ..plans.session import scratch_folder
 
 
 @dataclass(frozen=True)
@@ -39,11 +40,31 @@ def position_score(rank: Column, total: Column) -> Column:
 
 
 def with_position_score(results: DataFrame, order: list[Column], partition: list[str] | None = None) -> DataFrame:
-    """Base score by the place in the given order, by query if ``partition`` names one."""
-    by = Window.partitionBy(*(partition or [F.lit(0)]))
+    """Base score by the place in the given order, by query if ``partition`` names one.
+
+    Without one, rows are ranged by the order and written down, and each range is numbered on its own and offset by the
+    counts of those before: no task has them all. A query's results are one task's; they are a list that someone looks at.
+    """
+    if not partition:
+        return _ranked(results, order)
+    by = Window.partitionBy(*partition)
     return results.withColumns({"_rank": F.row_number().over(by.orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(by)}).withColumn("base", position_score(F.col("_rank"), F.col("_n"))).drop("_rank", "_n")
 
 
+def _ranked(results: DataFrame, order: list[Column]) -> DataFrame:
+    spark = results.sparkSession
+    path = scratch_folder(spark, "positions")
+    ranged = results.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    stored = spark.read.schema(ranged.schema).parquet(path)
+    counts = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_k"))  # a row a range
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_k").over(upto), F.lit(0)).alias("_before"), F.sum("_k").over(Window.partitionBy()).alias("_n"))
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    placed = stored.withColumn("_rank", inner).join(F.broadcast(offsets), "_part")
+    return placed.withColumn("base", position_score(F.col("_rank") + F.col("_before"), F.col("_n"))).select(*results.columns, "base")
+
+
 def matched_share(text: Column, terms: list[str]) -> Column:
     """Share of the terms among the words of a text."""
     own = F.array_distinct(F.transform(words(F.coalesce(text, F.lit("")), emoji=False), lambda w: fold_latin(F.lower(w))))

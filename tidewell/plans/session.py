@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import re
 import tempfile
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +45,26 @@ def shared_folder(spark: SparkSession) -> str:
     return root if ":" in root else f"file://{root}"
 
 
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder, for what one query writes down; it is removed when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append((spark, path))
+    return path
+
+
+@atexit.register
+def _remove_all() -> None:
+    for spark, path in _MADE:
+        try:
+            fs, target = _status(spark, path)
+            fs.delete(target, True)
+        except Exception:  # the session may have ended before
+            return
+
+
 def _status(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
