@@ -27,6 +27,7 @@ from ..streaming.incremental import _files as hadoop_path
 from ..streaming.incremental import _manifest as read_manifest
 from ..streaming.incremental import _publish as publish_manifest
 from ..streaming.incremental import latest_actions
+from ..sources.sealed import check, seal
 from .index import TextIndex
 
 RATIO = 2
@@ -47,22 +48,34 @@ def bitmaps(ids: DataFrame, key: str) -> DataFrame:
 
 @dataclass
 class SegmentFamily:
-    """A family in a folder. key: column of page ids, whole numbers; text: column that is indexed."""
+    """A family in a folder. key: column of page ids, whole numbers; text: column that is indexed; secret: what segments are sealed with, if anything."""
 
     spark: SparkSession
     path: str
     key: str
     text: str
+    secret: bytes = b""
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, key: str, text: str) -> SegmentFamily:
-        publish_manifest(spark, path, {"version": 0, "key": key, "text": text, "segments": [], "applied": {}})
-        return cls.open(spark, path)
+    def create(cls, spark: SparkSession, path: str, id_col: str, text: str, key: bytes = b"") -> SegmentFamily:
+        publish_manifest(spark, path, {"version": 0, "key": id_col, "text": text, "segments": [], "applied": {}})
+        return cls.open(spark, path, key)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> SegmentFamily:
+    def open(cls, spark: SparkSession, path: str, key: bytes = b"") -> SegmentFamily:
         now = read_manifest(spark, path)
-        return cls(spark, path, now["key"], now["text"])
+        return cls(spark, path, now["key"], now["text"], key)
+
+    def check(self) -> None:
+        """Read all files of the newest version and hold them against their seals; ``Broken`` if one differs."""
+        if not self.secret:
+            raise ValueError("seals can't be checked without a key")
+        for s in (s for s in self.segments if s["pages"] or s["bitmaps"]):
+            check(self.spark, f"{self.path}/segments/{s['name']}", f"{self.path}/seals/{s['name']}", self.secret)
+
+    def _seal(self, name: str) -> None:
+        if self.secret:
+            seal(self.spark, f"{self.path}/segments/{name}", f"{self.path}/seals/{name}", self.secret)
 
     @property
     def segments(self) -> list[dict]:
@@ -108,7 +121,7 @@ class SegmentFamily:
         now = read_manifest(self.spark, self.path)
         kept = {s["name"] for s in now["segments"]} | {f"{now['version']:012d}.json"}
         gone = 0
-        for folder in ("segments", "manifests"):
+        for folder in ("segments", "seals", "manifests"):
             fs, at = hadoop_path(self.spark, f"{self.path}/{folder}")
             for entry in fs.listStatus(at) if fs.exists(at) else []:
                 if entry.getPath().getName() not in kept:
@@ -126,6 +139,8 @@ class SegmentFamily:
         has_bits = bool(now["segments"])
         if has_bits:
             bitmaps(replaced, self.key).write.parquet(f"{self.path}/segments/{name}/bitmaps")
+        if pages or has_bits:
+            self._seal(name)
         segments = [*now["segments"], {"name": name, "pages": pages, "bitmaps": has_bits}]
         segments = self._merged(segments, f"{now['version'] + 1:08d}-{uuid.uuid4().hex[:8]}")
         publish_manifest(self.spark, self.path, now | {"version": now["version"] + 1, "segments": segments, "applied": now["applied"] | (applied or {})})
@@ -157,6 +172,7 @@ class SegmentFamily:
         if has_bits:
             united = self._bitmaps(part).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
             united.write.parquet(f"{self.path}/segments/{name}/bitmaps")
+        self._seal(name)
         return [*segments[:start], {"name": name, "pages": pages, "bitmaps": has_bits}]
 
     def _bitmaps(self, segments: list[dict]) -> DataFrame:
