@@ -66,8 +66,9 @@ def summary_round_robin(results: DataFrame, n: int, original: str, term: str = "
     bucket = F.coalesce(F.col(term), F.lit(original))
     rows = results.withColumn("bucket", bucket)
     own = Window.partitionBy("bucket").orderBy(F.desc("score"), key)
-    rows = rows.withColumns({"place": F.row_number().over(own), "strength": F.max("score").over(Window.partitionBy("bucket"))})
-    rows = rows.where(F.col("place") <= n).withColumn("round", F.floor((F.col("place") - 1) / per_round))
+    rows = rows.withColumn("place", F.row_number().over(own)).where(F.col("place") <= n)  # each task's best n of a bucket come first
+    rows = rows.withColumn("strength", F.max("score").over(Window.partitionBy("bucket")))
+    rows = rows.withColumn("round", F.floor((F.col("place") - 1) / per_round))
     return rows.orderBy("round", F.desc("strength"), "bucket", "place").limit(n).drop("strength")
 
 
@@ -77,7 +78,13 @@ def expansion_weight(term_number: Column, first: float = 0.5, decay: float = 0.0
 
 
 def citations(results: DataFrame) -> DataFrame:
-    """(cite_url, title, content) once for each cited page: the page's own URL in its meta, else its URL."""
+    """(cite_url, title, content, score) once for each cited page: the page's own URL in its meta, else its URL.
+
+    The best row of a page is picked by score and URL alone; its content is joined to the pick, so no other row's content is grouped. Rows that are
+    equal in both count as one, that with the greatest title and content.
+    """
     cited = results.withColumn("cite_url", F.coalesce(F.element_at("meta", "url"), F.col("url")))
-    best = F.max_by(F.struct("title", "content"), F.struct("score", "url"))
-    return cited.groupBy("cite_url").agg(best.alias("b"), F.max("score").alias("score")).select("cite_url", "b.title", "b.content", "score")
+    picks = cited.groupBy("cite_url").agg(F.max(F.struct("score", "url")).alias("b")).select(F.col("cite_url").alias("_cite"), F.col("b.score").alias("_score"), F.col("b.url").alias("_url"))
+    same = F.col("cite_url").eqNullSafe(F.col("_cite")) & F.col("url").eqNullSafe(F.col("_url")) & F.col("score").eqNullSafe(F.col("_score"))
+    best = cited.join(picks, same, "left_semi").groupBy("cite_url", "score").agg(F.max(F.struct("title", "content")).alias("b"))
+    return best.select("cite_url", "b.title", "b.content", "score")

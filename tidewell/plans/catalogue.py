@@ -168,18 +168,25 @@ def doc_tokens(spark, sf_dir):
     return index.text_tokens(t(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query(r"""WITH p AS (SELECT w, list_filter(list_transform(string_split(regexp_replace(w, '([a-z])([A-Z])', '\1 \2', 'g'), ' '), lambda x: lower(x)), lambda x: length(x) >= 2) AS l
- FROM (VALUES ('camelCase'), ('iPhone'), ('parseHTML'), ('XMLParser'), ('aB'), ('plain')) v(w)) SELECT w AS word, array_to_string(CASE WHEN len(l) > 0 THEN l ELSE [lower(w)] END, ' ') AS parts FROM p""")
+#: A letter each stands for, so that given names make words of such a script.
+_LATIN, _HAN = "abcdefghijklmnopqrstuvwxyz", "一丁七万丈三上下不与丐丑专且世丘丙业丛东丝丞両丢两严"
+
+
+@query(r"""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS l FROM part), j AS (SELECT p_partkey, array_to_string(list_transform(l, lambda x: upper(substr(x, 1, 1)) || lower(substr(x, 2))), '') AS w FROM w),
+ p AS (SELECT p_partkey, w, list_filter(list_transform(string_split(regexp_replace(w, '([a-z])([A-Z])', '\1 \2', 'g'), ' '), lambda x: lower(x)), lambda x: length(x) >= 2) AS l FROM j)
+ SELECT p_partkey, w AS word, array_to_string(CASE WHEN len(l) > 0 THEN l ELSE [lower(w)] END, ' ') AS parts FROM p""")
 def camel_split(spark, sf_dir):
-    words = spark.createDataFrame([(w,) for w in ("camelCase", "iPhone", "parseHTML", "XMLParser", "aB", "plain")], "word string")
-    return words.select("word", F.array_join(tokens.camel_parts(F.col("word")), " ").alias("parts"))
+    """Names of parts in camel case, and the words that the index makes of them."""
+    words = t(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(F.initcap("p_name"), " ", "").alias("word"))
+    return words.withColumn("parts", F.array_join(tokens.camel_parts(F.col("word")), " "))
 
 
-@query("""SELECT w AS word, array_to_string(CASE WHEN length(w) = 1 THEN [w] ELSE list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) END, ' ') AS parts
- FROM (VALUES ('日本語'), ('検索'), ('字'), ('全文検索')) v(w)""")
+@query(f"""WITH w AS (SELECT p_partkey, translate(replace(lower(p_name), ' ', ''), '{_LATIN}', '{_HAN}') AS w FROM part)
+ SELECT p_partkey, w AS word, array_to_string(CASE WHEN length(w) < 2 THEN [w] ELSE list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) END, ' ') AS parts FROM w""")
 def cjk_bigrams(spark, sf_dir):
-    words = spark.createDataFrame([(w,) for w in ("日本語", "検索", "字", "全文検索")], "word string")
-    return words.select("word", F.array_join(tokens.cjk_parts(F.col("word")), " ").alias("parts"))
+    """Names of parts in Han letters without blanks, and their bigrams."""
+    words = t(spark, sf_dir, "part").select("p_partkey", F.translate(F.regexp_replace(F.lower("p_name"), " ", ""), _LATIN, _HAN).alias("word"))
+    return words.withColumn("parts", F.array_join(tokens.cjk_parts(F.col("word")), " "))
 
 
 @query(f"WITH {TOK} SELECT term, count(*) AS cf FROM tok GROUP BY term")
