@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import clean
 from ..functions.register import register
 from ..operators import hash_tree, lattice, prefix, search, topk
 from ..operators.segments import SegmentFamily
 from ..streaming.change_log import ChangeLog
 from ..streaming.incremental import latest_actions
-from .catalogue import BM25, CLEAN, IN3, PORTABLE, POST, TERMS, query, search_index, t
+from .catalogue import BM25, CLEAN, IN3, PORTABLE, POST, TERMS, TITLE, query, search_index, t
 from .memo import memoised
 from .session import is_stored, shared_folder, source_version
 
@@ -130,14 +131,14 @@ def diacritic_search(spark, sf_dir) -> DataFrame:
 
 _LATTICE = r"""RECURSIVE lex AS (SELECT w AS word, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents) WHERE length(w) <= 24 GROUP BY w),
  cost AS (SELECT word, CAST(round(1000 * ln(CAST((SELECT sum(df) FROM lex) AS DOUBLE) / df)) AS BIGINT) AS cost FROM lex), dear AS (SELECT max(cost) + 2000 AS u FROM cost),
- clause AS (SELECT conv_id, turn, generate_subscripts(l, 1) AS no, unnest(l) AS run FROM (SELECT conv_id, turn, list_transform(regexp_extract_all(lower(text), '[\p{L} ]+'), lambda x: replace(x, ' ', '')) AS l FROM conversations)),
+ clause AS (SELECT page_id, generate_subscripts(l, 1) AS no, unnest(l) AS run FROM (SELECT page_id, list_transform(regexp_extract_all(lower(title), '[\p{L} ]+'), lambda x: replace(x, ' ', '')) AS l FROM (SELECT page_id, {TITLE} AS title FROM pages))),
  runs AS (SELECT DISTINCT run FROM clause WHERE run <> ''),
  cand AS (SELECT run, s, k, substr(run, s + 1, k) AS w FROM (SELECT run, unnest(range(0, length(run))) AS s FROM runs), range(1, 25) r(k) WHERE s + k <= length(run)),
  edges AS (SELECT run, s + k AS i, list({'s': s, 'c': cost, 'w': w}) AS e FROM cand JOIN cost ON word = w GROUP BY ALL),
  dp AS (SELECT run, CAST(0 AS BIGINT) AS i, [{'c': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 'l': CAST(0 AS BIGINT), 'p': ''}] AS b FROM runs
   UNION ALL SELECT d.run, d.i + 1, list_append(d.b[-23:], list_sort(list_append(list_transform(coalesce(e.e, []), lambda x: {'c': d.b[len(d.b) - (d.i - x.s)].c + x.c, 'n': d.b[len(d.b) - (d.i - x.s)].n + 1,
    'l': -CAST(length(x.w) AS BIGINT), 'p': d.b[len(d.b) - (d.i - x.s)].p || ' ' || x.w}), {'c': d.b[-1].c + u, 'n': d.b[-1].n + 1, 'l': CAST(-1 AS BIGINT), 'p': d.b[-1].p || ' ' || substr(d.run, d.i + 1, 1)}))[1])
-  FROM dp d LEFT JOIN edges e ON e.run = d.run AND e.i = d.i + 1, dear WHERE d.i < length(d.run))"""
+  FROM dp d LEFT JOIN edges e ON e.run = d.run AND e.i = d.i + 1, dear WHERE d.i < length(d.run))""".replace("{TITLE}", TITLE)
 
 
 def word_lexicon(spark, sf_dir) -> DataFrame:
@@ -150,13 +151,24 @@ def word_lexicon(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(f"{path}/pages")
 
 
-@query(f"WITH {_LATTICE} SELECT conv_id, turn, no, substr(b[-1].p, 2) AS words FROM clause JOIN dp USING (run) WHERE i = length(run)")
-def lattice_words(spark, sf_dir) -> DataFrame:
-    """The clauses of all conversations with their blanks taken out, and the words that the documents' lexicon makes of them."""
+def _segmented(spark, sf_dir, rows: DataFrame, *keys: str) -> DataFrame:
+    """The clauses of texts with their blanks taken out, and the words that the documents' lexicon makes of them."""
     parts = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L} ]+"), F.lit(0)), lambda x: F.regexp_replace(x, " ", ""))
-    clauses = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(parts).alias("no", "run")).withColumn("no", F.col("no").cast("long") + 1)
+    clauses = rows.select(*keys, F.posexplode(parts).alias("no", "run")).withColumn("no", F.col("no").cast("long") + 1)
     words = lattice.segment_runs(clauses, word_lexicon(spark, sf_dir))
-    return clauses.join(words, "run").select("conv_id", "turn", "no", F.array_join("words", " ").alias("words"))
+    return clauses.join(words, "run").select(*keys, "no", F.array_join("words", " ").alias("words"))
+
+
+@query(f"WITH {_LATTICE} SELECT page_id, no, substr(b[-1].p, 2) AS words FROM clause JOIN dp USING (run) WHERE i = length(run)")
+def lattice_words(spark, sf_dir) -> DataFrame:
+    """The titles of all pages without blanks, in words again."""
+    return _segmented(spark, sf_dir, t(spark, sf_dir, "pages").select("page_id", clean.page_title(F.col("html")).alias("text")), "page_id")
+
+
+@query()
+def lattice_clauses(spark, sf_dir) -> DataFrame:
+    """The same of all conversations. The SQL of titles gives the same rows here, but takes minutes; tests hold the operator against all ways to cut."""
+    return _segmented(spark, sf_dir, t(spark, sf_dir, "conversations"), "conv_id", "turn")
 
 
 # -- the change log --------------------------------------------------------------------------------------------
