@@ -114,6 +114,27 @@ def test_blocks_one_after_the_other(spark, monkeypatch):
     assert {r["doc_id"] for r in drop_contaminated(df, bench).collect()} == {i for i, _ in docs} - set(range(1, 12, 2))
 
 
+def test_blocks_write_keys_and_no_texts(spark, monkeypatch):
+    """Several blocks keep the rows, columns and repeats that one block keeps; what they write has no text."""
+    import tidewell.llm.decontaminate as D
+
+    rng = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=20)), 0) for i in range(6)]
+    dirty = "start " + items[3][1] + " end"
+    rows = [(1, "clean text", "a", 1), (1, "clean text", "a", 1), (None, None, None, None), (2, "", "b", 2), (3, dirty, "c", 3), (3, dirty, "c", 3), (None, dirty, "d", 4), (4, "long " * 300_000, "e", 5)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string, key string, alt long"), spark.createDataFrame(items, ITEMS)
+    one = sorted(map(repr, drop_contaminated(df, bench).collect()))
+    written = []
+    plain = D.store
+    monkeypatch.setattr(D, "store", lambda found, name: written.append(found.columns) or plain(found, name))
+    monkeypatch.setattr(D, "BLOCK_WORDS", 50)
+    several = drop_contaminated(df, bench)
+    assert several.schema == df.schema and sorted(map(repr, several.collect())) == one and len(one) == 5
+    assert len(written) == 3 and all(c == ["__tidewell_key", "__tidewell_alt"] for c in written)
+    assert drop_contaminated(df.limit(0), bench).collect() == []
+
+
 @pytest.mark.parametrize("n", range(1, 9))
 def test_short_items_are_found_exactly(spark, n):
     """Whole items in a row, in plain reading; nothing else."""

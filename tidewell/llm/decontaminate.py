@@ -202,11 +202,11 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield Block(ids, texts)
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, schema, of: Callable, chain: bool) -> DataFrame | None:
-    """A pass over ``docs`` for each block: the union of what they give, or (``chain``) each over what the last one kept.
+def _passes(docs: DataFrame, benchmark: DataFrame, schema: str, of: Callable) -> DataFrame | None:
+    """The union of what a pass over ``docs`` gives for each block.
 
-    A benchmark of one block is a plan like any other. Of more, one block at a time is in the driver and the tasks: a pass is
-    written down before the next block is made, and its broadcast is given back.
+    A benchmark of one block is a plan like any other. Of more, one block at a time is in the driver and the tasks: what a pass
+    finds is written down before the next block is made, and its broadcast is given back.
     """
     source = blocks(benchmark)
     block = next(source, None)
@@ -218,8 +218,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, schema, of: Callable, chain:
         if following is not None or out is not None:
             found = store(found, "decontamination")
             shared.destroy()
-        docs = found if chain else docs
-        out = found if chain or out is None else out.unionByName(found)
+        out = found if out is None else out.unionByName(found)
         block = following
     return out
 
@@ -228,7 +227,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(doc_id, item_id, first_word, end_word, n_matched) for every item in every contaminated document."""
     schema = "doc_id long, item_id long, first_word int, end_word int, n_matched int"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = _passes(rows, benchmark, schema, _finder, chain=False)
+    out = _passes(rows, benchmark, schema, _finder)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -249,10 +248,38 @@ def _finder(shared):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with their columns as they were."""
-    at = docs.columns.index(text_col)
-    out = _passes(docs, benchmark, docs.schema, lambda shared: _dropper(shared, at, text_col), chain=True)
-    return out if out is not None else docs
+    """The rows of ``docs`` in which no item is found, with their columns as they were.
+
+    A benchmark of one block drops rows as it reads them. Of more, each pass reads the texts and writes only the keys of those with
+    an item (128 bits of hash of the text, by which alone a row is judged); the rows go by these in one join, so the corpus is never written.
+    """
+    source = blocks(benchmark)
+    block = next(source, None)
+    if block is None:
+        return docs
+    if next(source, None) is None:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        return docs.mapInArrow(_dropper(shared, docs.columns.index(text_col), text_col), docs.schema)
+    p = "__tidewell_"
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = {f"{p}key": F.xxhash64(text), f"{p}alt": F.xxhash64(F.lit("alt"), text)}
+    found = _passes(docs.select(*(v.alias(k) for k, v in keys.items()), text.alias("text")), benchmark, f"{p}key long, {p}alt long", _marker)
+    return docs.withColumns(keys).join(found.distinct(), list(keys), "left_anti").select(*docs.columns)
+
+
+def _marker(shared):
+    """Rows (key, alt, text) to the keys of texts with an item."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        block = shared.value
+        for big in batches:
+            for batch in small_batches(big, "text"):
+                hits = sorted({hit[0] for hit in block.find(*word_hashes(batch.column(2).to_pylist()))})
+                yield batch.select([0, 1]).take(pa.array(hits, pa.int64()))
+
+    return run
 
 
 def _dropper(shared, at: int, text_col: str):
