@@ -350,3 +350,16 @@ def test_places_without_a_query_are_ranked_in_ranges(spark):
     assert "SinglePartition" not in out.drop("base")._jdf.queryExecution().executedPlan().toString()
     assert [r["base"] for r in scoring.with_position_score(df.limit(1), [F.col("n")]).collect()] == [1.0]
     assert scoring.with_position_score(df.limit(0), [F.col("n")]).collect() == []
+
+
+def test_citations_take_the_best_row_of_a_page(spark):
+    rows = [("a", "A", "one", 1.0, {}), ("b", "B", "two", 3.0, {"url": "a"}), ("c", "C", "x", 2.0, None), ("c", "C", "y", 2.0, {}), ("d", None, None, None, {"url": "d"}), (None, "N", "n", 1.0, {})]
+    found = merge.citations(spark.createDataFrame(rows, "url string, title string, content string, score double, meta map<string,string>"))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([("a", "B", "two", 3.0), ("c", "C", "y", 2.0), ("d", None, None, None), (None, "N", "n", 1.0)], key=repr)
+    assert merge.citations(spark.createDataFrame([], "url string, title string, content string, score double, meta map<string,string>")).collect() == []
+
+
+def test_round_robin_takes_the_best_of_each_task_first(spark):
+    rows = spark.createDataFrame([(f"u{i}", "t" if i % 3 else None, float(i % 7)) for i in range(50)], "url string, source_term string, score double")
+    plan = merge.summary_round_robin(rows, 4, "typed")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.rindex("Exchange") and "Partial" in plan
