@@ -113,3 +113,71 @@ def test_vocabulary_follows_the_counts(spark, monkeypatch):
     a, b = sizes
     assert b.n_context > 1.5 * a.n_context and b.n_words > 1.5 * a.n_words
     assert all(v.n_context == v.n_words == int(L.WORDS_PER_ROOT * v.distinct**0.5) for v in sizes)
+
+
+def test_words_are_those_of_bytes_split():
+    from tidewell.llm.lm_score import _groups
+
+    texts = ["", " ", "a", " A\tb  ", "\n\x0b\x0c\r", "x".join(map(chr, range(128))), "\u00a0Ä\u2003é \x85ß", "\x00 \x1c\x1d\x1e\x1f", "日本 語", "tail "]
+    words, lengths = _split(texts)
+    want = [t.encode().lower().split() for t in texts]
+    assert [w.encode() for w in words.to_pylist()] == [w for ws in want for w in ws]
+    assert lengths.tolist() == [len(ws) for ws in want]
+    assert _groups(words).tolist() == [_group(w) for ws in want for w in ws]
+
+
+def test_tokens_with_the_same_words_before_them_share_their_sums(monkeypatch):
+    import tidewell.llm.lm_score as L
+
+    voc, model, (out, one, two) = trained(200, 150)
+    summed = []
+    real = L._normaliser
+    monkeypatch.setattr(L, "_normaliser", lambda h, *a: (summed.append(len(h)), real(h, *a))[1])
+    once = model.log_probs(out, one, two)
+    rows = sum(summed)
+    again = model.log_probs(np.tile(out, 5), np.tile(one, 5), np.tile(two, 5))
+    assert sum(summed) == 2 * rows  # five times the tokens, no more sums
+    assert np.allclose(again, np.tile(once, 5), atol=1e-6)
+
+
+@pytest.mark.parametrize("share", [1, 100, 1 << 19])
+def test_scores_equal_plain_sums(monkeypatch, share):
+    monkeypatch.setattr("tidewell.llm.lm_score.SHARE", share, raising=False)
+    voc, model, (out, one, two) = trained(200, 150)
+    r, q, b, u, v, c = (x.astype(float) for x in (model.r, model.q, model.b, model.u, model.v, model.c))
+    want = []
+    for o, x, y in zip(model.rank[out], one, two):
+        h, k = c[0] * r[x] + c[1] * r[y], o // model.size
+        inside = slice(k * model.size, (k + 1) * model.size)
+        want.append((u @ h + v)[k] - np.log(np.exp(u @ h + v).sum()) + (q @ h + b)[o] - np.log(np.exp((q @ h + b)[inside]).sum()))
+    assert np.allclose(model.log_probs(out, one, two), want, atol=1e-4)
+
+
+def test_slices_share_one_table_of_the_head_and_agree_with_encode(monkeypatch):
+    import pyarrow as pa
+
+    import tidewell.llm.lm_score as L
+
+    monkeypatch.setattr(L, "SOME", 40)
+    monkeypatch.setattr(L, "MANY", 4000)
+    voc, _, _ = trained(200, 150)
+    texts = ["", " w1 W2  unknown ", *(" ".join(f"w{i * k % 320}" for k in range(i % 9)) for i in range(60))]
+    calls = []
+    real = L.Vocabulary.find
+    monkeypatch.setattr(L.Vocabulary, "find", lambda self, words: (calls.append(len(words)), real(self, words))[1])
+    got = list(L._encoded(voc, [pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])], "text"))
+    assert len(calls) == 1 and len(got) > 10
+    assert [t for b, *_ in got for t in b.column(0).to_pylist()] == texts
+    for batch, words, lengths, encoded in got:
+        alone = voc.encode(*_split(batch.column(0)))
+        assert all(np.array_equal(x, y) for x, y in zip(encoded, alone))
+        assert lengths.sum() == len(words)
+
+
+def test_order_is_the_stable_argsort():
+    from tidewell.llm.lm_score import _order
+
+    rng = np.random.default_rng(3)
+    for n, high in [(1, 5), (17, 3), (8192, 200), (5000, 1 << 36)]:
+        at = rng.integers(0, high, n)
+        assert np.array_equal(_order(at), np.argsort(at, kind="stable"))

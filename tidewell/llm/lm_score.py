@@ -14,7 +14,8 @@ Outputs are as many words, the end, and ``GROUPS`` groups of all other words (by
 with what has been counted, up to the ``HEAD`` words that are broadcast. Outputs stand in
 order of frequency in about as many classes as a class has members: p(o) = p(class of o) * p(o in its class), with the scores
 h.u[class] + v[class] and h.q[o] + b[o], so batched matrix products over the classes and over one class's members give
-each token's exact normalisers, and their cost grows with the fourth root of the vocabulary. Both factors are trained by
+each token's exact normalisers, once for all tokens of a slice with the same words before them, and their cost grows with the
+fourth root of the vocabulary. Both factors are trained by
 noise-contrastive estimation, with noise from the counts of classes and from those within a class. Inside
 a group, words share its probability by (count + 1/2), with 1/2 left for unknown words: probabilities add up to 1
 with one unknown word in each group.
@@ -31,7 +32,6 @@ counts are 0 and scores are those of the smoothed start. Repeated rows are score
 from __future__ import annotations
 
 import zlib
-from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -49,8 +49,10 @@ DIM = 24
 NOISE, NOISE_INSIDE, BLOCK = 32, 8, 32
 BATCH = 8192
 RATE = 0.02
-#: Tokens whose scores over a class are in hand at once.
-ROWS = 2048
+#: Contexts whose scores over a class are in hand at once; tokens that share the scores of their contexts.
+ROWS, SHARE = 2048, 1 << 16
+#: Bytes of text that are trained or scored at once, and of text whose words are looked up at once.
+SOME, MANY = 2_000_000, 32_000_000
 #: Rows of a table that are averaged together.
 SLICE = 1024
 FAN_IN = 256
@@ -67,34 +69,58 @@ def _group(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % GROUPS
 
 
-def _split(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
-    """Words of all texts (A-Z lower-cased; parted at the six ASCII white spaces) and words in each."""
-    words = [t.encode().lower().split() for t in texts]
-    return [w for ws in words for w in ws], np.array([len(ws) for ws in words], np.int64)
+def _groups(words) -> np.ndarray:
+    """``_group`` of each word of an Arrow array."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    last = pc.binary_slice(words.cast(pa.binary()), -3).dictionary_encode()
+    return np.array([_group(w) for w in last.dictionary.to_pylist()], np.int32)[last.indices.to_numpy()]
+
+
+def _split(texts):
+    """Words of all texts (A-Z lower-cased; parted at the six ASCII white spaces) as an Arrow array, and words in each."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, lengths = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+    full = pc.binary_length(words).to_numpy() > 0  # white space at an end leaves an empty word there
+    if not full.all():
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[full], minlength=len(lengths))
+        words = words.filter(pa.array(full))
+    return words, lengths
 
 
 def _count(batches):
     import pyarrow as pa
-    from collections import Counter
+    import pyarrow.compute as pc
 
     for big in batches:
-        total: Counter = Counter()
+        parts = []
         for batch in small_batches(big):
-            for t in batch.column(0).to_pylist():
-                total.update(t.encode().lower().split())
-        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in total], pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([_group(w) for w in total], pa.int32())], ["word", "n", "grp"])
+            values, counts = pc.value_counts(_split(batch.column(0))[0]).flatten()
+            parts.append(pa.table({"word": values, "n": counts}))
+        if not parts:
+            continue
+        for total in pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")]).combine_chunks().to_batches():
+            words = total.column("word")
+            yield pa.RecordBatch.from_arrays([words, total.column("n_sum"), pa.array(_groups(words))], ["word", "n", "grp"])
 
 
 class Vocabulary:
     """What every task needs: head words with counts, group masses, totals."""
 
     def __init__(self, words: list[str], counts: list[int], total: int, distinct: int, ends: int, masses: np.ndarray, n_words: int, n_context: int):
-        self.index = {w.encode(): i for i, w in enumerate(words)}
+        import pyarrow as pa
+
+        self.head = pa.array(words, pa.string())
         self.counts = np.array(counts, np.float64)
         self.total, self.distinct, self.ends = total, distinct, ends
         self.n_words, self.n_context = min(n_words, len(words)), min(n_context, len(words))
         self.outputs = self.n_words + 1 + GROUPS
-        groups = np.array([_group(w) for w in self.index], np.int64)
+        groups = _groups(self.head)
         # masses: sum of (count + 1/2) of the words of each group that aren't outputs, and 1/2
         self.masses = masses + 0.5
         np.add.at(self.masses, groups[: self.n_words], -(self.counts[: self.n_words] + 0.5))
@@ -106,21 +132,25 @@ class Vocabulary:
         start = np.concatenate([self.counts[: self.n_words] + 0.5, [ends + 0.5], self.masses])
         self.log_start = np.log(start / start.sum())
 
-    def encode(self, words: list[bytes], lengths: np.ndarray):
-        """Head index of each token (-1: none, -2: end), output, and the contexts one and two back."""
-        ids = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+    def find(self, words) -> np.ndarray:
+        """Head index of each word (-1: none). Every call builds a table of the head words."""
+        import pyarrow.compute as pc
+
+        return pc.index_in(words, value_set=self.head).fill_null(-1).to_numpy()
+
+    def encode(self, words, lengths: np.ndarray, ids: np.ndarray | None = None):
+        """Head index of each token (-1: none, -2: end), output, and the contexts one and two back; ids: of the words, if they are known."""
+        ids = self.find(words) if ids is None else ids
         n = len(words) + len(lengths)
         ends = np.cumsum(lengths + 1) - 1
-        at_end = np.zeros(n, bool)
-        at_end[ends] = True
+        places = np.arange(len(words)) + np.repeat(np.arange(len(lengths)), lengths)
         tokens = np.full(n, -2, np.int32)
-        tokens[~at_end] = ids
+        tokens[places] = ids
         out = np.full(n, self.n_words, np.int32)
         known = tokens >= 0
         out[known] = self.out_of[tokens[known]]
         lost = np.flatnonzero(ids < 0)
-        where = np.flatnonzero(~at_end)[lost]
-        out[where] = [self.n_words + 1 + _group(words[i]) for i in lost.tolist()]
+        out[places[lost]] = self.n_words + 1 + _groups(words.take(lost))
         context = np.where(known & (tokens < self.n_context), tokens, self.n_context + _OTHER)
         one = np.concatenate([[0], context[:-1]])
         two = np.concatenate([[0, 0], context[:-2]])[:n]
@@ -133,17 +163,35 @@ class Vocabulary:
         return tokens, out, one, two, lost
 
 
-def _normaliser(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """log of the sum of exp(h.w + bias) over all rows of the weights, in blocks of tokens that a core's cache holds."""
+def _encoded(voc: Vocabulary, batches, text_col: str):
+    """(batch, its words, what ``encode`` gives for them) for slices of all batches."""
+    import pyarrow as pa
+
+    for big in batches:
+        for many in small_batches(big, text_col, MANY):
+            some = list(small_batches(many, text_col, SOME))
+            split = [_split(b.column(b.schema.get_field_index(text_col))) for b in some]
+            ids = voc.find(pa.chunked_array([words for words, _ in split], pa.string()))
+            ends = np.cumsum([len(words) for words, _ in split])
+            for batch, (words, lengths), own in zip(some, split, np.split(ids, ends[:-1])):
+                yield batch, words, lengths, voc.encode(words, lengths, own)
+
+
+def _order(at: np.ndarray) -> np.ndarray:
+    """The stable argsort of numbers below 2 ** 40. Numbers that hold their own places are sorted faster than places are."""
+    bits = len(at).bit_length()
+    return np.sort((at.astype(np.int64) << bits) | np.arange(len(at))) & ((1 << bits) - 1)
+
+
+def _normaliser(h: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """log of the sum of exp(h.w) over all rows of the weights, in blocks of contexts that a core's cache holds."""
     out = np.empty(len(h))
-    turned = np.ascontiguousarray(weights.T)
     for a in range(0, len(h), ROWS):
-        s = h[a : a + ROWS] @ turned
-        s += bias
+        s = weights @ h[a : a + ROWS].T
         top = s.max()
         if top > 80:  # float32 would overflow
             s -= top
-        total = np.exp(s, out=s).sum(1)
+        total = np.exp(s, out=s).sum(0)
         out[a : a + ROWS] = np.log(np.maximum(total, np.float32(1e-37))) + (top if top > 80 else 0)
     return out
 
@@ -184,9 +232,9 @@ class Model:
         """One pass of noise-contrastive updates; tokens share noise, so updates are matrix products."""
         for a in range(0, len(out), BATCH):
             w = self.rank[out[a : a + BATCH]]
-            order = np.argsort(w, kind="stable")
+            order = _order(w)
             w, x, y = w[order], one[a : a + BATCH][order], two[a : a + BATCH][order]
-            rx, ry = self.r[x], self.r[y]
+            rx, ry = self.r.take(x, 0), self.r.take(y, 0)
             h = self.c[0] * rx + self.c[1] * ry
             gh = self._classes(h, w // self.size, rng) + self._inside(h, w, rng)
             self._step(np.concatenate([x, y]), False, r=np.concatenate([gh * self.c[0], gh * self.c[1]]))
@@ -196,7 +244,7 @@ class Model:
         upto = np.cumsum(np.exp(self.log_class))
         noise = np.minimum(np.searchsorted(upto, rng.random(NOISE) * upto[-1]), len(upto) - 1)
         shift = self.log_class + np.float32(np.log(NOISE))
-        uk, un = self.u[k], self.u[noise]
+        uk, un = self.u.take(k, 0), self.u[noise]
         g = _sigmoid(-(np.einsum("ij,ij->i", h, uk) + self.v[k] - shift[k]))  # toward the data
         gn = -_sigmoid(h @ un.T + (self.v[noise] - shift[noise]))  # away from the noise
         gh = g[:, None] * uk + gn @ un
@@ -214,14 +262,14 @@ class Model:
         place = begins[of] + BLOCK * (np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
         at = place[:, None] + np.arange(BLOCK)
         real = at < ends[of][:, None]
-        hb = h[np.minimum(at, len(k) - 1)]
+        hb = h.take(np.minimum(at, len(k) - 1), 0)
         low = self.first[k[begins]][of]
         high = np.minimum(low + self.size, len(self.upto)) - 1
         below = np.where(low > 0, self.upto[low - 1], 0.0)
         drawn = below[:, None] + rng.random((len(of), NOISE_INSIDE)) * (self.upto[high] - below)[:, None]
         noise = np.clip(np.searchsorted(self.upto, drawn), low[:, None], high[:, None])
         shift = self.log_inside + np.float32(np.log(NOISE_INSIDE))
-        qw, qn = self.q[w], self.q[noise]
+        qw, qn = self.q.take(w, 0), self.q.take(noise, 0)
         g = _sigmoid(-(np.einsum("ij,ij->i", h, qw) + self.b[w] - shift[w]))
         gn = -_sigmoid(hb @ qn.transpose(0, 2, 1) + (self.b[noise] - shift[noise])[:, None, :]) * real[:, :, None]
         gh = g[:, None] * qw + (gn @ qn)[real]
@@ -233,12 +281,12 @@ class Model:
     def _step(self, at: np.ndarray, in_order: bool, **gradients: np.ndarray) -> None:
         """An AdaGrad step of each touched row of the named tables by its summed gradient; a row has one rate."""
         if not in_order:
-            order = np.argsort(at, kind="stable")
+            order = _order(at)
             at = at[order]
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         row, n = at[first], np.diff(np.append(first, len(at)))
         for name, g in gradients.items():
-            total = np.add.reduceat(g if in_order else g[order], first, axis=0)
+            total = np.add.reduceat(g if in_order else g.take(order, 0), first, axis=0)
             seen = self.seen[name]
             seen[row] += np.einsum("ij,ij->i", total, total) / total.shape[1]
             self.tables[name][row] += (RATE / np.sqrt(seen[row]))[:, None] * total
@@ -263,21 +311,32 @@ class Model:
             at += width
 
     def log_probs(self, out: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Normalised log-probabilities: of the class, and of the output in it, by matrix products over tokens."""
+        """Normalised log-probabilities: of the class, and of the output in it, by matrix products over contexts.
+
+        Tokens with the same two words before them share the sum over the classes, and those of one class also that over its members.
+        """
+        import pyarrow as pa
+
+        # a last column of 1 takes the bias into the products
+        u, q = np.column_stack([self.u, self.v]), np.column_stack([self.q, self.b])
         score = np.empty(len(out))
-        for a in range(0, len(out), 32768):
-            w = self.rank[out[a : a + 32768]]
-            order = np.argsort(w // self.size, kind="stable")
-            w = w[order]
+        for a in range(0, len(out), SHARE):
+            pairs = pa.array(one[a : a + SHARE].astype(np.int64) * len(self.r) + two[a : a + SHARE]).dictionary_encode()
+            pair, (x, y) = pairs.indices.to_numpy(), np.divmod(pairs.dictionary.to_numpy(), len(self.r))
+            h = np.ones((len(x), DIM + 1), np.float32)
+            h[:, :DIM] = self.c[0] * self.r.take(x, 0) + self.c[1] * self.r.take(y, 0)
+            w = self.rank[out[a : a + SHARE]]
+            order = _order(w // self.size * len(x) + pair)
+            w, pair = w[order], pair[order]
             k = w // self.size
-            h = self.c[0] * self.r[one[a : a + 32768][order]] + self.c[1] * self.r[two[a : a + 32768][order]]
-            lp = (np.einsum("ij,ij->i", h, self.u[k]) + self.v[k]).astype(np.float64) - _normaliser(h, self.u, self.v)
-            lp += np.einsum("ij,ij->i", h, self.q[w]) + self.b[w]
+            first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (pair[1:] != pair[:-1])]))
+            row, k = pair[first], k[first]
+            own = h.take(row, 0)
+            lp = np.einsum("ij,ij->i", own, u.take(k, 0)) - _normaliser(h, u)[row]
             begins = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             for i, j in zip(begins, np.append(begins[1:], len(k))):
-                m = slice(self.first[k[i]], self.first[k[i]] + self.size)
-                lp[i:j] -= _normaliser(h[i:j], self.q[m], self.b[m])
-            score[a + order] = lp
+                lp[i:j] -= _normaliser(own[i:j], q[self.first[k[i]] : self.first[k[i]] + self.size])
+            score[a + order] = np.repeat(lp, np.diff(np.append(first, len(w)))) + np.einsum("ij,ij->i", h.take(pair, 0), q.take(w, 0))
         return score
 
 
@@ -309,11 +368,9 @@ def _trainer(shared):
         voc: Vocabulary = shared.value
         part = TaskContext.get().partitionId()
         model, rng = Model(voc), np.random.default_rng(part)
-        for big in batches:
-            for batch in small_batches(big, most_bytes=2_000_000):
-                _, out, one, two, _ = voc.encode(*_split(batch.column(0).to_pylist()))
-                order = rng.permutation(len(out))
-                model.train(voc, out[order], one[order], two[order], rng)
+        for _, _, _, (_, out, one, two, _) in _encoded(voc, batches, "text"):
+            order = rng.permutation(len(out))
+            model.train(voc, out[order], one[order], two[order], rng)
         for key, rows, n, changes in model.slices(Model(voc)):
             yield _slice_batch([(key, rows, n, changes)], part % FAN_IN)
 
@@ -352,31 +409,27 @@ def _scorer(voc_shared, tables_shared, key: int):
         log_n = np.log(voc.total + 0.5 * (voc.distinct + 1))
         head_base = np.log(voc.counts + 0.5)
         log_mass = np.log(voc.masses)
-        for big in batches:
-            for batch in small_batches(big, most_bytes=2_000_000):
-                words, lengths = _split(batch.column(1).to_pylist())
-                tokens, out, one, two, lost = voc.encode(words, lengths)
-                model_lp = model.log_probs(out, one, two)
-                known = tokens >= 0
-                base = np.zeros(len(tokens))
-                base[known] = head_base[tokens[known]]
-                base[tokens == -2] = np.log(voc.ends + 0.5)
-                model_lp[known] += voc.share[tokens[known]]
-                gone = tokens == -1
-                model_lp[gone] -= log_mass[out[gone] - voc.n_words - 1]
-                starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-                add = lambda v: np.add.reduceat(v, starts)
-                doc_of_word = np.repeat(np.arange(len(lengths)), lengths)
-                tails: list[list[str]] = [[] for _ in lengths]
-                for i, d in zip(lost.tolist(), doc_of_word[lost].tolist()):
-                    tails[d].append(words[i].decode())
-                n = lengths + 1
-                n_known = add(known.astype(np.int64)) + (1 if voc.ends else 0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([(part << 40) + row + i for i in range(len(n))], pa.int64()), batch.column(0), pa.array(n), pa.array(n_known), pa.array(add(base) - n * log_n), pa.array(add(model_lp)), pa.array(tails, pa.list_(pa.string()))],
-                    ["row", "doc_id", "n_tokens", "n_known", "base", "model", "tail"],
-                )
-                row += len(n)
+        for batch, words, lengths, (tokens, out, one, two, lost) in _encoded(voc, batches, "text"):
+            model_lp = model.log_probs(out, one, two)
+            known = tokens >= 0
+            base = np.zeros(len(tokens))
+            base[known] = head_base[tokens[known]]
+            base[tokens == -2] = np.log(voc.ends + 0.5)
+            model_lp[known] += voc.share[tokens[known]]
+            gone = tokens == -1
+            model_lp[gone] -= log_mass[out[gone] - voc.n_words - 1]
+            starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+            add = lambda v: np.add.reduceat(v, starts)
+            doc_of_word = np.repeat(np.arange(len(lengths)), lengths)
+            tail_ends = np.cumsum(np.bincount(doc_of_word[lost], minlength=len(lengths)))
+            tails = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], tail_ends]), pa.int32()), words.take(lost))
+            n = lengths + 1
+            n_known = add(known.astype(np.int64)) + (1 if voc.ends else 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((part << 40) + row + np.arange(len(n))), batch.column(0), pa.array(n), pa.array(n_known), pa.array(add(base) - n * log_n), pa.array(add(model_lp)), tails],
+                ["row", "doc_id", "n_tokens", "n_known", "base", "model", "tail"],
+            )
+            row += len(n)
 
     return run
 
