@@ -76,6 +76,21 @@ def test_references_of_any_length(spark):
     assert tuple(df.select(decode_entities("a"), decode_entities("b")).first()) == ("\ufffd", "A <")
 
 
+def test_references_without_a_semicolon_are_text():
+    from html import unescape
+    from html.entities import html5
+
+    from tidewell.functions.clean import _decode
+
+    for text in ("a&ampThe", "&copy", "&#65", "&#065 ", "&#x41 b", "&notit;", "&;", "&#;", "&#x;", "& amp;", "&amp"):
+        assert _decode(text) == text
+    for name in html5:
+        assert _decode(f"a&{name}b") == ("a" + html5[name] + "b" if name.endswith(";") else f"a&{name}b")
+    for number in ("0", "00", "65", "0065", "128", "55296", "1114111", "1114112", "9999999", "x41", "X1F600", "x" + "f" * 5000):
+        assert _decode(f"&#{number};") == unescape(f"&#{number};")
+    assert _decode("&amp;quot; &amp;amp;") == "&quot; &amp;"
+
+
 @pytest.mark.parametrize("part", ["< id='x", "<a id='x", "<!--", "<script", "<script>", "</script ", "<nav>", "<div id='main-content'>", '<p class="footer">', "<p class=footer id='", "<", "<a b c=\"", "<body>", "</body", "<x a a a a", "<style>a</style", " \t", "&#0", "<footer id=\"", "<a" + " " * 50])
 def test_cleaning_takes_linear_time(part):
     import time
