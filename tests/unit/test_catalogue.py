@@ -52,7 +52,7 @@ CUT_OFF = [
 ]
 
 
-@pytest.mark.parametrize("name", ["clean_pages", "html_unescape", "merged_postings", "min_length_filter", "page_body_positions", "page_contents", "page_index_unstemmed", "page_token_streams", "page_variants", "page_word_counts", "weighted_positions", "scored_results", "sql_functions"])
+@pytest.mark.parametrize("name", ["clean_pages", "html_unescape", "merged_postings", "min_length_filter", "page_body_positions", "page_contents", "page_index_unstemmed", "page_token_streams", "page_variants", "page_word_counts", "weighted_positions", "scored_results", "sql_functions", "sql_html_clean"])
 def test_pages_with_references_that_are_cut_off(spark, tmp_path, name):
     pages = [(i, f"https://x.org/a/{i}", f'<html lang="en"><head><title>{title}</title></head><body>{body}</body></html>') for i, (title, body) in enumerate(CUT_OFF)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
