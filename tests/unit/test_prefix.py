@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tidewell.operators.prefix import FormIndex, matches, prefix_bm25
 from tidewell.operators.search import Ranking
 
@@ -26,3 +28,19 @@ def test_order_and_stores(spark, tmp_path):
     plan = matches(index, ["café"])._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(term,cafe)" in plan and "LessThan(term,cafe" in plan
     assert prefix_bm25(index, []).collect() == [] and prefix_bm25(index, ["", "zzz"]).collect() == []
+
+
+def test_texts_are_read_once_for_a_store(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    docs = spark.createDataFrame([*DOCS, (8, "cafe Ψωμί ψωμί")], "doc_id long, text string").select("doc_id", counted("text").alias("text"))
+    FormIndex.of(docs, "doc_id", "text").store(str(tmp_path / "f"), 2)
+    assert read.value == len(DOCS) + 1
+    index = FormIndex.stored(spark, str(tmp_path / "f"), "doc_id")
+    assert {tuple(r) for r in index.pages.collect()} == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 1), (8, 3)}
+    assert {tuple(r) for r in index.forms.where("doc_id = 8").collect()} == {("cafe", "cafe", 8, 1), ("ψωμι", "ψωμί", 8, 2)}

@@ -36,7 +36,9 @@ class FormIndex:
 
     def store(self, path: str, partitions: int) -> None:
         self.forms.repartitionByRange(partitions, "term", "form", self.page_col).sortWithinPartitions("term", "form", self.page_col).write.mode("overwrite").parquet(f"{path}/forms")
-        self.pages.write.mode("overwrite").parquet(f"{path}/pages")  # the last one: its commit says that the store is whole
+        # the lengths come from what has been written: the texts are read once
+        lengths = self.forms.sparkSession.read.parquet(f"{path}/forms").groupBy(self.page_col).agg(F.sum("tf").alias("length"))
+        lengths.write.mode("overwrite").parquet(f"{path}/pages")  # the last one: its commit says that the store is whole
 
     @classmethod
     def stored(cls, spark: SparkSession, path: str, page_col: str) -> FormIndex:
