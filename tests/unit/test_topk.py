@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.operators import search
 from tidewell.operators.index import TextIndex
@@ -82,3 +83,29 @@ def test_ties_go_by_page(spark, tmp_path):
     for k in (2, 3, 10, 303, 400):
         got, _ = best_pages(spark, str(tmp_path / "t"), ["the", "word"], k)
         assert pairs(got) == pairs(search.top_k(search.bm25(index, ["the", "word"]), k, "doc_id"))
+
+
+def test_impacts_need_no_index_with_positions(spark, tmp_path):
+    from tidewell.plans import catalogue
+    from tidewell.plans.catalogue_index import impacts
+    from tidewell.plans.session import is_stored
+
+    spark.createDataFrame([(i, "der und " * (i % 3) + "les and") for i in range(40)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got, _ = best_pages(spark, impacts(spark, str(tmp_path)), ["der", "les"], 20)
+    assert not is_stored(spark, catalogue.search_index_path(spark, str(tmp_path)))
+    assert pairs(got) == pairs(search.top_k(search.bm25(catalogue.docs_index(spark, str(tmp_path)), ["der", "les"]), 20, "doc_id"))
+
+
+def test_blocks_are_of_one_term_in_order(spark, skewed):
+    _, path = skewed
+    rows = spark.read.parquet(f"{path}/postings")
+    blocks = {(r["part"], r["term"], r["nth"]): r for r in spark.read.parquet(f"{path}/pages").collect()}
+    assert sum(b["postings"] for b in blocks.values()) == rows.count() and max(b["postings"] for b in blocks.values()) == 64
+    by_part: dict[int, list] = {}
+    for r in rows.withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect():
+        by_part.setdefault(r["part"], []).append((r["term"], -r["impact"], r["doc_id"], r["file"]))
+    for found in by_part.values():
+        assert [x[:3] for x in found] == sorted(x[:3] for x in found) and len({x[3] for x in found}) == 1
+    # ranges follow each other, so a part is a file and a frequent term is in several
+    firsts = [found[0][:3] for _, found in sorted(by_part.items())]
+    assert firsts == sorted(firsts) and len(by_part) > 1

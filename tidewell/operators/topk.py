@@ -37,15 +37,18 @@ def store_impacts(index: TextIndex, path: str, partitions: int, ranking: Ranking
     Terms are dealt out by ranges of (term, impact), so a frequent one is in many files. A block has postings of one term and file.
     """
     key = index.page_col
-    total, mean = index.stats().first()
+    index.pages.write.mode("overwrite").parquet(f"{path}/lengths")
+    lengths = index.pages.sparkSession.read.parquet(f"{path}/lengths")
+    total, mean = lengths.agg(F.count(F.lit(1)), F.avg("length")).first()
     bonus = 1 - ranking.page_length + ranking.page_length * F.col("length") / F.lit(float(mean or 1))
     impact = F.col("tf") * (ranking.saturation + 1) / (F.col("tf") + ranking.saturation * bonus)
-    rows = index.postings.join(index.pages, key).select("term", (-impact).alias("down"), key)
-    ranged = rows.repartitionByRange(partitions, "term", "down", key).withColumn("part", F.spark_partition_id())
-    nth = F.row_number().over(Window.partitionBy("part", "term").orderBy("down", key)) - 1
-    placed = ranged.select("term", (-F.col("down")).alias("impact"), key, "part", F.floor(nth / block).cast("int").alias("nth"))
+    rows = index.postings.join(lengths, key).select("term", (-impact).alias("down"), key)
+    ranged = rows.repartitionByRange(partitions, "term", "down", key).sortWithinPartitions("term", "down", key).withColumn("part", F.spark_partition_id())
+    # a row's place in its range, in the last 33 bits; blocks are cut by it, so that no shuffle is needed to number them
+    nth = F.floor(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) / block).cast("int")
+    placed = ranged.select("term", (-F.col("down")).alias("impact"), key, "part", nth.alias("nth"))
     small = {"parquet.block.size": 4 << 20, "parquet.page.row.count.limit": block, "compression": "zstd"}
-    placed.sortWithinPartitions("term", F.desc("impact"), key).write.options(**small).mode("overwrite").parquet(f"{path}/postings")
+    placed.write.options(**small).mode("overwrite").parquet(f"{path}/postings")
     stored = index.pages.sparkSession.read.parquet(f"{path}/postings")
     blocks = stored.groupBy("term", "part", "nth").agg(F.max("impact").alias("most"), F.min("impact").alias("least"), F.count(F.lit(1)).alias("postings"))
     blocks.withColumns({"total": F.lit(total), "page_col": F.lit(key)}).repartitionByRange(max(1, partitions // 8), "term", "most").sortWithinPartitions("term", F.desc("most")).write.mode("overwrite").parquet(f"{path}/pages")
